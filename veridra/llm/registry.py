@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_digests
 from .common import read
+from .exact_dedup import mark_duplicates
+from .language_id import identify_languages
 from .mixing import mix, targets_sql
+from .order_minhash import fingerprint_documents
+from .secret_scan import KINDS, scan_secrets
+from .token_files import count_document_tokens
 from .url_rules import filter_urls
 
 #: The rules of the query: host, path, action.
@@ -29,7 +35,47 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), **MIX).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(read(spark, sf_dir, "documents"))
+
+
+def vocabulary() -> tuple[str, str]:
+    """The path of the public byte-level vocabulary, and the pattern that cuts texts."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(read(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(read(spark, sf_dir, "documents"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS[:3]), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(read(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_document_tokens(read(spark, sf_dir, "documents"), *vocabulary())
+
+
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_language_id": op3_language_id,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_document_fingerprints": op8_document_fingerprints,
+    "op9_token_counts": op9_token_counts,
     "op5_url_filters": op5_url_filters,
     "op10_mix_sources": op10_mix_sources,
 }
@@ -37,6 +83,12 @@ QUERIES = {
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
 ORACLE = {
+    "op2_exact_dedup": r"""
+with d as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as content from documents)
+select doc_id, first_value(doc_id) over (partition by content order by length(text) desc, doc_id nulls last) as keep_id,
+  count(*) over (partition by content) as group_size,
+  doc_id is not distinct from first_value(doc_id) over (partition by content order by length(text) desc, doc_id nulls last) as kept,
+  sha256(content) as text_sha256 from d""",
     "op5_url_filters": rf"""
 with rules(rhost, rpath, action) as (values {_RULE_ROWS}),
 p as (select page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
