@@ -10,9 +10,11 @@ from .common import read
 from .exact_dedup import mark_duplicates
 from .language_id import identify_languages
 from .mixing import mix, targets_sql
+from .near_dedup import near_duplicates
 from .order_minhash import fingerprint_documents
 from .secret_scan import KINDS, scan_secrets
 from .token_files import count_document_tokens
+from .toxicity import score_documents
 from .url_rules import filter_urls
 
 #: The rules of the query: host, path, action.
@@ -35,6 +37,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read(spark, sf_dir, "documents"), **MIX).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), words=4, percent=80)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_duplicates(read(spark, sf_dir, "documents"))
 
@@ -43,6 +49,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(read(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def vocabulary() -> tuple[str, str]:
     """The path of the public byte-level vocabulary, and the pattern that cuts texts."""
     import public_tokenizers
@@ -70,8 +80,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_secret_scan": op7_secret_scan,
     "op8_document_fingerprints": op8_document_fingerprints,
@@ -83,6 +95,16 @@ QUERIES = {
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
 ORACLE = {
+    "op1_near_dedup": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) < 4 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) end) as sh from w where len(ws) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+links as (select p.a, p.b from (select x.doc_id as a, y.doc_id as b, count(*) as both from s x join s y on x.sh = y.sh and x.doc_id <> y.doc_id group by 1, 2) p
+  join n na on na.doc_id = p.a join n nb on nb.doc_id = p.b where 100 * p.both >= 80 * (na.n + nb.n - p.both)),
+reach(doc_id, low) as (select doc_id, doc_id from documents union select l.b, r.low from reach r join links l on l.a = r.doc_id where r.low < l.b),
+c as (select doc_id, min(low) as component_id from reach group by doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from documents d left join n using (doc_id) left join c using (doc_id)""",
     "op2_exact_dedup": r"""
 with d as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as content from documents)
 select doc_id, first_value(doc_id) over (partition by content order by length(text) desc, doc_id nulls last) as keep_id,
