@@ -29,8 +29,8 @@ TARGETS = """
 ranked as (select source, source_size, cast({weights}[{first} + (row_number() over (order by source nulls last) - 1) % {n_weights}] as double) as weight from sources),
 capped as (select *, {cap} * source_size as most, sum(cast(source_size as double)) over () * {share} as budget from ranked),
 filled as (select *, (budget - coalesce(sum(most) over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by most / weight, source nulls last rows between current row and unbounded following) as rate from capped),
-level as (select max(rate) as rate from filled),
-targets as (select f.source, f.source_size, case when l.rate * f.weight <= f.most then l.rate * f.weight else f.most end as target from filled f cross join level l)
+level as (select *, max(rate) over () as best from filled),
+targets as (select source, source_size, case when best * weight <= most then best * weight else most end as target from level)
 """
 
 
