@@ -100,7 +100,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
             .select("host_key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sweeps") - 1)).alias("sweep"), "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), "stack")
         )
     )
-    order = Window.partitionBy("host_key", "sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    # One column names the sweep: rows that a join has dealt by host would otherwise stay together.
+    events = events.withColumn("sweep", F.concat_ws("\x02", "host_key", "sweep"))
+    order = Window.partitionBy("sweep").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = events.withColumn("stack", F.last("stack", ignorenulls=True).over(order)).filter("kind = 1")
     still_open = F.filter("stack", lambda s: F.startswith(F.col("key"), s["key"]))
     hits = swept.select("url", F.try_element_at(still_open, F.lit(-1)).alias("hit")).filter("hit is not null")
