@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-ORDER, DECAY, WIDTH, OVERLAP, FLOOR, LANDMARKS, MEMO = 3, 0.8, 32, 0.7, 0.2, 96, 600_000
+ORDER, DECAY, POWER, WIDTH, OVERLAP, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.7, 0.3, 96, 600_000
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _SIGNS = re.compile(r"[\W_]+")
 
@@ -59,8 +59,8 @@ def letters(unit: str) -> list[str]:
 
 
 def coded(words: list[str]) -> np.ndarray:
-    """Code points in rows of WIDTH, ends padded with 0."""
-    return np.array(words, dtype=f"U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
+    """Code points between a mark of the beginning and one of the end, in rows padded with 0."""
+    return np.array([f"\x02{w}\x03" for w in words], dtype=f"U{WIDTH + 2}").view(np.uint32).reshape(len(words), WIDTH + 2)
 
 
 def masks(codes: np.ndarray) -> np.ndarray:
@@ -98,13 +98,13 @@ class Machine:
     """Landmarks, the whitening of their kernel, and the machine's weights."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks = coded(landmarks)
+        self.names, self.landmarks = landmarks, coded(landmarks)
         self.masks = masks(self.landmarks)
         self.needed = np.ceil(OVERLAP * np.bitwise_count(self.masks)).astype(np.int64)
         self.norms = np.sqrt(subsequence_kernel(self.landmarks, self.landmarks))
         m = len(landmarks)
         i, j = np.divmod(np.arange(m * m), m)
-        gram = (subsequence_kernel(self.landmarks[i], self.landmarks[j]) / (self.norms[i] * self.norms[j])).reshape(m, m)
+        gram = (subsequence_kernel(self.landmarks[i], self.landmarks[j]) / (self.norms[i] * self.norms[j])).reshape(m, m) ** POWER
         values, vectors = np.linalg.eigh(gram)
         keep = values > 1e-6
         self.whiten = vectors[:, keep] / np.sqrt(values[keep])
@@ -140,7 +140,7 @@ class Machine:
             some = mine_order[at : at + block]
             norms[some] = np.sqrt(subsequence_kernel(codes[mine[some]], codes[mine[some]]))
         value = raw / np.maximum(norms[where] * self.norms[columns], 1e-12)
-        out[rows, columns] = np.where(value >= FLOOR, value, 0)
+        out[rows, columns] = np.where(value >= FLOOR, value, 0) ** POWER
         return out
 
     def fit(self, words: list[str], target: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> None:
@@ -283,7 +283,11 @@ def train(toxic_texts: list[str], clean_texts: list[str], landmarks: int = LANDM
     words = list(bearing) + [w for w, _ in spelled] + hard
     target = np.r_[np.ones(len(bearing) + len(spelled)), -np.ones(len(hard))]
     up = np.sqrt(np.array([*bearing.values(), *(n / 8 for _, n in spelled)], np.float64))
-    weight = np.r_[up / up.sum(), np.full(len(hard), 1 / max(1, len(hard)))] * 1000
+    weight = np.r_[up / up.sum(), np.full(len(hard), 4 / max(1, len(hard)))] * 1000
+    machine.fit(words, target, weight)
+    # Clean words that come closest become landmarks too, and the machine is fitted again.
+    worst = np.argsort(-machine.scores(hard), kind="stable")[: landmarks // 2]
+    machine = Machine(list(dict.fromkeys([*machine.names, *(hard[i] for i in worst)])))
     machine.fit(words, target, weight)
     scorer = Scorer(machine)
     z = np.array(scorer.margins(sorted(set(toxic_texts))) + scorer.margins(sorted(set(clean_texts))))
