@@ -134,3 +134,16 @@ def test_run_script(spark):
     assert spark.table("out_u").first()[0] == 3
     for t in ("out_t", "out_u"):
         spark.sql(f"DROP TABLE {t}")
+
+
+def test_catalyst_origins(spark):
+    from veridra.plans import catalyst
+
+    spark.range(3).selectExpr("id", "id AS v").createOrReplaceTempView("one")
+    spark.range(3).selectExpr("id AS k").createOrReplaceTempView("two")
+    of = lambda sql: sorted(catalyst.column_origins(spark.sql(sql)))
+    names = lambda sql: sorted({(a, b) for a, b, *_ in of(sql)})
+    assert names("SELECT id, v + 1 AS w, 1 AS c FROM one") == [("id", "PASSTHROUGH"), ("w", "EXPRESSION")]
+    assert names("SELECT MAX(w) AS m FROM (SELECT v * 2 AS w FROM one) x") == [("m", "AGGREGATED")]
+    assert names("SELECT id AS x FROM one UNION ALL SELECT k FROM two") == [("x", "PASSTHROUGH")]
+    assert catalyst.analysis_error(spark, "SELECT nope FROM one") == "UNRESOLVED_COLUMN.WITH_SUGGESTION"

@@ -9,6 +9,7 @@ from .operators import assets as A
 from .operators import drift as D
 from .operators import lineage as L
 from .operators import quality as Q
+from .plans import catalyst
 from .plans import codelineage as C
 from .plans import medallion as M
 from .plans import review as R
@@ -447,6 +448,25 @@ def review_risk(spark, sf_dir):
     return spark.createDataFrame([(*r, R.review_risk(*r)) for r in RISKS], "errors int, changed int, downstream int, risk string")
 
 
+ORIGIN_SQL = "SELECT c.c_custkey, UPPER(c.c_name) AS name, s.total FROM customer c JOIN (SELECT o_custkey, SUM(o_totalprice) AS total FROM orders GROUP BY o_custkey) s ON s.o_custkey = c.c_custkey"
+ORIGINS = [("c_custkey", "PASSTHROUGH", "customer", "c_custkey"), ("name", "EXPRESSION", "customer", "c_name"), ("total", "AGGREGATED", "orders", "o_totalprice")]
+
+
+@query(f"SELECT * FROM (VALUES {_values(ORIGINS)}) o(target_column, kind, source_table, source_column)")
+def column_origins(spark, sf_dir):
+    tables(spark, sf_dir).as_views()
+    return catalyst.origins_frame(spark.sql(ORIGIN_SQL))
+
+
+ERRORS = [("SELECT x FROM no_such_table", "TABLE_OR_VIEW_NOT_FOUND"), ("SELECT o_custkey, COUNT(*) FROM orders GROUP BY o_orderstatus", "MISSING_AGGREGATION"), ("SELECT o_custkey, COUNT(*) FROM orders", "MISSING_GROUP_BY"), ("SELCT 1", "PARSE_SYNTAX_ERROR"), ("SELECT 1", None)]
+
+
+@query(f"SELECT * FROM (VALUES {_values(ERRORS)}) e(sql_text, error_class)")
+def analyzer_errors(spark, sf_dir):
+    tables(spark, sf_dir).as_views()
+    return spark.createDataFrame([(sql, catalyst.analysis_error(spark, sql)) for sql, _ in ERRORS], "sql_text string, error_class string")
+
+
 CODE = """
 clean = raw.select("id", F.col("amount"), "day")
 priced = clean.withColumn("net", col("amount") * F.col("rate"))
