@@ -52,7 +52,8 @@ class Engine:
         self.facts = facts.persist() if facts is not None else None
         self._explained: dict[tuple, str] = {}
 
-    clear_cache = lambda self: self._explained.clear()
+    def clear_cache(self) -> None:
+        self._explained.clear()
 
     def _lineage(self) -> DataFrame:
         if self.edges is None:
@@ -164,6 +165,15 @@ class Engine:
 
     # Review
 
+    @answers()
+    def trace_query_columns(self, sql: str) -> dict:
+        """Where each column of a SELECT over the registered tables comes from, by the analysed plan."""
+        from .plans.catalyst import column_origins
+
+        self.catalog.as_views()
+        rows = column_origins(self.spark.sql(sql))
+        return {"columns": [dict(zip(("column", "kind", "source_table", "source_column"), r)) for r in rows]}
+
     @answers()
     def peer_review_setup(self) -> dict:
         summary = {r[0]: list(r[1]) for r in L.downstream_summary(self.edges).collect()} if self.edges is not None else {}
