@@ -10,8 +10,10 @@
    smallest class, which is dealt over several groups if it has many candidates.
 4. Components of the confirmed links come from alternating large-star and small-star steps.
 5. Where a bucket still holds several components, links that do not touch its smallest class may be missing.
-   Its classes are compared across components by signature, in blocks of ``BLOCK``, and what agrees is
-   confirmed as before.  So no candidate pair of different components stays unexamined.
+   There the classes of different components are compared with one another inside tasks, in blocks of
+   ``BLOCK``: by signature, the likeliest first, then on the full sets, until two components are found to be
+   linked.  A pair is looked at in the first band that it shares only.  Tasks return links, never pairs, and no
+   candidate pair of different components stays unexamined.
 
 With 32 bands of 5 rows a pair of similarity 0.8 shares no band with probability 3e-6.
 
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import BLANKS, LOWER, UPPER, staged
 
-BANDS, ROWS, BLOCK, PER_GROUP, BROADCAST_IDS = 32, 5, 2048, 256, 500_000
+BANDS, ROWS, BLOCK, PER_GROUP, BROADCAST_IDS = 32, 5, 512, 256, 500_000
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _IS_BLANK = np.isin(np.arange(256), np.frombuffer(BLANKS, np.uint8))
 _CHUNK = 2048
@@ -137,8 +139,15 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketched, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
+def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the low bytes of the signatures, which suffice to compare them."""
+    for batch in batches:
+        low = [np.frombuffer(s.as_py(), np.uint32).astype(np.uint8).tobytes() for s in batch.column("sig")]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.binary())], ["set_key", "id", "sig", "low"])
+
+
 def _bands(classes: DataFrame) -> DataFrame:
-    """key, id: a row for each band of each class."""
+    """key, band, id: a row for each band of each class."""
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = _mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -149,9 +158,10 @@ def _bands(classes: DataFrame) -> DataFrame:
             key = np.broadcast_to(salt, sig.shape[:2]).copy()
             for k in range(ROWS):
                 key = _mixed(key * np.uint64(_BASE) + sig[:, :, k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(np.array(batch.column("id")), BANDS), pa.int64())], ["key", "id"])
+            band = np.tile(np.arange(BANDS, dtype=np.int32), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(np.repeat(np.array(batch.column("id")), BANDS), pa.int64())], ["key", "band", "id"])
 
-    return classes.select("id", "sig").mapInArrow(banded, "key long, id long")
+    return classes.select("id", "sig").mapInArrow(banded, "key long, band int, id long")
 
 
 def _least_agreement(percent: int) -> float:
@@ -173,20 +183,26 @@ def _agreeing(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "sig_a", "sig_b").mapInArrow(compared, "a long, b long")
 
 
+def _with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with the text of their id."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
+    ids = rows.select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:  # 8 bytes each: texts that nobody asks for are left out before they move
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
+    return rows.join(texts, "id")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked by their full sets."""
-    n = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PER_GROUP).alias("groups"))
+    # Written first, as Spark splits a hot key of a join only where both sides come straight from a shuffle.
+    n = staged(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PER_GROUP).alias("groups")), "groups")
     dealt = pairs.join(n, "b").select("a", "b", F.pmod(F.xxhash64("a"), "groups").alias("part"))
     wanted = staged(
         dealt.select(F.col("a").alias("id"), "b", "part", F.lit(1).alias("side"))
         .unionByName(dealt.select(F.col("b").alias("id"), "b", "part", F.lit(0).alias("side")).distinct()),
         "wanted",
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
-    ids = wanted.select("id").distinct()
-    if ids.count() <= BROADCAST_IDS:  # 8 bytes each: texts that nobody asks for are left out before they move
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
-    rows = wanted.join(texts, "id")
+    rows = _with_texts(wanted, docs)
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, centres = None, []
@@ -211,86 +227,121 @@ def _directed(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """No node has two parents, and no parent has one."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
-    """Of each node of links (a, b) but the smallest of its component: a, and that smallest as b."""
-    edges = staged(_directed(links), "edges")
-    state = None
+    """Of each node of links (a, b) but the smallest of its component: a, and that smallest as b.
+
+    A large-star step hangs each node's larger neighbours on its smallest one, a small-star step its smaller
+    neighbours and itself; they alternate until each component is a star.
+    """
+    edges = _directed(links)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = staged(_directed(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large")
+        large = _directed(both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
-        edges = staged(_directed(small), "small")
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == state:
+        edges = staged(_directed(small), "stars")
+        if _is_star_forest(edges):
             return edges
-        state = now
 
 
-def _across(classes: DataFrame, banded: DataFrame, components: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that share a bucket and whose signatures agree."""
-    least = _least_agreement(percent)
-    named = banded.join(components, banded["id"] == components["a"], "left").select("key", "id", F.coalesce("b", "id").alias("component"))
-    open_ = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    rows = (
-        named.join(open_.select("key", blocks.alias("blocks")), "key")
-        .withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-        .select("key", "id", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        .select("key", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        .join(classes.select("id", "sig"), "id")
-    )
+class _Block:
+    """The rows of one block of a bucket: ids, components, the side(s) they are on, low bytes of signatures, sets."""
+
+    def __init__(self, words: int, percent: int):
+        self.words, self.percent, self.least = words, percent, _least_agreement(percent)
+        self.rows: list[tuple] = []
+
+    def links(self) -> list[tuple[int, int]]:
+        """A link for any two components of which two members are linked, each pair in its first shared band.
+
+        Low bytes agree by chance once in 256, which only adds candidates.
+        """
+        left, right = ([r for r in self.rows if r[3] == r[k]] for k in (4, 5))
+        if not left or not right:
+            return []
+        same, band = self.rows[0][4] == self.rows[0][5], self.rows[0][0][1]
+        ids, parts = np.array([r[1] for r in right]), np.array([r[2] for r in right])
+        low = np.stack([np.frombuffer(r[6], np.uint8) for r in right])
+        sets: dict[int, np.ndarray] = {}
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        def set_of(row: tuple) -> np.ndarray:
+            if row[1] not in sets:
+                sets[row[1]] = shingles(_utf8(row[7]), self.words)
+            return sets[row[1]]
 
-    def pairs_of(rows: list[tuple]) -> list[tuple[int, int]]:
-        left = [r for r in rows if r[3] == r[4]]
-        right = [r for r in rows if r[3] == r[5]]
-        y_ids, y_comps = np.array([r[1] for r in right]), np.array([r[2] for r in right])
-        y = np.stack([np.frombuffer(r[6], np.uint32) for r in right]) if right else None
         found = []
-        for _, id_, component, own, i, j, sig in left:
-            other = y_comps != component if right else np.empty(0, bool)
-            if i == j:
-                other &= y_ids < id_
-            near = np.flatnonzero(other)
-            if len(near):
-                near = near[(y[near] == np.frombuffer(sig, np.uint32)).mean(1) >= least]
-                found += [(max(id_, int(k)), min(id_, int(k))) for k in y_ids[near]]
+        for row in left:
+            near = np.flatnonzero((parts != row[2]) & (ids < row[1]) if same else parts != row[2])
+            if not len(near):
+                continue
+            equal = low[near] == np.frombuffer(row[6], np.uint8)
+            share = equal.mean(1)
+            likely = share >= self.least
+            near, equal, share = near[likely], equal[likely], share[likely]
+            first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+            for k in near[first][np.argsort(-share[first], kind="stable")]:
+                mine, other = find(row[2]), find(int(parts[k]))
+                if mine != other and linked(set_of(row), set_of(right[k]), self.percent):
+                    root[max(mine, other)] = min(mine, other)
+                    found.append((max(row[1], int(ids[k])), min(row[1], int(ids[k]))))
         return found
 
+
+def _across(classes: DataFrame, banded: DataFrame, components: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components whose members share a bucket."""
+    named = banded.join(components, banded["id"] == components["a"], "left").select("key", "band", "id", F.coalesce("b", "id").alias("component"))
+    several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    open_ = staged(several.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "several")
+    members = staged(named.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks")), "open")
+    rows = (
+        _with_texts(members.join(classes.select("id", "low"), "id"), docs)
+        .select("key", "band", "id", "component", "own", "low", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        .select("key", "band", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "low", "text")
+    )
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at = [], None
+        block, at, found = _Block(words, percent), None, []
         for batch in batches:
-            found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "component", "own", "i", "j", "sig"))):
-                here = (row[0], row[4], row[5])
+            for key, band, id_, component, own, i, j, low, text in zip(*(batch.column(c) for c in ("key", "band", "id", "component", "own", "i", "j", "low", "text"))):
+                here = (key.as_py(), band.as_py(), i.as_py(), j.as_py())
                 if here != at:
-                    found += pairs_of(group)
-                    group, at = [], here
-                group.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
-        if found := pairs_of(group):
+                    found += block.links()
+                    block.rows, at = [], here
+                block.rows.append(((here[0], here[1]), id_.as_py(), component.as_py(), own.as_py(), here[2], here[3], low.as_py(), text.as_py()))
+        found += block.links()
+        if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compared, "a long, b long").distinct()
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(compared, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Of each document: doc_id, n_shingles, component_id and kept."""
     sketches = staged(sketch(docs, words), "sketches")
     classes = staged(
-        sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes"
+        sketches.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).mapInArrow(_low_bytes, "set_key binary, id long, sig binary, low binary"), "classes"
     )
     banded = staged(_bands(classes), "bands")
-    buckets = banded.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = staged(banded.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b"), "buckets")
     stars = banded.join(buckets, "key").select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
     links = staged(_confirmed(staged(_agreeing(stars, classes, percent), "stars"), docs, words, percent), "links")
     components = connected_components(links)
-    tested = staged(_across(classes, banded, components, percent).join(stars, ["a", "b"], "left_anti"), "across")
-    more = staged(_confirmed(tested, docs, words, percent), "more")
+    more = staged(_across(classes, banded, components, docs, words, percent), "more")
     if not more.isEmpty():
-        components = connected_components(links.unionByName(more))
+        components = connected_components(components.unionByName(more))
     roots = classes.join(components.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
     found = sketches.join(roots, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
