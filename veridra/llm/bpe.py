@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .token_files import read_ranks
 
-LONG, MEMO, AT_ONCE = 48, 400_000, 40_000
+LONG, MEMO, AT_ONCE = 48, 400_000, 400_000  # AT_ONCE: bytes of pieces in one query
 
 _SHORT_QUERY = """
 with recursive step(it, w, pos, tok, k, done) as (
@@ -70,10 +70,10 @@ select w, string_agg(hex, '' order by pos) as hex from (select w, pos, hex from
 class Merger:
     """A task's DuckDB with the merge table and the vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], memory: str = "200MB"):
+    def __init__(self, ranks: dict[bytes, int], memory: int = 200):
         import duckdb
 
-        self.ranks = ranks
+        self.ranks, self.memory = ranks, memory
         first, second, rank = [], [], []
         for token, number in ranks.items():
             for cut in range(1, len(token)):
@@ -84,7 +84,7 @@ class Merger:
         least = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, a, r)
         np.minimum.at(least, b, r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory}MB", "temp_directory": ""})
         self.load("merge_rows", pair=a * 1048576 + b, rank=r.astype(np.int32), safe=least[r] > r)
         self.db.execute("create table merges as select * from merge_rows")
         self.db.register("vocabulary_rows", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
@@ -99,8 +99,10 @@ class Merger:
         found: list = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
         for query, chosen in ((_SHORT_QUERY, lambda n: 0 < n <= LONG), (_LONG_QUERY, lambda n: n > LONG)):
             numbers = [i for i, p in enumerate(pieces) if found[i] is None and chosen(len(p))]
-            for start in range(0, len(numbers), AT_ONCE):
-                some = numbers[start : start + AT_ONCE]
+            runs = np.cumsum([len(pieces[i]) for i in numbers]) // AT_ONCE if numbers else np.empty(0)
+            for some in (list(map(int, x)) for x in np.split(np.array(numbers), np.flatnonzero(np.diff(runs)) + 1) if len(x)):
+                # A longest piece alone may need more: about 400 bytes for each of its positions.
+                self.db.execute(f"set memory_limit = '{max(self.memory, sum(len(pieces[i]) for i in some) * 400 >> 20)}MB'")
                 sizes = np.array([len(pieces[i]) for i in some])
                 ends = np.cumsum(sizes)
                 self.load("pieces", w=np.repeat(np.array(some, np.int64), sizes), pos=(np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int64), tok=self.bytes[np.frombuffer(b"".join(pieces[i] for i in some), np.uint8)])
