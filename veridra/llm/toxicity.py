@@ -12,7 +12,8 @@ id).  Labels hold for texts, so the words that bear them are found first: again
 covers most toxic texts not yet covered, less three times the clean texts that have it.  These units, and units of clean texts that share most of a landmark's characters (``negatives`` of them by a hash),
 train the machine; the former also with one character put in at each place, a double or a foreign one.
 
-A unit that shares less than ``OVERLAP`` of a landmark's characters, or has a normalised kernel under
+A unit that shares less than ``OVERLAP`` of a landmark's characters or ``PAIR_OVERLAP`` of its neighbouring pairs
+(up to three apart), or has a normalised kernel under
 ``FLOOR`` with it, counts as one without a common subsequence; this rule holds in training too.  Units of more than ``WIDTH``
 characters are cut in overlapping windows, all of which count.
 
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-ORDER, DECAY, POWER, WIDTH, OVERLAP, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.7, 0.3, 96, 600_000
+ORDER, DECAY, POWER, WIDTH, OVERLAP, PAIR_OVERLAP, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.7, 0.6, 0.3, 96, 600_000
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _SIGNS = re.compile(r"[\W_]+")
 
@@ -69,6 +70,18 @@ def masks(codes: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1)
 
 
+def pair_masks(codes: np.ndarray, most: int) -> np.ndarray:
+    """Two words of 64 bits each: which of 128 classes of ordered character pairs, at most ``most`` apart, a word has."""
+    out = np.zeros((2, len(codes)), np.uint64)
+    for gap in range(1, most + 1):
+        a, b = codes[:, :-gap].astype(np.uint64), codes[:, gap:].astype(np.uint64)
+        place = (a * np.uint64(31) + b * np.uint64(17) + (a * b >> np.uint64(3))) % np.uint64(128)
+        bit = np.where(b > 0, np.uint64(1) << (place % np.uint64(64)), np.uint64(0))
+        for half in (0, 1):
+            out[half] |= np.bitwise_or.reduce(np.where(place // np.uint64(64) == half, bit, np.uint64(0)), axis=1)
+    return out
+
+
 def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Unnormalised kernel of each row of a with the same row of b (zeros are no characters).
 
@@ -101,6 +114,8 @@ class Machine:
         self.names, self.landmarks = landmarks, coded(landmarks)
         self.masks = masks(self.landmarks)
         self.needed = np.ceil(OVERLAP * np.bitwise_count(self.masks)).astype(np.int64)
+        self.pairs_of = pair_masks(self.landmarks, 1)
+        self.needed_pairs = np.ceil(PAIR_OVERLAP * np.bitwise_count(self.pairs_of).sum(0)).astype(np.int64)
         self.norms = np.sqrt(subsequence_kernel(self.landmarks, self.landmarks))
         m = len(landmarks)
         i, j = np.divmod(np.arange(m * m), m)
@@ -110,10 +125,14 @@ class Machine:
         self.whiten = vectors[:, keep] / np.sqrt(values[keep])
         self.weights, self.bias, self.slope, self.shift = np.zeros(m), 0.0, 0.0, -30.0
 
-    def pairs(self, codes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words and landmarks that share enough characters for a kernel."""
-        shared = np.bitwise_count(own[:, None] & self.masks[None, :])
-        return np.nonzero(shared >= self.needed[None, :])
+    def near(self, codes: np.ndarray) -> np.ndarray:
+        """Which words (rows) share enough characters and neighbours with which landmarks for a kernel."""
+        found = np.bitwise_count(masks(codes)[:, None] & self.masks[None, :]) >= self.needed[None, :]
+        rows = np.flatnonzero(found.any(1))
+        own = pair_masks(codes[rows], 3)
+        shared = sum(np.bitwise_count(own[half][:, None] & self.pairs_of[half][None, :]).astype(np.int64) for half in (0, 1))
+        found[rows] &= shared >= self.needed_pairs[None, :]
+        return found
 
     def kernels(self, words: list[str], block: int = 4096) -> np.ndarray:
         """Normalised kernels of words with the landmarks; those that a bound shows to be under FLOOR are 0.
@@ -126,7 +145,7 @@ class Machine:
             return out
         codes = coded(words)
         lengths = (codes > 0).sum(1)
-        rows, columns = self.pairs(codes, masks(codes))
+        rows, columns = np.nonzero(self.near(codes))
         order = np.argsort(lengths[rows], kind="stable")
         rows, columns = rows[order], columns[order]
         raw = np.concatenate([subsequence_kernel(codes[rows[at : at + block]], self.landmarks[columns[at : at + block]]) for at in range(0, len(rows), block)] or [np.empty(0)])
@@ -162,9 +181,7 @@ class Machine:
         out = np.full(len(words), self.bias)
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            codes = coded(part)
-            own = masks(codes)
-            near = np.flatnonzero((np.bitwise_count(own[:, None] & self.masks[None, :]) >= self.needed[None, :]).any(1))
+            near = np.flatnonzero(self.near(coded(part)).any(1))
             if len(near):
                 out[at + near] += self.kernels([part[i] for i in near]) @ self.weights
         return out
@@ -272,11 +289,7 @@ def train(toxic_texts: list[str], clean_texts: list[str], landmarks: int = LANDM
     machine = Machine([w for w, _ in sorted(bearing.items(), key=lambda x: (-x[1], x[0]))[:landmarks]])
     others = sorted(set(in_clean) - set(bearing))
     codes = coded(others)
-    own = masks(codes)
-    near = np.zeros(len(others), bool)
-    for at in range(0, len(others), 50_000):
-        shared = np.bitwise_count(own[at : at + 50_000, None] & machine.masks[None, :]) >= machine.needed[None, :]
-        near[at : at + 50_000] = shared.any(1)
+    near = np.concatenate([machine.near(codes[at : at + 20_000]).any(1) for at in range(0, len(others), 20_000)] or [np.empty(0, bool)])
     hard = sorted((others[i] for i in np.flatnonzero(near)), key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))[:negatives]
     spelled = [(w[:i] + c + w[i:], n) for w, n in bearing.items() for i in range(1, len(w)) for c in (w[i - 1], "xzqk"[(i + len(w)) % 4])]
     spelled = [(w[:WIDTH], n) for w, n in spelled if w not in in_clean]
@@ -303,7 +316,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
         return [], []
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.filter(draw < F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / counts[1]))).otherwise(min(1.0, per_class / counts[0])))
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text").collect()
+    # The parameter bounds the ids chosen, so they go to all tasks and no text moves but theirs.
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").collect()
     texts: tuple[list[str], list[str]] = [], []
     for r in rows:
         texts[1 - r["toxic"]].append(r["text"] or "")
