@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, staged
 
 SEPARATOR = "\x01"
+BROADCAST_RULES = 100_000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -78,7 +79,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .select("url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path")),
         "urls",
     )
-    stacks = rule_stacks(rules)
+    stacks = staged(rule_stacks(rules), "stacks")
+    # One row for each host with rules: small for any usual list, and only then sent to all tasks.
+    small = F.broadcast if stacks.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES else lambda df: df
     hosts = stacks.groupBy("host_key").agg(F.count(F.lit(1)).alias("n_rules"))
     labels = reversed_labels(F.col("host"))
     points = (
@@ -86,14 +89,14 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .select("url", "path", labels.alias("labels"))
         .select("url", "path", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("n"))
         .select("url", F.array_join(F.slice("labels", F.lit(1), F.col("n")), ".").alias("host_key"), "path")
-        .join(hosts, "host_key")
+        .join(small(hosts), "host_key")
     )
     splits = (
         points.groupBy("host_key", "n_rules").agg(F.count(F.lit(1)).alias("n_urls"))
         .select("host_key", F.ceil(F.col("n_urls") / F.greatest(F.lit(per_sweep), 4 * F.col("n_rules"))).alias("sweeps"))
     )
     events = (
-        points.join(splits, "host_key")
+        points.join(small(splits), "host_key")
         .select("host_key", F.pmod(F.xxhash64("url"), "sweeps").alias("sweep"), _key(F.col("host_key"), F.col("path")).alias("key"), F.lit(1).alias("kind"), "url", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
         .unionByName(
             stacks.join(splits, "host_key")
