@@ -65,6 +65,25 @@ def test_blocks_split_large_buckets(spark, monkeypatch):
     assert found == brute(texts, 4, 80)
 
 
+def test_low_bytes_that_agree_in_an_earlier_band_lose_no_pair(spark, monkeypatch):
+    """Classes 2 and 3 share band 1 only, there with class 1; in band 0 they agree in the low bytes only."""
+
+    def crafted(found, functions):
+        n, sig = {27: 1, 47: 2, 48: 3}[len(found)], np.arange(160, dtype=np.uint32).reshape(32, 5) * np.uint32(1000)
+        sig[0, 0] += np.uint32(n << 8)
+        sig[2:, 0] += np.uint32(n)
+        if n == 1:
+            sig[2:] += np.uint32(77)
+        return sig.ravel()
+
+    monkeypatch.setattr(N, "signature", crafted)
+    words = [f"w{i}" for i in range(51)]
+    texts = {1: " ".join(f"c{i}" for i in range(30)), 2: " ".join(words[:50]), 3: " ".join(words)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.near_duplicates(df, 4, 80).collect()}
+    assert found == brute(texts, 4, 80) and found[3][1] == 2
+
+
 def test_odd_rows(odd, none):
     rows = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in N.near_duplicates(odd, 4, 80).collect()}
     assert (1, 0, 1, True) in rows and (2, 0, 2, True) in rows and (3, 0, 3, True) in rows

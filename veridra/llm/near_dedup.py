@@ -12,7 +12,7 @@
 5. Where a bucket still holds several components, links that do not touch its smallest class may be missing.
    There the classes of different components are compared with one another inside tasks, in blocks of
    ``BLOCK``: by signature, the likeliest first, then on the full sets, until two components are found to be
-   linked.  A pair is looked at in the first band that it shares only.  Tasks return links, never pairs, and no
+   linked.  A pair is looked at in the first bucket that it shares only, which the buckets' full keys tell.  Tasks return links, never pairs, and no
    candidate pair of different components stays unexamined.
 
 With 32 bands of 5 rows a pair of similarity 0.8 shares no band with probability 3e-6.
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLANKS, LOWER, UPPER, staged
@@ -252,23 +252,28 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """The rows of one block of a bucket: ids, components, the side(s) they are on, low bytes of signatures, sets."""
+    """The rows of one block of a bucket: ids, components, the side(s) they are on, low bytes of signatures, texts, keys of earlier open buckets."""
 
     def __init__(self, words: int, percent: int):
         self.words, self.percent, self.least = words, percent, _least_agreement(percent)
         self.rows: list[tuple] = []
 
     def links(self) -> list[tuple[int, int]]:
-        """A link for any two components of which two members are linked, each pair in its first shared band.
+        """A link for any two components of which two members are linked, each pair in its first shared bucket.
 
-        Low bytes agree by chance once in 256, which only adds candidates.
+        Low bytes agree by chance once in 256, which only adds candidates; whether a pair was met in an earlier
+        bucket is decided by the buckets' keys.
         """
         left, right = ([r for r in self.rows if r[3] == r[k]] for k in (4, 5))
         if not left or not right:
             return []
-        same, band = self.rows[0][4] == self.rows[0][5], self.rows[0][0][1]
+        same = self.rows[0][4] == self.rows[0][5]
         ids, parts = np.array([r[1] for r in right]), np.array([r[2] for r in right])
         low = np.stack([np.frombuffer(r[6], np.uint8) for r in right])
+        having: dict[int, list[int]] = {}
+        for k, r in enumerate(right):
+            for key in r[8]:
+                having.setdefault(key, []).append(k)
         sets: dict[int, np.ndarray] = {}
         root: dict[int, int] = {}
 
@@ -287,11 +292,13 @@ class _Block:
             near = np.flatnonzero((parts != row[2]) & (ids < row[1]) if same else parts != row[2])
             if not len(near):
                 continue
-            equal = low[near] == np.frombuffer(row[6], np.uint8)
-            share = equal.mean(1)
+            share = (low[near] == np.frombuffer(row[6], np.uint8)).mean(1)
             likely = share >= self.least
-            near, equal, share = near[likely], equal[likely], share[likely]
-            first = equal.reshape(-1, BANDS, ROWS).all(2).argmax(1) == band
+            near, share = near[likely], share[likely]
+            met = np.zeros(len(right), bool)
+            for key in row[8] if len(near) else ():
+                met[having.get(key, [])] = True
+            first = ~met[near]
             for k in near[first][np.argsort(-share[first], kind="stable")]:
                 mine, other = find(row[2]), find(int(parts[k]))
                 if mine != other and linked(set_of(row), set_of(right[k]), self.percent):
@@ -306,21 +313,24 @@ def _across(classes: DataFrame, banded: DataFrame, components: DataFrame, docs:
     several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     open_ = staged(several.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "several")
     members = staged(named.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks")), "open")
+    # Two classes of different components that share a bucket have it among their open ones.
+    before = Window.partitionBy("id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    members = members.withColumn("earlier", F.collect_list("key").over(before))
     rows = (
         _with_texts(members.join(classes.select("id", "low"), "id"), docs)
-        .select("key", "band", "id", "component", "own", "low", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        .select("key", "band", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "low", "text")
+        .select("key", "band", "id", "component", "own", "low", "text", "earlier", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        .select("key", "band", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "low", "text", "earlier")
     )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, at, found = _Block(words, percent), None, []
         for batch in batches:
-            for key, band, id_, component, own, i, j, low, text in zip(*(batch.column(c) for c in ("key", "band", "id", "component", "own", "i", "j", "low", "text"))):
+            for key, band, id_, component, own, i, j, low, text, earlier in zip(*(batch.column(c) for c in ("key", "band", "id", "component", "own", "i", "j", "low", "text", "earlier"))):
                 here = (key.as_py(), band.as_py(), i.as_py(), j.as_py())
                 if here != at:
                     found += block.links()
                     block.rows, at = [], here
-                block.rows.append(((here[0], here[1]), id_.as_py(), component.as_py(), own.as_py(), here[2], here[3], low.as_py(), text.as_py()))
+                block.rows.append(((here[0], here[1]), id_.as_py(), component.as_py(), own.as_py(), here[2], here[3], low.as_py(), text.as_py(), earlier.as_py()))
         found += block.links()
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
