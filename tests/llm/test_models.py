@@ -82,6 +82,14 @@ def test_kernel_is_the_definition():
     assert X.subsequence_kernel(a, b) == pytest.approx([ssk(*(f"\x02{w}\x03" for w in p)) for p in pairs], rel=1e-4)
 
 
+def test_letters_left_out_keep_their_kernel():
+    machine = X.Machine(["idiot", "stupid", "trash"])
+    for word, landmark in (("idt", 0), ("stpd", 1), ("upid", 1), ("tra", 2)):
+        own = [f"\x02{w}\x03" for w in (word, machine.names[landmark])]
+        want = ssk(*own) / np.sqrt(ssk(own[0], own[0]) * ssk(own[1], own[1]))
+        assert want > X.FLOOR and machine.kernels([word])[0, landmark] == pytest.approx(want**X.POWER, rel=1e-3), word
+
+
 def test_toxicity_held_out(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     rows = [r for r in op4_toxicity(spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in labels]

@@ -12,8 +12,7 @@ id).  Labels hold for texts, so the words that bear them are found first: again
 covers most toxic texts not yet covered, less three times the clean texts that have it.  These units, and units of clean texts that share most of a landmark's characters (``negatives`` of them by a hash),
 train the machine; the former also with one character put in at each place, a double or a foreign one.
 
-A unit that shares less than ``OVERLAP`` of a landmark's characters or ``PAIR_OVERLAP`` of its neighbouring pairs
-(up to three apart), or has a normalised kernel under
+A unit that shares less than ``OVERLAP`` of a landmark's characters, or has a normalised kernel under
 ``FLOOR`` with it, counts as one without a common subsequence; this rule holds in training too.  Units of more than ``WIDTH``
 characters are cut in overlapping windows, all of which count.
 
@@ -37,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-ORDER, DECAY, POWER, WIDTH, OVERLAP, PAIR_OVERLAP, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.7, 0.6, 0.3, 96, 600_000
+ORDER, DECAY, POWER, WIDTH, OVERLAP, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.7, 0.3, 96, 600_000
 _SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _SIGNS = re.compile(r"[\W_]+")
 
@@ -70,18 +69,6 @@ def masks(codes: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits, axis=1)
 
 
-def pair_masks(codes: np.ndarray, most: int) -> np.ndarray:
-    """Two words of 64 bits each: which of 128 classes of ordered character pairs, at most ``most`` apart, a word has."""
-    out = np.zeros((2, len(codes)), np.uint64)
-    for gap in range(1, most + 1):
-        a, b = codes[:, :-gap].astype(np.uint64), codes[:, gap:].astype(np.uint64)
-        place = (a * np.uint64(31) + b * np.uint64(17) + (a * b >> np.uint64(3))) % np.uint64(128)
-        bit = np.where(b > 0, np.uint64(1) << (place % np.uint64(64)), np.uint64(0))
-        for half in (0, 1):
-            out[half] |= np.bitwise_or.reduce(np.where(place // np.uint64(64) == half, bit, np.uint64(0)), axis=1)
-    return out
-
-
 def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Unnormalised kernel of each row of a with the same row of b (zeros are no characters).
 
@@ -114,8 +101,6 @@ class Machine:
         self.names, self.landmarks = landmarks, coded(landmarks)
         self.masks = masks(self.landmarks)
         self.needed = np.ceil(OVERLAP * np.bitwise_count(self.masks)).astype(np.int64)
-        self.pairs_of = pair_masks(self.landmarks, 1)
-        self.needed_pairs = np.ceil(PAIR_OVERLAP * np.bitwise_count(self.pairs_of).sum(0)).astype(np.int64)
         self.norms = np.sqrt(subsequence_kernel(self.landmarks, self.landmarks))
         m = len(landmarks)
         i, j = np.divmod(np.arange(m * m), m)
@@ -126,13 +111,8 @@ class Machine:
         self.weights, self.bias, self.slope, self.shift = np.zeros(m), 0.0, 0.0, -30.0
 
     def near(self, codes: np.ndarray) -> np.ndarray:
-        """Which words (rows) share enough characters and neighbours with which landmarks for a kernel."""
-        found = np.bitwise_count(masks(codes)[:, None] & self.masks[None, :]) >= self.needed[None, :]
-        rows = np.flatnonzero(found.any(1))
-        own = pair_masks(codes[rows], 3)
-        shared = sum(np.bitwise_count(own[half][:, None] & self.pairs_of[half][None, :]).astype(np.int64) for half in (0, 1))
-        found[rows] &= shared >= self.needed_pairs[None, :]
-        return found
+        """Which words (rows) share enough characters with which landmarks for a kernel."""
+        return np.bitwise_count(masks(codes)[:, None] & self.masks[None, :]) >= self.needed[None, :]
 
     def kernels(self, words: list[str], block: int = 4096) -> np.ndarray:
         """Normalised kernels of words with the landmarks; those that a bound shows to be under FLOOR are 0.
