@@ -87,6 +87,22 @@ def test_randomness_battery():
     assert secret_scan.scan_text("é" + text)[1] == [(5, 3, 53)]
 
 
+def test_values_behind_names_and_paths_are_candidates():
+    rng = random.Random(9)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for before, after in (("SIGNING_KEY=", ""), ("?user=ann&sig=", "&x=1"), ("path/some_name/", ""), ("data+one-two/", "/end_of"), ("SIGNING_KEY=", "==")):
+        found = 0
+        for _ in range(50):
+            token = "".join(rng.choice(chars) for _ in range(40))
+            start, end = len(before) + 2, len(before) + 42
+            spans = secret_scan.scan_text(f"x {before}{token}{after} y")[1]
+            # Neighbouring parts that fit the encoding may lie in the span too; the names before "=" never do.
+            found += any(a <= start and end <= b and (a == start or "=" not in before) for a, _, b in spans)
+        assert found >= 45, before
+    for clean in ("SOME_LONG_SETTING_NAME=some/ordinary/path-to_files", "a=b=c=d=e=f=g=h=i=j=k=l"):
+        assert not secret_scan.scan_text(clean)[1], clean
+
+
 def test_secret_odd_rows(odd, none):
     assert secret_scan.scan_secrets(odd).count() == odd.count() and secret_scan.scan_secrets(none).count() == 0
 

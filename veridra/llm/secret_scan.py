@@ -4,7 +4,9 @@ The patterns (fixed values of the task): an assignment to a secret's name, an ac
 lower-case hex digits.  They are searched in the whole text; a match that is too short is dropped and
 what it covered is not searched again.
 
-Beside them every run of 16 or more characters of ``[A-Za-z0-9+/_=-]`` is a candidate.  From its characters
+Beside them every run of 16 or more characters of ``[A-Za-z0-9+/_-]``, with the ``=`` that pad its end, is a
+candidate, and so are its parts of that length between ``/`` and ``+``, between ``_`` and ``-``, and between any of the
+four; of candidates found that lie in one another the widest counts.  From its characters
 an encoding is inferred (hex, base 32, base 36, letters and digits, base 64) and three tests ask whether
 it looks drawn at random from that alphabet: chi-squared on the uniform use of the alphabet, the
 number of runs above and below the alphabet's middle, and the serial correlation of neighbours.  Fisher's
@@ -41,7 +43,10 @@ PATTERNS = [
 _HINTS = [r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "AKIA[A-Z0-9]", r"[0-9a-f]{24}", r"[A-Za-z0-9+/_=-]{16}"]
 # "(?i:" also folds the Kelvin sign and the long s; the letters meant are ASCII.
 _COMPILED = [(kind, re.compile(pattern, re.ASCII), group, least) for kind, pattern, group, least in PATTERNS]
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: A run with its padding; a sign with more of the run behind it separates a name from a value.
+_RUN = re.compile(r"[A-Za-z0-9+/_-]+(?:=+(?![A-Za-z0-9+/_=-]))?")
+_PARTS = [re.compile(r"[A-Za-z0-9_=-]+"), re.compile(r"[A-Za-z0-9+/=]+"), re.compile(r"[A-Za-z0-9=]+")]
+LEAST = 16
 
 #: Encodings by their alphabets, the narrowest first.
 ENCODINGS = [
@@ -135,15 +140,29 @@ def pattern_spans(text: str, hints: tuple[bool, ...] = (True,) * 4) -> list[tupl
     )
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Start and end of the runs and of their parts."""
+    found: dict[tuple[int, int], None] = {}
+    for m in _RUN.finditer(text):
+        if m.end() - m.start() >= LEAST:
+            found[m.span()] = None
+            found.update((p.span(), None) for part in _PARTS for p in part.finditer(text, *m.span()) if p.end() - p.start() >= LEAST)
+    return list(found)
+
+
 def random_spans(text: str, taken: list[tuple[int, int, int]], fdr: float) -> list[tuple[int, int, int]]:
     """Candidates beside the spans taken that pass the battery."""
     found = []
-    for m in _CANDIDATE.finditer(text):
-        if not any(start < m.end() and m.start() < end for start, _, end in taken):
-            found.append((name_p(m[0]), m.start(), m.end(), m[0]))
+    for start, end in candidates(text):
+        if not any(a < end and start < b for a, _, b in taken):
+            found.append((name_p(text[start:end]), start, end))
     found.sort()
     passed = max((k for k, x in enumerate(found, 1) if x[0] <= fdr * k / len(found)), default=0)
-    return [(start, len(PATTERNS), end) for _, start, end, token in found[:passed] if chance_p(token) >= CHANCE_LEVEL]
+    spans: list[tuple[int, int, int]] = []
+    for _, start, end in sorted(found[:passed], key=lambda x: (x[1], -x[2])):
+        if (not spans or end > spans[-1][2]) and chance_p(text[start:end]) >= CHANCE_LEVEL:
+            spans.append((start, len(PATTERNS), end))
+    return spans
 
 
 def scan_text(text: str, hints: tuple[bool, bool, bool, bool] = (True,) * 4, fdr: float = 0.001) -> tuple[list, list]:
