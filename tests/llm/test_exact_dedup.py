@@ -27,6 +27,12 @@ def test_repeated_rows_leave_one(odd):
     assert sorted(r["doc_id"] or 0 for r in kept.select("doc_id").collect()) == [0, 3, 4, 6, 7, 8]
 
 
+def test_null_and_reused_ids_do_not_keep_copies(spark):
+    rows = [(None, "only here"), (None, "also elsewhere"), (3, "also elsewhere"), (1, "first"), (1, "of two"), (0, "of two"), (4, "with space"), (4, "with  space")]
+    kept = E.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(None, "only here"), (3, "also elsewhere"), (1, "first"), (0, "of two"), (4, "with  space")], key=str)
+
+
 def test_tables_that_do_not_fit_spill_and_agree(tmp_path):
     records = []
     for i in range(3000):

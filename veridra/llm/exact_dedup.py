@@ -159,8 +159,8 @@ def _groups(batches: Iterator[pa.RecordBatch], budget: int = TABLE_BYTES) -> Ite
 
     def emit(entries):
         if entries:
-            digest, _, _, best, twins, rows = zip(*entries)
-            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(best, pa.int64()), pa.array(twins, pa.int64()), pa.array(rows, pa.int64())], ["digest", "keep_id", "twins", "group_size"])
+            digest, _, chars, best, twins, rows = zip(*entries)
+            yield pa.RecordBatch.from_arrays([pa.array(digest, pa.binary()), pa.array(chars, pa.int64()), pa.array(best, pa.int64()), pa.array(twins, pa.int64()), pa.array(rows, pa.int64())], ["digest", "chars", "keep_id", "twins", "group_size"])
 
     folder = tempfile.mkdtemp(prefix="grace-")
     try:
@@ -170,10 +170,10 @@ def _groups(batches: Iterator[pa.RecordBatch], budget: int = TABLE_BYTES) -> Ite
 
 
 def content_groups(docs: DataFrame) -> DataFrame:
-    """Of each distinct content: digest, keep_id, twins (rows that have this id and content), group_size."""
+    """Of each distinct content: digest, chars (of the longest), keep_id, twins (rows that have this id, content and length), group_size."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     partial = rows.mapInArrow(_folded, "digest binary, content binary, chars long, best_id long, twins long, rows long")
-    return partial.repartition("digest").mapInArrow(_groups, "digest binary, keep_id long, twins long, group_size long")
+    return partial.repartition("digest").mapInArrow(_groups, "digest binary, chars long, keep_id long, twins long, group_size long")
 
 
 def mark_duplicates(docs: DataFrame) -> DataFrame:
@@ -186,11 +186,12 @@ def mark_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the columns of docs.  Rows that repeat an id and its text leave one."""
-    groups = staged(content_groups(docs).select("keep_id", "twins"), "groups")
-    ids = groups.groupBy(F.col("keep_id").alias("__keep_id")).agg(F.max("twins").alias("__twins"))
-    stay = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__keep_id")))
+    groups = staged(content_groups(docs).select(F.lower(F.hex("digest")).alias("__text"), F.col("chars").alias("__chars"), F.col("keep_id").alias("__keep_id"), F.col("twins").alias("__twins")), "groups")
+    text = F.coalesce("text", F.lit(""))
+    # Ids may be null or used again, so a row is known by its content and length too.
+    rows = docs.withColumns({"__own_text": F.sha2(F.translate(text, BLANKS.decode(), "").cast("binary"), 256), "__own_chars": F.length(text).cast("long")})
+    stay = rows.join(groups, F.col("doc_id").eqNullSafe(F.col("__keep_id")) & (F.col("__own_text") == F.col("__text")) & (F.col("__own_chars") == F.col("__chars")))
     once = stay.filter("__twins = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    if groups.filter("twins > 1").isEmpty():
+    if groups.filter("__twins > 1").isEmpty():
         return once
-    more = stay.filter("__twins > 1").withColumn("__text", F.sha2(F.translate(F.coalesce("text", F.lit("")), BLANKS.decode(), "").cast("binary"), 256))
-    return once.unionByName(more.dropDuplicates(["__keep_id", "__text"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return once.unionByName(stay.filter("__twins > 1").dropDuplicates(["__keep_id", "__text"]).select(*[F.col(f"`{c}`") for c in docs.columns]))
