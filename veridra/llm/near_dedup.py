@@ -11,9 +11,10 @@
 4. Components of the confirmed links come from alternating large-star and small-star steps.
 5. Where a bucket still holds several components, links that do not touch its smallest class may be missing.
    There the classes of different components are compared with one another inside tasks, in blocks of
-   ``BLOCK``: by signature, the likeliest first, then on the full sets, until two components are found to be
-   linked.  A pair is looked at in the first bucket that it shares only, which the buckets' full keys tell.  Tasks return links, never pairs, and no
-   candidate pair of different components stays unexamined.
+   ``BLOCK``: by signature first, and the classes that are in some candidate pair once more with their texts,
+   the likeliest first, on the full sets, until two components are found to be linked.  A pair is looked at in
+   the first bucket that it shares only, which the buckets' full keys tell.  Tasks return classes and links,
+   never pairs, and no candidate pair of different components stays unexamined.
 
 With 32 bands of 5 rows a pair of similarity 0.8 shares no band with probability 3e-6.
 
@@ -252,28 +253,54 @@ def connected_components(links: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """The rows of one block of a bucket: ids, components, the side(s) they are on, low bytes of signatures, texts, keys of earlier open buckets."""
+    """The rows of one block of a bucket: (id, component, own block, low bytes, keys of earlier open buckets, text)."""
 
-    def __init__(self, words: int, percent: int):
-        self.words, self.percent, self.least = words, percent, _least_agreement(percent)
+    def __init__(self, i: int, j: int, least: float):
+        self.i, self.j, self.least = i, j, least
         self.rows: list[tuple] = []
 
-    def links(self) -> list[tuple[int, int]]:
-        """A link for any two components of which two members are linked, each pair in its first shared bucket.
+    def candidates(self) -> Iterator[tuple[tuple, list[tuple]]]:
+        """Each row of the left block with its candidates in the right one, the likeliest first.
 
-        Low bytes agree by chance once in 256, which only adds candidates; whether a pair was met in an earlier
-        bucket is decided by the buckets' keys.
+        A candidate is of another component, agrees in its signature, and shares no earlier bucket.  Low bytes
+        agree by chance once in 256, which only adds candidates; whether a pair was met in an earlier bucket is
+        decided by the buckets' full keys.
         """
-        left, right = ([r for r in self.rows if r[3] == r[k]] for k in (4, 5))
+        left, right = ([r for r in self.rows if r[2] == side] for side in (self.i, self.j))
         if not left or not right:
-            return []
-        same = self.rows[0][4] == self.rows[0][5]
-        ids, parts = np.array([r[1] for r in right]), np.array([r[2] for r in right])
-        low = np.stack([np.frombuffer(r[6], np.uint8) for r in right])
+            return
+        ids, parts = np.array([r[0] for r in right]), np.array([r[1] for r in right])
+        low = np.stack([np.frombuffer(r[3], np.uint8) for r in right])
         having: dict[int, list[int]] = {}
         for k, r in enumerate(right):
-            for key in r[8]:
+            for key in r[4]:
                 having.setdefault(key, []).append(k)
+        for row in left:
+            near = np.flatnonzero((parts != row[1]) & (ids < row[0]) if self.i == self.j else parts != row[1])
+            if not len(near):
+                continue
+            share = (low[near] == np.frombuffer(row[3], np.uint8)).mean(1)
+            likely = share >= self.least
+            near, share = near[likely], share[likely]
+            if not len(near):
+                continue
+            met = np.zeros(len(right), bool)
+            for key in row[4]:
+                met[having.get(key, [])] = True
+            first = ~met[near]
+            if first.any():
+                yield row, [right[k] for k in near[first][np.argsort(-share[first], kind="stable")]]
+
+    def with_candidates(self) -> list[tuple]:
+        """The rows that are in a candidate pair; never more than the block has."""
+        found: dict[int, tuple] = {}
+        for row, others in self.candidates():
+            found[row[0]] = row
+            found.update((r[0], r) for r in others)
+        return list(found.values())
+
+    def links(self, words: int, percent: int) -> list[tuple[int, int]]:
+        """A link for any two components of which two members are linked by their full sets."""
         sets: dict[int, np.ndarray] = {}
         root: dict[int, int] = {}
 
@@ -283,59 +310,72 @@ class _Block:
             return c
 
         def set_of(row: tuple) -> np.ndarray:
-            if row[1] not in sets:
-                sets[row[1]] = shingles(_utf8(row[7]), self.words)
-            return sets[row[1]]
+            if row[0] not in sets:
+                sets[row[0]] = shingles(_utf8(row[5]), words)
+            return sets[row[0]]
 
         found = []
-        for row in left:
-            near = np.flatnonzero((parts != row[2]) & (ids < row[1]) if same else parts != row[2])
-            if not len(near):
-                continue
-            share = (low[near] == np.frombuffer(row[6], np.uint8)).mean(1)
-            likely = share >= self.least
-            near, share = near[likely], share[likely]
-            met = np.zeros(len(right), bool)
-            for key in row[8] if len(near) else ():
-                met[having.get(key, [])] = True
-            first = ~met[near]
-            for k in near[first][np.argsort(-share[first], kind="stable")]:
-                mine, other = find(row[2]), find(int(parts[k]))
-                if mine != other and linked(set_of(row), set_of(right[k]), self.percent):
+        for row, others in self.candidates():
+            for r in others:
+                mine, other = find(row[1]), find(r[1])
+                if mine != other and linked(set_of(row), set_of(r), percent):
                     root[max(mine, other)] = min(mine, other)
-                    found.append((max(row[1], int(ids[k])), min(row[1], int(ids[k]))))
+                    found.append((max(row[0], r[0]), min(row[0], r[0])))
         return found
 
 
-def _across(classes: DataFrame, banded: DataFrame, components: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (a, b) between different components whose members share a bucket."""
-    named = banded.join(components, banded["id"] == components["a"], "left").select("key", "band", "id", F.coalesce("b", "id").alias("component"))
+_ROW = ("id", "component", "own", "low", "earlier")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], least: float, columns: tuple[str, ...]) -> Iterator[tuple[int, _Block]]:
+    """The blocks of sorted rows, each with its bucket's key."""
+    at, block = None, None
+    for batch in batches:
+        for key, i, j, *row in zip(*(batch.column(c) for c in ("key", "i", "j", *columns))):
+            here = (key.as_py(), i.as_py(), j.as_py())
+            if here != at:
+                if block:
+                    yield at[0], block
+                at, block = here, _Block(here[1], here[2], least)
+            block.rows.append(tuple(v.as_py() for v in row))
+    if block:
+        yield at[0], block
+
+
+def _across(classes: DataFrame, shared: DataFrame, components: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components whose members share a bucket.
+
+    Signatures meet first, block by block; only the rows that are in some candidate pair fetch their texts.
+    """
+    least = _least_agreement(percent)
+    named = shared.join(components, shared["id"] == components["a"], "left").select("key", "band", "id", F.coalesce(components["b"], "id").alias("component"))
     several = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     open_ = staged(several.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "several")
-    members = staged(named.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks")), "open")
+    members = named.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
     # Two classes of different components that share a bucket have it among their open ones.
     before = Window.partitionBy("id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    members = members.withColumn("earlier", F.collect_list("key").over(before))
     rows = (
-        _with_texts(members.join(classes.select("id", "low"), "id"), docs)
-        .select("key", "band", "id", "component", "own", "low", "text", "earlier", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-        .select("key", "band", "id", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "low", "text", "earlier")
+        members.withColumn("earlier", F.collect_list("key").over(before)).join(classes.select("id", "low"), "id")
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *_ROW)
     )
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, at, found = _Block(words, percent), None, []
-        for batch in batches:
-            for key, band, id_, component, own, i, j, low, text, earlier in zip(*(batch.column(c) for c in ("key", "band", "id", "component", "own", "i", "j", "low", "text", "earlier"))):
-                here = (key.as_py(), band.as_py(), i.as_py(), j.as_py())
-                if here != at:
-                    found += block.links()
-                    block.rows, at = [], here
-                block.rows.append(((here[0], here[1]), id_.as_py(), component.as_py(), own.as_py(), here[2], here[3], low.as_py(), text.as_py(), earlier.as_py()))
-        found += block.links()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+        for key, block in _blocks(batches, least, _ROW):
+            found = block.with_candidates()
+            if found:
+                yield pa.RecordBatch.from_pylist([{"key": key, "i": block.i, "j": block.j, **dict(zip(_ROW, r))} for r in found], schema)
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in _blocks(batches, least, (*_ROW, "text")):
+            found = block.links(words, percent)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(compared, "a long, b long").distinct()
+    schema = pa.schema([("key", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("id", pa.int64()), ("component", pa.int64()), ("own", pa.int64()), ("low", pa.binary()), ("earlier", pa.list_(pa.int64()))])
+    met = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    likely = staged(met.mapInArrow(compared, "key long, i long, j long, id long, component long, own long, low binary, earlier array<long>"), "likely")
+    return _with_texts(likely, docs).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(verified, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -346,14 +386,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     banded = staged(_bands(classes), "bands")
     buckets = staged(banded.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b"), "buckets")
-    stars = banded.join(buckets, "key").select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
+    shared = staged(banded.join(buckets, "key"), "shared")
+    stars = shared.select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
     links = staged(_confirmed(staged(_agreeing(stars, classes, percent), "stars"), docs, words, percent), "links")
     components = connected_components(links)
-    more = staged(_across(classes, banded, components, docs, words, percent), "more")
+    more = staged(_across(classes, shared, components, docs, words, percent), "more")
     if not more.isEmpty():
         components = connected_components(components.unionByName(more))
     roots = classes.join(components.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
-    found = sketches.join(roots, "set_key", "left")
+    # Empty documents have no key to join by; together they would meet in one task.
+    keyed = sketches.filter("set_key is not null").join(roots, "set_key", "left").select("doc_id", "n_shingles", "root")
+    found = keyed.unionByName(sketches.filter("set_key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("root")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
