@@ -38,7 +38,31 @@ def test_bpe_long_pieces(encoder):
     rng, codec = random.Random(2), bpe.Codec(token_files.read_ranks(VOCABULARY), P.PATTERN)
     texts = ["a" * 700, "=" * 301, "ab" * 300, "".join(rng.choice("abcdefgh") for _ in range(900)), "你好世界" * 60, "'s it's <|endoftext|> \n\n x", "\x00\xff"]
     for text, pieces in zip(texts, codec.pieces(texts)):
-        assert [int(i) for p in pieces for i in codec.memo[p][0].split()] == encoder.encode_ordinary(text)
+        assert [int(i) for i in codec.encoded(pieces).split()] == encoder.encode_ordinary(text)
+
+
+def test_bpe_pieces_around_the_bound_of_long_ones(encoder):
+    """Random pieces of 30 to 300 bytes over small and large alphabets, beside runs and mixtures of both."""
+    rng, merger = random.Random(4), bpe.Merger(token_files.read_ranks(VOCABULARY))
+    alphabets = ["ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "AEIOUtnsrhé", "你好世界的一是", "=-", "0123456789"]
+    texts = ["".join(rng.choice(rng.choice(alphabets)) if k % 3 == 0 else rng.choice(alphabets[k % 7]) for _ in range(rng.randrange(10, 300))) for k in range(400)]
+    texts += [rng.choice("abe=") * rng.randrange(40, 400) + w for w in ("", "tion", "==")]
+    pieces = sorted({p.encode() for t in texts for p in bpe_cut(t)} | {b"the" * n for n in range(10, 25)})
+    assert sum(len(p) > bpe.LONG for p in pieces) > 100
+    for piece, ids in zip(pieces, merger.ids(pieces)):
+        assert ids == encoder.encode_ordinary(piece.decode()), piece
+
+
+def test_bpe_long_random_letters_take_time_in_proportion(encoder):
+    rng, merger = random.Random(5), bpe.Merger(token_files.read_ranks(VOCABULARY))
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    assert merger.ids([word.encode()])[0] == encoder.encode_ordinary(word)
+
+
+def bpe_cut(text):
+    import regex
+
+    return regex.findall(P.PATTERN, text)
 
 
 def test_token_counts_equal_tiktoken(docs, odd, none, encoder):

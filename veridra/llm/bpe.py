@@ -6,11 +6,13 @@ each byte.  Each step of a recursive query joins neighbouring tokens with the me
 piece's pair of the least rank, and contracts it at its leftmost place; a piece without such a pair is
 done.  Decoding joins tokens with the vocabulary and aggregates their bytes in order of position.
 
-Pieces of more than ``LONG`` bytes (runs of a sign, texts without spaces) go through a second query that
-contracts all places of the least pair in one step, those of overlapping pairs from the left.  It does so
-only for pairs whose product takes part in no pair of a lower rank; for the others it contracts the
-leftmost alone.  Either way the order of tiktoken's merges is kept, and the number of steps follows the
-number of different pairs instead of the length.
+Pieces of more than ``LONG`` bytes (texts without spaces, runs of a sign) are cut first wherever no token of
+the vocabulary can lie across: no token is, or has inside, any of the bytes' n-grams around the place.  No
+merge ever crosses such a place, so the parts are contracted on their own.  Parts that are still longer, as
+runs of one sign are, go through a second query that contracts all places of the least pair in one step, those of
+overlapping pairs from the left.  It does so only for pairs whose product takes part in no pair of a lower
+rank; for the others it contracts the leftmost alone.  Either way the order of tiktoken's merges is kept.  The
+second query takes about 250 bytes of memory for each byte of an uncut part and may spill to a folder of the task.
 
 Answers are remembered within a task, up to ``MEMO`` pieces, then the memory starts anew.
 
@@ -21,6 +23,7 @@ ordinary text; repeated rows give repeated results.
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,24 +35,25 @@ from .token_files import read_ranks
 
 LONG, MEMO, AT_ONCE = 48, 400_000, 400_000  # AT_ONCE: bytes of pieces in one query
 
+# place is 64 times the piece's number plus the position, and k 64 times the pair's rank plus the position.
 _SHORT_QUERY = """
-with recursive step(it, w, pos, tok, k, done) as (
-  select 0, w, pos, tok, (m.rank::bigint << 24) | pos, false
-  from (select w, pos, tok, lead(tok) over (partition by w order by pos) as follower from pieces)
+with recursive step(w, place, tok, k, done) as (
+  select w, place, tok, m.rank * 64 + (place & 63), false
+  from (select w, place, tok, case when lead(w) over o = w then lead(tok) over o end as follower from pieces window o as (order by place))
   left join merges m on m.pair = tok::bigint * 1048576 + follower
   union all
   (with least as (select w, min(k) as best from step where not done group by w),
-    marked as (select it, s.w, pos, mark.best, k is not null and k = mark.best as hit, case when k = mark.best then (k >> 24)::int else tok end as tok from step s join least mark on s.w = mark.w),
-    joined as (select it, w, pos, best, tok, lag(hit) over o as gone, lead(tok, case when hit then 2 else 1 end) over o as follower from marked window o as (partition by w order by pos))
-  select it + 1, j.w, j.pos, j.tok, (m.rank::bigint << 24) | j.pos, best is null
-  from joined j left join merges m on m.pair = j.tok::bigint * 1048576 + j.follower where not coalesce(gone, false))
+    marked as (select s.w, place, best, coalesce(k = best, false) as hit, case when k = best then k // 64 else tok end as tok from step s join least on s.w = least.w),
+    joined as (select w, place, best, tok, lag(hit) over o as gone, lead(tok, case when hit then 2 else 1 end) over o as follower, lead(w, case when hit then 2 else 1 end) over o as other from marked window o as (order by place))
+  select j.w, j.place, j.tok, m.rank * 64 + (j.place & 63), best is null
+  from joined j left join merges m on m.pair = j.tok::bigint * 1048576 + case when other = j.w then j.follower end where not coalesce(gone, false))
 )
-select w, list(tok order by pos) as ids from step where done group by w
+select w, tok from step where done order by place
 """
 
 _LONG_QUERY = """
 with recursive step(w, pos, tok, done) using key (w, pos) as (
-  select w, pos, tok, 0 from pieces
+  select w, place, tok, 0 from pieces
   union
   (with pairs as (select w, pos, tok, lead(tok) over o as follower, lead(pos) over o as next_pos, row_number() over o as n from recurring.step where done = 0 window o as (partition by w order by pos)),
     ranked as (select p.*, m.rank, m.safe from pairs p left join merges m on m.pair = p.tok::bigint * 1048576 + p.follower),
@@ -59,7 +63,7 @@ with recursive step(w, pos, tok, done) using key (w, pos) as (
     taken as (select * from chosen where case when safe then odd else first end)
   select w, pos, rank, 0 from taken union all select w, next_pos, -1, 1 from taken)
 )
-select w, list(tok order by pos) as ids from step where done = 0 group by w
+select w, tok from step where done = 0 order by w, pos
 """
 
 _DECODE_QUERY = """
@@ -84,7 +88,9 @@ class Merger:
         least = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, a, r)
         np.minimum.at(least, b, r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory}MB", "temp_directory": ""})
+        self.grams = None
+        self.spilled = tempfile.TemporaryDirectory(prefix="veridra-bpe-")  # gone with the task
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory}MB", "temp_directory": self.spilled.name})
         self.load("merge_rows", pair=a * 1048576 + b, rank=r.astype(np.int32), safe=least[r] > r)
         self.db.execute("create table merges as select * from merge_rows")
         self.db.register("vocabulary_rows", pa.table({"tok": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
@@ -94,21 +100,62 @@ class Merger:
     def load(self, name: str, **columns) -> None:
         self.db.register(name, pa.table(columns))
 
+    def cuts(self, raw: bytes) -> np.ndarray:
+        """The places (numbers of bytes before them) that no token of the vocabulary can lie across."""
+        if self.grams is None:
+            # Tokens of two and three bytes, and what longer ones have inside: each token across a place has one of these.
+            of = lambda n, tokens: np.unique(np.array([int.from_bytes(t[i : i + n], "big") for t in tokens for i in range(len(t) - n + 1)], np.int64))
+            self.grams = [(n, of(n, [t for t in self.ranks if (len(t) >= n if n == 4 else len(t) == n)])) for n in (2, 3, 4)]
+        data = np.frombuffer(raw, np.uint8).astype(np.int64)
+        crossed = np.zeros(len(data) + 1, bool)
+        for n, grams in self.grams:
+            code = np.zeros(len(data) - n + 1, np.int64)
+            for i in range(n):
+                code = code << 8 | data[i : len(data) - n + 1 + i]
+            if len(grams):
+                at = np.flatnonzero(grams[np.minimum(np.searchsorted(grams, code), len(grams) - 1)] == code)
+                for i in range(1, n):
+                    crossed[at + i] = True
+        return np.flatnonzero(~crossed[1:-1]) + 1
+
     def ids(self, pieces: list[bytes]) -> list[list[int]]:
         """The tokens of each piece."""
-        found: list = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
-        for query, chosen in ((_SHORT_QUERY, lambda n: 0 < n <= LONG), (_LONG_QUERY, lambda n: n > LONG)):
-            numbers = [i for i, p in enumerate(pieces) if found[i] is None and chosen(len(p))]
-            runs = np.cumsum([len(pieces[i]) for i in numbers]) // AT_ONCE if numbers else np.empty(0)
-            for some in (list(map(int, x)) for x in np.split(np.array(numbers), np.flatnonzero(np.diff(runs)) + 1) if len(x)):
-                # A longest piece alone may need more: about 400 bytes for each of its positions.
-                self.db.execute(f"set memory_limit = '{max(self.memory, sum(len(pieces[i]) for i in some) * 400 >> 20)}MB'")
-                sizes = np.array([len(pieces[i]) for i in some])
+        found: list = [[self.ranks[p]] if p in self.ranks else [] for p in pieces]
+        short, long = [], []  # (number of the piece, part of it) in order
+        for n, p in enumerate(pieces):
+            if found[n] or not p:
+                continue
+            if len(p) <= LONG:
+                short.append((n, p))
+                continue
+            ends = [0, *self.cuts(p).tolist(), len(p)]
+            for start, end in zip(ends, ends[1:]):
+                (short if end - start <= LONG else long).append((n, p[start:end], start))
+        parts: dict[int, list] = {}
+        for query, rows in ((_SHORT_QUERY, short), (_LONG_QUERY, long)):
+            runs = np.cumsum([len(x[1]) for x in rows]) // AT_ONCE if rows else np.empty(0)
+            for some in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(runs)) + 1):
+                some = [rows[i] for i in some]
+                if not some:
+                    continue
+                sizes = np.array([len(x[1]) for x in some])
                 ends = np.cumsum(sizes)
-                self.load("pieces", w=np.repeat(np.array(some, np.int64), sizes), pos=(np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)).astype(np.int64), tok=self.bytes[np.frombuffer(b"".join(pieces[i] for i in some), np.uint8)])
-                for w, ids in self.db.execute(query).fetchall():
-                    found[w] = ids
-        return [x or [] for x in found]
+                need = 0 if query is _SHORT_QUERY else int(ends[-1]) * 250 >> 20
+                self.db.execute(f"set memory_limit = '{max(self.memory, need)}MB'")
+                w, pos = np.repeat(np.arange(len(some), dtype=np.int32), sizes), np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+                place = (w * 64 + pos).astype(np.int32) if query is _SHORT_QUERY else pos
+                self.load("pieces", w=w, place=place, tok=self.bytes[np.frombuffer(b"".join(x[1] for x in some), np.uint8)])
+                rows_out = self.db.execute(query).fetchnumpy()
+                tokens, starts = rows_out["tok"].tolist(), np.searchsorted(rows_out["w"], np.arange(len(some) + 1)).tolist()
+                for (n, _, *start), begin, end in zip(some, starts, starts[1:]):
+                    ids = tokens[begin:end]
+                    if start:
+                        parts.setdefault(n, []).append((start[0], ids))
+                    else:
+                        found[n] = ids
+        for n, pieces_of in parts.items():
+            found[n] = [i for _, ids in sorted(pieces_of) for i in ids]
+        return found
 
     def decode(self, tokens: list[list[int]]) -> list[bytes]:
         """The bytes of each sequence of tokens."""
@@ -124,25 +171,35 @@ class Merger:
 
 
 class Codec:
-    """Encodes and decodes batches of texts; remembers each distinct piece's ids and their decoded bytes."""
+    """Encodes and decodes batches of texts; remembers each distinct piece's ids, as text, and their decoded bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
 
-        self.cut, self.merger, self.memo = regex.compile(pattern).findall, Merger(ranks), {}
+        self.cut, self.merger = regex.compile(pattern).findall, Merger(ranks)
+        self.ids: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
 
     def pieces(self, texts: list[str]) -> list[list[str]]:
+        """The pieces of each text, all of which are remembered from here on."""
         cut = [self.cut(t) for t in texts]
         new = set().union(*cut)
-        new.difference_update(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {}, set().union(*cut)
+        new.difference_update(self.ids)
+        if len(self.ids) + len(new) > MEMO:
+            self.ids, self.decoded, new = {}, {}, set().union(*cut)
         fresh = list(new)
         ids = self.merger.ids([p.encode("utf-8", "surrogatepass") for p in fresh])
-        for piece, tokens, raw in zip(fresh, ids, self.merger.decode(ids)):
-            self.memo[piece] = (" ".join(map(str, tokens)), len(tokens), raw)
+        self.ids.update(zip(fresh, [" ".join(map(str, x)) for x in ids]))
+        self.decoded.update(zip(fresh, self.merger.decode(ids)))
         return cut
 
+    def encoded(self, pieces: list[str]) -> str:
+        """The ids of a text's pieces, joined by one space."""
+        return " ".join(map(self.ids.__getitem__, pieces))
+
+    def bytes_of(self, pieces: list[str]) -> bytes:
+        return b"".join(map(self.decoded.__getitem__, pieces))
+
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """Of each document: doc_id, ids (array of int) and decoded (the bytes that the ids stand for)."""
@@ -153,8 +210,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFram
         for batch in batches:
             codec = codec or Codec(*shared.value)
             cut = codec.pieces([t.as_py() or "" for t in batch.column("text")])
-            ids = [[int(i) for p in x for i in codec.memo[p][0].split()] for x in cut]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([b"".join([codec.memo[p][2] for p in x]) for x in cut], pa.binary())], ["doc_id", "ids", "decoded"])
+            ids = [[int(i) for i in codec.encoded(x).split()] for x in cut]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(map(codec.bytes_of, cut), pa.binary())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(encoded, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
 
@@ -171,8 +228,8 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 part = batch.slice(start, 2000)
                 rows = []
                 for pieces in codec.pieces([t.as_py() or "" for t in part.column("text")]):
-                    found = [codec.memo[p] for p in pieces]
-                    rows.append((sum([n for _, n, _ in found]), hashlib.sha256(" ".join([s for s, _, _ in found]).encode()).hexdigest(), hashlib.sha256(b"".join([raw for _, _, raw in found])).hexdigest()))
+                    ids = codec.encoded(pieces)
+                    rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(codec.bytes_of(pieces)).hexdigest()))
                 n, ids, decoded = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
