@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -10,13 +12,14 @@ def best(host, path, rules):
     return max(fits)[2:] if fits else (None, "allow")
 
 
-def test_urls_equal_brute_force(spark):
+@pytest.mark.parametrize("most_paths", [256, 1])
+def test_urls_equal_brute_force(spark, most_paths):
     rules = [*URL_RULES, ("a.example.com", "/en/x", "allow"), ("example.com", "/en/x/y", "block"), ("com", "/en/", "block"), ("org", "", "block"), ("", "/", "block")]
     urls = [f"{s}{h}{p}" for s in ("http://", "ftp://") for h in ("COM", "example.com", "a.example.com", "xexample.com", "www.example.com", "net", "b.net", "internet", "a.org", "com.", "") for p in ("", "/", "/en/", "/en/x/y?z", "/es/#f", "?q=/en/", "/EN/", "/fr/a/b")]
     urls += ["no scheme", "", "a://b://c/", "://example.com/en/", "http://example.com:80/en/", None, None, "http://x.com/\nen"]
     pages = spark.createDataFrame([(i // 2, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
     table = spark.createDataFrame(rules, "host string, path string, action string")
-    found = sorted((str(r["page_id"]), r["host"], r["path"], str(r["rule"]), r["verdict"]) for r in url_rules.filter_urls(pages, table).collect())
+    found = sorted((str(r["page_id"]), r["host"], r["path"], str(r["rule"]), r["verdict"]) for r in url_rules.filter_urls(pages, table, per_sweep=4, most_paths=most_paths).collect())
     want = []
     for i, u in enumerate(urls):
         rest = u.split("://", 1)[1] if u and "://" in u else ""
@@ -28,6 +31,22 @@ def test_urls_equal_brute_force(spark):
     assert found == sorted(want)
 
 
+@pytest.mark.parametrize("most_paths", [256, 2])
+def test_nested_hosts_and_long_paths_equal_brute_force(spark, most_paths):
+    """Random rules over few labels, so that hosts and paths nest deeply, some paths of thousands of characters."""
+    rng = random.Random(6)
+    host = lambda: ".".join(rng.choice(["a", "b", "a-b", "b0", "é"]) for _ in range(rng.randrange(1, 6)))
+    path = lambda: "/" + "".join(rng.choice(["a/", "b", "a", "%", "x" * 900]) for _ in range(rng.randrange(0, 6)))
+    rules = list({(h, p): (h, p, rng.choice(["allow", "block"])) for h, p in ((host(), path()) for _ in range(120))}.values())
+    pages = [(i, h, p) for i, (h, p) in enumerate((host(), path() + rng.choice(["", "/z"])) for _ in range(1500))]
+    urls = spark.createDataFrame([(i, f"http://{h}{p}") for i, h, p in pages], "page_id long, url string")
+    table = spark.createDataFrame(rules, "host string, path string, action string")
+    found = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.filter_urls(urls, table, per_sweep=50, most_paths=most_paths).collect()}
+    assert len(found) == len(pages)
+    for i, h, p in pages:
+        assert found[i] == best(h, p, rules), (h, p[:50])
+
+
 def test_urls_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     table = spark.createDataFrame(URL_RULES, "host string, path string, action string")
