@@ -186,6 +186,47 @@ def test_fingerprint_blocks_agree_with_one_pass(monkeypatch):
     assert (order_minhash.fingerprint(raw) == whole).all()
 
 
+def plain_order_minhash(raw, sketches, size, k):
+    """Order MinHash by its definition: of the k-mers numbered by occurrence the least by hash, in the text's order."""
+    mask, odd = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mixed(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    if not raw:
+        return [0] * sketches
+    kmers = [mixed(int.from_bytes(raw[i : i + k], "big") + 1) for i in range(len(raw) - k + 1)] if len(raw) >= k else [mixed(int.from_bytes(raw, "little") + (len(raw) << 56) + 1 & mask)]
+    seen, unique = {}, []
+    for c in kmers:
+        n = seen[c] = seen.get(c, -1) + 1
+        unique.append(mixed((c + n * odd) & mask) if n else c)
+    seeds = [mixed(i * odd & mask) for i in range(1, 2 * sketches + 1)]
+    out = []
+    for a, b in zip(seeds[:sketches], seeds[sketches:]):
+        a, b = a >> 32 | 1, b >> 32
+        hashed = sorted((((u >> 32) * a + b) & 0xFFFFFFFF, place) for place, u in enumerate(unique))[:size]
+        code = min(size, len(unique))
+        for place in sorted(p for _, p in hashed):
+            code = mixed((code * odd + kmers[place]) & mask)
+        out.append(code >> 32)
+    return out
+
+
+def test_fingerprint_equals_the_definition(docs):
+    rng = random.Random(8)
+    texts = [r["text"] or "" for r in docs.limit(20).collect()] + ["", "a", "abcdefg", "abcdefgh", "ab" * 50, "é你" * 9, "".join(rng.choice("ab") for _ in range(500))]
+    prints = []
+    for t in texts:
+        raw = t.encode()[:3000]
+        want = plain_order_minhash(raw, order_minhash.SKETCHES, order_minhash.TUPLE_SIZE, order_minhash.K)
+        assert order_minhash.fingerprint(raw).tolist() == want, t[:30]
+        prints.append(want)
+    for x, y in zip(prints, prints[1:]):
+        assert order_minhash.likeness(np.array(x), np.array(y)) == sum(a == b for a, b in zip(x, y)) / len(x)
+
+
 def test_likeness_falls_with_edits_and_order():
     rng = random.Random(1)
     text = " ".join(f"w{rng.randrange(1000)}" for _ in range(400))
@@ -204,5 +245,7 @@ def test_fingerprints_of_documents(docs, odd, none):
         assert sum(map(len, found.values())) == len(rows)
         for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1]):
             changed = order_minhash.edited(t, following)
-            assert any(r["edited_sha256"] == sha(changed.encode()) and r["n_chars"] == len(t) and r["fingerprint"] == order_minhash.shown(order_minhash.fingerprint(t.encode())) for r in found[i])
+            own, other, next_ = (order_minhash.fingerprint(x.encode()) for x in (t, changed, following))
+            want = (sha(changed.encode()), len(t), order_minhash.shown(own), order_minhash.shown(other), float((own == other).mean()), float((own == next_).mean()))
+            assert any((r["edited_sha256"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) == want for r in found[i])
     assert order_minhash.fingerprint_documents(none).count() == 0

@@ -10,7 +10,7 @@ have equal fingerprints and likeness 1.
 
 ``with_next`` gives each document its successor in descending order of the id.  The documents are dealt to
 ordered ranges once; inside a range the successor is the next row.  The last row of a range takes the first
-row of the next range that has any, from a table of two rows per range; the last document takes the first.
+row of the next range that has any, which a join by the ranges' numbers brings; the last document takes the first.
 
 Defined cases: null counts as the empty text; ids of null come last; equal ids go by a hash of their texts; a
 single document is its own successor.
@@ -171,7 +171,10 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     ordered = rows.repartitionByRange(F.col("doc_id").desc_nulls_last(), F.crc32(F.col("text").cast("binary"))).sortWithinPartitions(F.col("doc_id").desc_nulls_last(), F.crc32(F.col("text").cast("binary")))
     ranged = staged(ordered.mapInArrow(_in_range, f"{_COLUMNS}, part long, first_text string, last_text string"), "ranged")
     edges = ranged.filter("last_text is not null").select("part", "doc_id", "first_text", "last_text")
+    # The numbers of the ranges alone go through one task; the texts meet by a join.
     by_part = Window.orderBy("part")
-    following = edges.select("doc_id", "last_text", F.coalesce(F.lead("first_text").over(by_part), F.first("first_text").over(by_part)).alias("following"))
+    order = edges.select("part").select("part", F.coalesce(F.lead("part").over(by_part), F.first("part").over(by_part)).alias("next_part"))
+    firsts = edges.select(F.col("part").alias("next_part"), F.col("first_text").alias("following"))
+    following = edges.join(order, "part").join(firsts, "next_part").select("doc_id", "last_text", "following")
     inner = ranged.filter("last_text is null").select(*[n for n, _ in _ARROW])
     return inner.unionByName(following.mapInArrow(_at_edges, _COLUMNS))
