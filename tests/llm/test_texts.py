@@ -43,26 +43,29 @@ def test_bpe_long_pieces(encoder):
 
 def test_bpe_pieces_around_the_bound_of_long_ones(encoder):
     """Random pieces of 30 to 300 bytes over small and large alphabets, beside runs and mixtures of both."""
-    rng, merger = random.Random(4), bpe.Merger(token_files.read_ranks(VOCABULARY))
+    rng, codec = random.Random(4), bpe.Codec(token_files.read_ranks(VOCABULARY), P.PATTERN)
     alphabets = ["ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "AEIOUtnsrhé", "你好世界的一是", "=-", "0123456789"]
     texts = ["".join(rng.choice(rng.choice(alphabets)) if k % 3 == 0 else rng.choice(alphabets[k % 7]) for _ in range(rng.randrange(10, 300))) for k in range(400)]
-    texts += [rng.choice("abe=") * rng.randrange(40, 400) + w for w in ("", "tion", "==")]
-    pieces = sorted({p.encode() for t in texts for p in bpe_cut(t)} | {b"the" * n for n in range(10, 25)})
-    assert sum(len(p) > bpe.LONG for p in pieces) > 100
-    for piece, ids in zip(pieces, merger.ids(pieces)):
-        assert ids == encoder.encode_ordinary(piece.decode()), piece
+    texts += [rng.choice("abe=") * rng.randrange(40, 400) + w for w in ("", "tion", "==")] + ["the" * n for n in range(10, 25)]
+    cut = codec.pieces(texts)
+    assert sum(len(p) > bpe.LONG for p in codec.parts) > 10 and sum(len(p) > bpe.LONG for x in cut for p in x) > 100
+    for text, pieces in zip(texts, cut):
+        assert codec.encoded(pieces) == " ".join(map(str, encoder.encode_ordinary(text))), text
+        assert codec.bytes_of(pieces) == text.encode()
 
 
-def test_bpe_long_random_letters_take_time_in_proportion(encoder):
-    rng, merger = random.Random(5), bpe.Merger(token_files.read_ranks(VOCABULARY))
-    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
-    assert merger.ids([word.encode()])[0] == encoder.encode_ordinary(word)
-
+def test_bpe_queries_agree_without_cuts(encoder):
+    """Both queries, over parts that cuts would divide."""
+    rng, merger = random.Random(6), bpe.Merger(token_files.read_ranks(VOCABULARY))
+    for size in (40, 60, 120):
+        parts = ["".join(rng.choice("etaoinshrdlu" if k % 2 else "abcdefghijklmnopqrstuvwxyz") for _ in range(size)).encode() for k in range(60)]
+        assert merger.contracted(parts) == [encoder.encode_ordinary(p.decode()) for p in parts]
 
-def bpe_cut(text):
-    import regex
 
-    return regex.findall(P.PATTERN, text)
+def test_bpe_long_random_letters_take_time_in_proportion(encoder):
+    rng, codec = random.Random(5), bpe.Codec(token_files.read_ranks(VOCABULARY), P.PATTERN)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    assert codec.encoded(codec.pieces([word])[0]) == " ".join(map(str, encoder.encode_ordinary(word)))
 
 
 def test_token_counts_equal_tiktoken(docs, odd, none, encoder):

@@ -1,20 +1,20 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries, one database per partition.
 
-Texts are cut by the tokenizer's pattern.  A piece that is a token itself has that id; of each other distinct
-piece a task asks its DuckDB once.  There a piece is rows of (piece, position, token), at first one for
-each byte.  Each step of a recursive query joins neighbouring tokens with the merge table, finds the
-piece's pair of the least rank, and contracts it at its leftmost place; a piece without such a pair is
-done.  Decoding joins tokens with the vocabulary and aggregates their bytes in order of position.
-
-Pieces of more than ``LONG`` bytes (texts without spaces, runs of a sign) are cut first wherever no token of
-the vocabulary can lie across: no token is, or has inside, any of the bytes' n-grams around the place.  No
-merge ever crosses such a place, so the parts are contracted on their own.  Parts that are still longer, as
-runs of one sign are, go through a second query that contracts all places of the least pair in one step, those of
-overlapping pairs from the left.  It does so only for pairs whose product takes part in no pair of a lower
-rank; for the others it contracts the leftmost alone.  Either way the order of tiktoken's merges is kept.  The
-second query takes about 250 bytes of memory for each byte of an uncut part and may spill to a folder of the task.
-
-Answers are remembered within a task, up to ``MEMO`` pieces, then the memory starts anew.
+Texts are cut by the tokenizer's pattern.  A piece that is a token itself has that id.  Any other is cut further
+wherever no token of the vocabulary can lie across: no token is, or has inside, any of the bytes' n-grams around
+the place.  No merge ever crosses such a place, so the parts are contracted on their own, each distinct part once in
+a task.  In the task's DuckDB a part is rows of (part, position, token), at first one for each byte.  Each step of a
+recursive query joins neighbouring tokens with the merge table, finds the part's pair of the least rank, and
+contracts it at its leftmost place; a part without such a pair is done.  Decoding joins tokens with the
+vocabulary and aggregates their bytes in order of position.
+
+Parts of more than ``LONG`` bytes, such as runs of one sign, go through a second query that contracts all places of the
+least pair in one step, those of overlapping pairs from the left.  It does so only for pairs whose product
+takes part in no pair of a lower rank; for the others it contracts the leftmost alone.  Either way the order of
+tiktoken's merges is kept.  The second query takes about 250 bytes of memory for each byte of a part and may
+spill to a folder of the task.
+
+Answers are remembered within a task, up to ``MEMO`` of them, then the memory starts anew.
 
 Defined cases: null counts as the empty text, which has no tokens; strings of special tokens are
 ordinary text; repeated rows give repeated results.
@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .token_files import read_ranks
 
-LONG, MEMO, AT_ONCE = 48, 400_000, 400_000  # AT_ONCE: bytes of pieces in one query
+LONG, GRAM, MEMO, AT_ONCE = 48, 5, 400_000, 400_000  # AT_ONCE: bytes of parts in one query
 
-# place is 64 times the piece's number plus the position, and k 64 times the pair's rank plus the position.
+# place is 64 times the part's number plus the position, and k 64 times the pair's rank plus the position.
 _SHORT_QUERY = """
 with recursive step(w, place, tok, k, done) as (
   select w, place, tok, m.rank * 64 + (place & 63), false
@@ -88,7 +88,14 @@ class Merger:
         least = np.full(max(ranks.values(), default=0) + 1, np.iinfo(np.int64).max)
         np.minimum.at(least, a, r)
         np.minimum.at(least, b, r)
-        self.grams = None
+        # Tokens of two to four bytes, and what longer ones have inside: each token across a place has one of these.
+        self.grams = []
+        for n in range(2, GRAM + 1):
+            inside = [t[i : i + n] for t in ranks for i in range(len(t) - n + 1) if len(t) == n or n == GRAM]
+            table = np.zeros(1 << 23, bool)
+            if inside:
+                table[self.hashed(np.frombuffer(b"".join(inside), np.uint8), n)[::n]] = True
+            self.grams.append((n, table))
         self.spilled = tempfile.TemporaryDirectory(prefix="veridra-bpe-")  # gone with the task
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory}MB", "temp_directory": self.spilled.name})
         self.load("merge_rows", pair=a * 1048576 + b, rank=r.astype(np.int32), safe=least[r] > r)
@@ -100,61 +107,50 @@ class Merger:
     def load(self, name: str, **columns) -> None:
         self.db.register(name, pa.table(columns))
 
-    def cuts(self, raw: bytes) -> np.ndarray:
-        """The places (numbers of bytes before them) that no token of the vocabulary can lie across."""
-        if self.grams is None:
-            # Tokens of two and three bytes, and what longer ones have inside: each token across a place has one of these.
-            of = lambda n, tokens: np.unique(np.array([int.from_bytes(t[i : i + n], "big") for t in tokens for i in range(len(t) - n + 1)], np.int64))
-            self.grams = [(n, of(n, [t for t in self.ranks if (len(t) >= n if n == 4 else len(t) == n)])) for n in (2, 3, 4)]
-        data = np.frombuffer(raw, np.uint8).astype(np.int64)
+    @staticmethod
+    def hashed(data: np.ndarray, n: int) -> np.ndarray:
+        """A hash of 23 bits of each n-gram; n-grams that agree by chance only prevent a cut."""
+        code = np.zeros(max(0, len(data) - n + 1), np.uint64)
+        for i in range(n):
+            code = code << np.uint64(8) | data[i : len(data) - n + 1 + i]
+        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)
+
+    def parts(self, pieces: list[bytes]) -> list[list[bytes]]:
+        """Each piece cut at the places that no token of the vocabulary can lie across."""
+        raw = b"".join(pieces)
+        data = np.frombuffer(raw, np.uint8)
+        ends = np.cumsum([len(p) for p in pieces])
+        owner = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(p) for p in pieces])
         crossed = np.zeros(len(data) + 1, bool)
-        for n, grams in self.grams:
-            code = np.zeros(len(data) - n + 1, np.int64)
-            for i in range(n):
-                code = code << 8 | data[i : len(data) - n + 1 + i]
-            if len(grams):
-                at = np.flatnonzero(grams[np.minimum(np.searchsorted(grams, code), len(grams) - 1)] == code)
+        for n, table in self.grams:
+            if len(data) >= n:
+                at = np.flatnonzero(table[self.hashed(data, n)] & (owner[: len(data) - n + 1] == owner[n - 1 :]))
                 for i in range(1, n):
                     crossed[at + i] = True
-        return np.flatnonzero(~crossed[1:-1]) + 1
-
-    def ids(self, pieces: list[bytes]) -> list[list[int]]:
-        """The tokens of each piece."""
-        found: list = [[self.ranks[p]] if p in self.ranks else [] for p in pieces]
-        short, long = [], []  # (number of the piece, part of it) in order
-        for n, p in enumerate(pieces):
-            if found[n] or not p:
-                continue
-            if len(p) <= LONG:
-                short.append((n, p))
-                continue
-            ends = [0, *self.cuts(p).tolist(), len(p)]
-            for start, end in zip(ends, ends[1:]):
-                (short if end - start <= LONG else long).append((n, p[start:end], start))
-        parts: dict[int, list] = {}
-        for query, rows in ((_SHORT_QUERY, short), (_LONG_QUERY, long)):
-            runs = np.cumsum([len(x[1]) for x in rows]) // AT_ONCE if rows else np.empty(0)
-            for some in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(runs)) + 1):
-                some = [rows[i] for i in some]
-                if not some:
+        places = np.flatnonzero(~crossed).tolist()  # the ends of pieces among them
+        cut = [raw[i:j] for i, j in zip(places, places[1:])]
+        number = np.searchsorted(places, ends).tolist()
+        return [cut[i:j] for i, j in zip([0, *number], number)]
+
+    def contracted(self, parts: list[bytes]) -> list[list[int]]:
+        """The tokens of each part."""
+        found: list = [[] for _ in parts]
+        for query, rows in ((_SHORT_QUERY, [i for i, p in enumerate(parts) if len(p) <= LONG]), (_LONG_QUERY, [i for i, p in enumerate(parts) if len(p) > LONG])):
+            runs = np.cumsum([len(parts[i]) for i in rows]) // AT_ONCE if rows else np.empty(0)
+            for some in np.split(np.array(rows, np.int64), np.flatnonzero(np.diff(runs)) + 1):
+                if not len(some):
                     continue
-                sizes = np.array([len(x[1]) for x in some])
+                sizes = np.array([len(parts[i]) for i in some])
                 ends = np.cumsum(sizes)
                 need = 0 if query is _SHORT_QUERY else int(ends[-1]) * 250 >> 20
                 self.db.execute(f"set memory_limit = '{max(self.memory, need)}MB'")
                 w, pos = np.repeat(np.arange(len(some), dtype=np.int32), sizes), np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
                 place = (w * 64 + pos).astype(np.int32) if query is _SHORT_QUERY else pos
-                self.load("pieces", w=w, place=place, tok=self.bytes[np.frombuffer(b"".join(x[1] for x in some), np.uint8)])
-                rows_out = self.db.execute(query).fetchnumpy()
-                tokens, starts = rows_out["tok"].tolist(), np.searchsorted(rows_out["w"], np.arange(len(some) + 1)).tolist()
-                for (n, _, *start), begin, end in zip(some, starts, starts[1:]):
-                    ids = tokens[begin:end]
-                    if start:
-                        parts.setdefault(n, []).append((start[0], ids))
-                    else:
-                        found[n] = ids
-        for n, pieces_of in parts.items():
-            found[n] = [i for _, ids in sorted(pieces_of) for i in ids]
+                self.load("pieces", w=w, place=place, tok=self.bytes[np.frombuffer(b"".join(parts[i] for i in some), np.uint8)])
+                answer = self.db.execute(query).fetchnumpy()
+                tokens, starts = answer["tok"].tolist(), np.searchsorted(answer["w"], np.arange(len(some) + 1)).tolist()
+                for i, begin, end in zip(some.tolist(), starts, starts[1:]):
+                    found[i] = tokens[begin:end]
         return found
 
     def decode(self, tokens: list[list[int]]) -> list[bytes]:
@@ -171,7 +167,7 @@ class Merger:
 
 
 class Codec:
-    """Encodes and decodes batches of texts; remembers each distinct piece's ids, as text, and their decoded bytes."""
+    """Encodes and decodes batches of texts; remembers the ids, as text, and their decoded bytes of each distinct piece and part."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex
@@ -179,6 +175,7 @@ class Codec:
         self.cut, self.merger = regex.compile(pattern).findall, Merger(ranks)
         self.ids: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
+        self.parts: dict[bytes, tuple[str, bytes]] = {}
 
     def pieces(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text, all of which are remembered from here on."""
@@ -186,11 +183,24 @@ class Codec:
         new = set().union(*cut)
         new.difference_update(self.ids)
         if len(self.ids) + len(new) > MEMO:
-            self.ids, self.decoded, new = {}, {}, set().union(*cut)
-        fresh = list(new)
-        ids = self.merger.ids([p.encode("utf-8", "surrogatepass") for p in fresh])
-        self.ids.update(zip(fresh, [" ".join(map(str, x)) for x in ids]))
-        self.decoded.update(zip(fresh, self.merger.decode(ids)))
+            self.ids, self.decoded, self.parts, new = {}, {}, {}, set().union(*cut)
+        tokens, fresh = [], []
+        for piece in new:
+            raw = piece.encode("utf-8", "surrogatepass")
+            (tokens if raw in self.merger.ranks else fresh).append((piece, raw))
+        whole = [[self.merger.ranks[raw]] for _, raw in tokens]
+        self.ids.update(zip((p for p, _ in tokens), (str(x) for x, in whole)))
+        self.decoded.update(zip((p for p, _ in tokens), self.merger.decode(whole)))
+        parts = self.merger.parts([raw for _, raw in fresh])
+        unknown = list(set().union(*parts) - self.parts.keys())
+        ids = self.merger.contracted(unknown)
+        self.parts.update(zip(unknown, zip((" ".join(map(str, x)) for x in ids), self.merger.decode(ids))))
+        for (piece, _), its in zip(fresh, parts):
+            if len(its) == 1:
+                self.ids[piece], self.decoded[piece] = self.parts[its[0]]
+            else:
+                known = [self.parts[x] for x in its]
+                self.ids[piece], self.decoded[piece] = " ".join([x for x, _ in known]), b"".join([x for _, x in known])
         return cut
 
     def encoded(self, pieces: list[str]) -> str:
