@@ -82,20 +82,61 @@ def test_kernel_is_the_definition():
     assert X.subsequence_kernel(a, b) == pytest.approx([ssk(*(f"\x02{w}\x03" for w in p)) for p in pairs], rel=1e-4)
 
 
-def test_letters_left_out_keep_their_kernel():
-    machine = X.Machine(["idiot", "stupid", "trash"])
-    for word, landmark in (("idt", 0), ("stpd", 1), ("upid", 1), ("tra", 2)):
-        own = [f"\x02{w}\x03" for w in (word, machine.names[landmark])]
-        want = ssk(*own) / np.sqrt(ssk(own[0], own[0]) * ssk(own[1], own[1]))
-        assert want > X.FLOOR and machine.kernels([word])[0, landmark] == pytest.approx(want**X.POWER, rel=1e-3), word
+def plain_kernel(a, b):
+    """The normalised kernel of two words by the definition, to the power; small ones are 0."""
+    a, b = f"\x02{a}\x03", f"\x02{b}\x03"
+    value = ssk(a, b) / np.sqrt(ssk(a, a) * ssk(b, b))
+    return value**X.POWER if value >= X.FLOOR else 0.0
+
+
+def test_all_kernels_are_those_of_the_definition():
+    """Misspelt and random words against landmarks, one by one: nothing that counts is passed over."""
+    rng = np.random.default_rng(3)
+    names = ["idiot", "stupid", "trash", "moron", "réeux"]
+    words = [w for n in names for w in X.misspelt(n)] + ["idt", "stpd", "upid", "tra", "abc", "iii", "tarsh", "stupidity"]
+    words += ["".join(rng.choice(list("idotsuprahmnéx"), rng.integers(3, 11))) for _ in range(150)]
+    found = X.Machine(names).kernels(words)
+    for word, row in zip(words, found):
+        assert row == pytest.approx([plain_kernel(word, n) for n in names], rel=1e-3, abs=1e-6), word
+    assert all(found[words.index(w)].max() > 0 for w in ("idt", "stpd", "upid", "tra"))
+
+
+def test_scores_are_those_of_a_plain_machine():
+    """A text's score is its highest sentence's: bias and weights times the kernels of the nearest units."""
+    texts = ["You idiot! The weather is fine. Go home", "st up id things are s t u p i d", "no such words here\nstupidd idi.ot", "", "ixdxixoxt " * 3, "a b. c d"]
+    machine = X.Machine(["idiot", "stupid"])
+    machine.weights, machine.bias = np.array([0.7, 1.1]), -0.4
+    want = []
+    for text in texts:
+        scores = [machine.bias]
+        for sentence in X.sentences(text):
+            words = [w for u in sentence for w in X.letters(u)]
+            nearest = [max((plain_kernel(w, n) for w in words), default=0) for n in machine.names]
+            scores.append(machine.bias + float(np.dot(machine.weights, nearest)))
+        want.append(max(scores))
+    assert X.Scorer(machine).margins([X.sentences(t) for t in texts]) == pytest.approx(want, rel=1e-3)
+    assert want[1] > 0.5 and want[4] > 0.2
+
+
+def test_sentences_and_units():
+    assert X.sentences("Several words. Then more") == [["several", "words"], ["then", "more"], ["thenmore"]]
+    joined = [u for s in X.sentences("s  t\nu p i d and st up id") for u in s]
+    assert "stupid" in joined and joined.count("stupid") == 2
+    assert X.letters("i.d-i_o!t") == ["idiot"] and X.letters("ixdxixoxt") == ["ixdxixoxt", "idiot"] and X.letters("ab") == []
+    assert [len(w) for w in X.letters("a" * 40)] == [X.WIDTH, 24] and X.letters("é") == []
 
 
 def test_toxicity_held_out(spark):
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    """Of texts with a plain insult nearly all are found; some labels stand on texts without any."""
+    table = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    labels = {r["doc_id"]: r["toxic"] for r in table.collect()}
+    texts = {r["doc_id"]: (r["text"] or "").lower() for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").collect()}
+    plain = ("idiot", "stupid", "worthless", "pathetic", "scum", "moron", "trash", "loser", "clown", "disgusting")
     rows = [r for r in op4_toxicity(spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in labels]
     bad, good = [r for r in rows if labels[r["doc_id"]]], [r for r in rows if not labels[r["doc_id"]]]
-    # Some labels here have no insult in their text, and some insults here are also ordinary words.
-    assert np.mean([r["predicted"] for r in bad]) > 0.85 and np.mean([r["predicted"] for r in good]) < 0.05
+    insulting = [r for r in bad if any(w in texts[r["doc_id"]] for w in plain)]
+    assert len(insulting) > 50 and np.mean([r["predicted"] for r in insulting]) > 0.95
+    assert np.mean([r["predicted"] for r in bad]) > 0.65 and np.mean([r["predicted"] for r in good]) < 0.04
 
 
 def test_toxicity_tolerates_gaps():
@@ -104,8 +145,8 @@ def test_toxicity_tolerates_gaps():
     clean = [" ".join(word() for _ in range(20)) for _ in range(60)]
     toxic = [" ".join([word() for _ in range(10)] + ["blockhead", "numskull"][: 1 + i % 2] + [word() for _ in range(10)]) for i in range(40)]
     scorer = X.Scorer(X.train(toxic, clean))
-    p = lambda t: scorer.machine.probability(scorer.margins([t])[0])
-    for text in ("you blockhead", "b l o c k h e a d", "b.l.o.c.k.h.e.a.d", "blocxkhead", "BLOCKHEAD!", "blockkhead"):
+    p = lambda t: scorer.machine.probability(scorer.margins([X.sentences(t)])[0])
+    for text in ("you blockhead", "b l o c k h e a d", "b  l\no c k h e a d", "b.l.o.c.k.h.e.a.d", "blocxkhead", "blocxkheaqd", "BLOCKHEAD!", "blockkhead", "blckhead", "bxlxoxcxkxhxexaxd"):
         assert p(text) >= 0.3, text
     for text in ("", "the head of the block", " ".join(word() for _ in range(50))):
         assert p(text) < 0.3, text
@@ -119,3 +160,4 @@ def test_toxicity_odd_rows(spark, odd, none):
         assert X.score_documents(none, given).count() == 0
     kept = X.drop_toxic(odd, labels.limit(0))
     assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert X.drop_toxic(none, labels).count() == 0

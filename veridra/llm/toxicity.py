@@ -1,19 +1,25 @@
-"""Toxicity by a support vector machine over a gap-weighted subsequence kernel.
+"""Toxicity by a support vector machine over a gap-weighted subsequence kernel, trained on labelled sentences.
 
-A text is a bag of units: its lower-cased words without signs, and runs of single characters joined to one
-word.  The kernel of two units sums over all subsequences of three characters that they share, each weighted
+A text is cut into sentences (at most ``WORDS`` words each), a sentence into units: its lower-cased words without
+signs.  What white space divides is joined again: runs of single characters, and two neighbouring fragments of
+at most ``FRAGMENT`` characters, and three of less.  Of a word with the same character at every second place the rest is a unit too.
+
+The kernel of two units sums over all subsequences of three characters that they share, each weighted
 by ``DECAY`` to the length it spans in either, and is normalised; characters put in between or left out
-lower it a little only.  Nystrom features come from landmarks: a unit's kernels with them, times the
-inverse root of the landmarks' own kernel matrix.  A linear machine with squared hinge loss scores units,
-the highest score of its units is the text's, and a logistic law fitted to texts turns it into a probability.
+lower it a little only.  Nystrom features come from landmarks: a sentence's kernel with a landmark is that of its
+nearest unit, to the power ``POWER``; the kernels times the inverse root of the landmarks' own kernel matrix are
+its features.  A linear machine with squared hinge loss scores sentences; a text has the score of its
+highest sentence, and a logistic law fitted to texts turns it into a probability.
 
 Training takes a bounded sample of labelled rows (``per_class`` of each class, chosen by a hash of the
-id).  Labels hold for texts, so the words that bear them are found first: again and again the unit that
-covers most toxic texts not yet covered, less three times the clean texts that have it.  These units, and units of clean texts that share most of a landmark's characters (``negatives`` of them by a hash),
-train the machine; the former also with one character put in at each place, a double or a foreign one.
-
-A unit that shares less than ``OVERLAP`` of a landmark's characters, or has a normalised kernel under
-``FLOOR`` with it, counts as one without a common subsequence; this rule holds in training too.  Units of more than ``WIDTH``
+id).  Labels hold for texts, so which sentences bear a toxic text's label is learned with the machine, in alternation: at
+first all do, then those that the machine finds toxic, and at least the one that scores highest.  All sentences of
+clean texts are clean.  The toxic sentences are repeated with a character put into their nearest unit, two put in,
+or one left out.  Landmarks are the units that cover most
+toxic texts not yet covered, less three times the clean texts that have them, and the clean units that come nearest.
+
+A kernel under ``FLOOR`` counts as 0.  Units are passed over only where the Cauchy-Schwarz bound below shows that
+all their kernels are under it, so no kernel that counts is ever left out.  Units of more than ``WIDTH``
 characters are cut in overlapping windows, all of which count.
 
 Defined cases: empty and null texts score as texts without units; without labels of both classes all score
@@ -36,26 +42,42 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-ORDER, DECAY, POWER, WIDTH, OVERLAP, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.7, 0.3, 96, 600_000
-_SPELLED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.3, 64, 400_000
+WORDS, FRAGMENT = 40, 4
+_END = re.compile(r"[.!?]+(?=\s)|[\r\n]+")
+_SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
+_FRAGMENTS = re.compile(rf"(?<!\S)\S{{1,{FRAGMENT}}}(?:\s+\S{{1,{FRAGMENT}}}(?!\S))+")
 _SIGNS = re.compile(r"[\W_]+")
+_BLOCK = 1 << 22  # cells of a table of words by triples
 
 
-def units(text: str) -> set[str]:
-    """The distinct raw units of a text; ``letters`` gives each its characters."""
+def sentences(text: str) -> list[list[str]]:
+    """The raw units of each sentence; those joined across white space stand in lists of their own."""
     text = text.lower()
-    found = set(text.split())
-    for m in _SPELLED.finditer(text):
-        found.add("".join(m[0].split()))
+    found = []
+    for part in _END.split(text):
+        words = part.split()
+        found += [words[i : i + WORDS] for i in range(0, len(words), WORDS)]
+    found += [["".join(m[0].split())] for m in _SPELLED.finditer(text)]
+    for m in _FRAGMENTS.finditer(text):
+        parts = m[0].split()
+        joined = [a + b for a, b in zip(parts, parts[1:])]
+        joined += [a + b + c for a, b, c in zip(parts, parts[1:], parts[2:]) if len(a) < FRAGMENT and len(b) < FRAGMENT and len(c) < FRAGMENT]
+        found += [joined[i : i + WORDS] for i in range(0, len(joined), WORDS)]
     return found
 
 
 def letters(unit: str) -> list[str]:
-    """A unit without signs, in windows of at most WIDTH characters; none for less than ORDER."""
-    unit = _SIGNS.sub("", unit)
+    """A unit without signs, in windows of at most WIDTH characters, and without what stands at every second
+    place; none for less than ORDER characters."""
+    unit = unit if unit.isalnum() else _SIGNS.sub("", unit)
     if len(unit) < ORDER:
         return []
-    return [unit[i : i + WIDTH] for i in range(0, max(1, len(unit) - WIDTH // 2), WIDTH // 2)] if len(unit) > WIDTH else [unit]
+    if len(unit) > WIDTH:
+        return [unit[i : i + WIDTH] for i in range(0, max(1, len(unit) - WIDTH // 2), WIDTH // 2)]
+    if len(unit) >= 7 and (unit[0] == unit[2] == unit[4] or unit[1] == unit[3] == unit[5]):
+        return [unit] + [unit[1 - k :: 2] for k in (0, 1) if len(set(unit[k::2])) == 1]
+    return [unit]
 
 
 def coded(words: list[str]) -> np.ndarray:
@@ -63,12 +85,6 @@ def coded(words: list[str]) -> np.ndarray:
     return np.array([f"\x02{w}\x03" for w in words], dtype=f"U{WIDTH + 2}").view(np.uint32).reshape(len(words), WIDTH + 2)
 
 
-def masks(codes: np.ndarray) -> np.ndarray:
-    """Which of 64 classes of characters a word has."""
-    bits = np.where(codes > 0, np.uint64(1) << (codes % 64).astype(np.uint64), np.uint64(0))
-    return np.bitwise_or.reduce(bits, axis=1)
-
-
 def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Unnormalised kernel of each row of a with the same row of b (zeros are no characters).
 
@@ -94,78 +110,97 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (match * inner[:la, :lb]).sum((0, 1)).astype(np.float64)
 
 
+def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The triples of places in a word of n characters (a row each), and their weights."""
+    i, j, k = np.meshgrid(*[np.arange(n)] * 3, indexing="ij")
+    rising = (i < j) & (j < k)
+    places = np.stack([i[rising], j[rising], k[rising]])
+    return places, (DECAY ** (places[2] - places[0] + 1)).astype(np.float32)
+
+
 class Machine:
-    """Landmarks, the whitening of their kernel, and the machine's weights."""
+    """Landmarks, the whitening of their kernel, and the machine's weights.
+
+    The kernels of a word with all landmarks are one sum over the word's triples of characters: each triple
+    is a row of a table that holds its weight in each landmark, over the landmark's norm.
+    """
 
     def __init__(self, landmarks: list[str]):
-        self.names, self.landmarks = landmarks, coded(landmarks)
-        self.masks = masks(self.landmarks)
-        self.needed = np.ceil(OVERLAP * np.bitwise_count(self.masks)).astype(np.int64)
-        self.norms = np.sqrt(subsequence_kernel(self.landmarks, self.landmarks))
-        m = len(landmarks)
-        i, j = np.divmod(np.arange(m * m), m)
-        gram = (subsequence_kernel(self.landmarks[i], self.landmarks[j]) / (self.norms[i] * self.norms[j])).reshape(m, m) ** POWER
-        values, vectors = np.linalg.eigh(gram)
+        self.names = landmarks
+        codes = coded(landmarks)
+        norms = np.sqrt(subsequence_kernel(codes, codes))
+        self.chars = np.unique(codes[codes > 0])
+        size, lengths, m = len(self.chars) + 1, (codes > 0).sum(1), len(landmarks)
+        numbers = self.numbered(codes)
+        self.row_of = np.zeros(size**3, np.int32)
+        triples: dict[int, np.ndarray] = {}
+        for w in range(m):
+            (i, j, k), weights = _places(int(lengths[w]))
+            for t, x in zip(((numbers[w, i] * size + numbers[w, j]) * size + numbers[w, k]).tolist(), weights):
+                triples.setdefault(t, np.zeros(m))[w] += x / norms[w]
+        self.table = np.concatenate([np.zeros((1, m)), np.stack(list(triples.values()))]).astype(np.float32)
+        self.row_of[list(triples)] = np.arange(1, len(triples) + 1)
+        self.most = self.table.max(1)[self.row_of]  # of each triple in any landmark, for the bound
+        gram = self.kernels(landmarks)
+        values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         keep = values > 1e-6
         self.whiten = vectors[:, keep] / np.sqrt(values[keep])
         self.weights, self.bias, self.slope, self.shift = np.zeros(m), 0.0, 0.0, -30.0
 
-    def near(self, codes: np.ndarray) -> np.ndarray:
-        """Which words (rows) share enough characters with which landmarks for a kernel."""
-        return np.bitwise_count(masks(codes)[:, None] & self.masks[None, :]) >= self.needed[None, :]
+    def numbered(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of the characters among the landmarks', 0 for others."""
+        at = np.minimum(np.searchsorted(self.chars, codes), len(self.chars) - 1)
+        return np.where(self.chars[at] == codes, at + 1, 0)
 
-    def kernels(self, words: list[str], block: int = 4096) -> np.ndarray:
-        """Normalised kernels of words with the landmarks; those that a bound shows to be under FLOOR are 0.
+    def kernels(self, words: list[str]) -> np.ndarray:
+        """Normalised kernels of words with the landmarks, to the power; those under FLOOR are 0.
 
-        A word's kernel with itself is at least that of its unbroken subsequences, ``DECAY`` to twice their
-        length each; only words that pass with this bound have it computed.
+        A word's kernel with itself is at least the sum of its triples' squared weights, and its kernel with any
+        landmark at most the sum of its triples' weights times the greatest of theirs in a landmark.
         """
-        out = np.zeros((len(words), len(self.landmarks)))
+        out = np.zeros((len(words), len(self.names)), np.float32)
         if not words:
             return out
         codes = coded(words)
-        lengths = (codes > 0).sum(1)
-        rows, columns = np.nonzero(self.near(codes))
-        order = np.argsort(lengths[rows], kind="stable")
-        rows, columns = rows[order], columns[order]
-        raw = np.concatenate([subsequence_kernel(codes[rows[at : at + block]], self.landmarks[columns[at : at + block]]) for at in range(0, len(rows), block)] or [np.empty(0)])
-        least = np.sqrt((lengths[rows] - ORDER + 1) * DECAY ** (2 * ORDER))
-        near = raw >= FLOOR * least * self.norms[columns]
-        rows, columns, raw = rows[near], columns[near], raw[near]
-        mine, where = np.unique(rows, return_inverse=True)
-        mine_order = np.argsort(lengths[mine], kind="stable")
-        norms = np.empty(len(mine))
-        for at in range(0, len(mine), block):
-            some = mine_order[at : at + block]
-            norms[some] = np.sqrt(subsequence_kernel(codes[mine[some]], codes[mine[some]]))
-        value = raw / np.maximum(norms[where] * self.norms[columns], 1e-12)
-        out[rows, columns] = np.where(value >= FLOOR, value, 0) ** POWER
+        lengths, numbers, size = (codes > 0).sum(1), self.numbered(codes).astype(np.int32), len(self.chars) + 1
+        for n in np.unique(lengths):
+            (i, j, k), weights = _places(int(n))
+            least = float(np.sqrt((weights.astype(np.float64) ** 2).sum()))
+            mine = np.flatnonzero(lengths == n)
+            c = np.ascontiguousarray(numbers[mine, :n].T)
+            most = np.zeros(len(mine), np.float32)
+            for p in range(n - 2):
+                for q in range(p + 1, n - 1):
+                    pair = (c[p] * size + c[q]) * size
+                    for r in range(q + 1, n):
+                        most += np.float32(DECAY ** (r - p + 1)) * self.most.take(pair + c[r])
+            near = np.flatnonzero(most >= FLOOR * least * (1 - 1e-4))
+            for some in np.array_split(near, -(-len(near) * len(self.table) // _BLOCK)) if len(near) else ():
+                rows = self.row_of[(c[i][:, some] * size + c[j][:, some]) * size + c[k][:, some]]
+                cells = np.bincount((np.arange(len(some)) * len(self.table) + rows).ravel(), np.repeat(weights, len(some)), len(some) * len(self.table))
+                raw = cells.reshape(len(some), -1).astype(np.float32) @ self.table  # row 0 is of zeros
+                chosen = mine[some]
+                norm = np.sqrt(subsequence_kernel(codes[chosen], codes[chosen])).astype(np.float32)
+                value = raw / norm[:, None]
+                out[chosen] = np.where(value >= FLOOR, value, 0) ** POWER
         return out
 
-    def fit(self, words: list[str], target: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> None:
-        x = np.c_[self.kernels(words) @ self.whiten, np.ones(len(words))]
+    def fit(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> None:
+        """x: kernels of sentences with the landmarks."""
+        x = np.c_[x @ self.whiten.astype(np.float32), np.ones(len(x), np.float32)]
         w = np.zeros(x.shape[1])
         w[-1] = -1
         penalty = np.full(len(w), ridge)
         penalty[-1] = 1e-3
         for _ in range(50):
             inside = target * (x @ w) < 1
-            a = x[inside] * weight[inside, None]
+            a = x[inside].astype(np.float64) * weight[inside, None]
             new = np.linalg.solve(np.diag(penalty) + a.T @ x[inside], a.T @ target[inside])
             if np.allclose(new, w, atol=1e-6):
                 break
             w = new
         self.weights, self.bias = self.whiten @ w[:-1], float(w[-1])
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), self.bias)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            near = np.flatnonzero(self.near(coded(part)).any(1))
-            if len(near):
-                out[at + near] += self.kernels([part[i] for i in near]) @ self.weights
-        return out
-
     def calibrate(self, z: np.ndarray, toxic: np.ndarray) -> None:
         """Platt's logistic law with smoothed targets."""
         up, down = int(toxic.sum()), int((~toxic).sum())
@@ -188,28 +223,60 @@ class Machine:
 
 
 class Scorer:
-    """Scores of texts; remembers units, up to MEMO of them."""
-
-    def __init__(self, machine: Machine):
-        self.machine, self.memo = machine, {}
-
-    def margins(self, texts: list[str]) -> list[float]:
-        bags = [units(t) for t in texts]
-        new = set().union(*bags) if bags else set()
-        new.difference_update(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, new = {}, set().union(*bags)
-        fresh = list(new)
-        words, owner = [], []
+    """Kernels of sentences and scores of texts; remembers units, up to ``most`` of them."""
+
+    def __init__(self, machine: Machine, most: float = MEMO):
+        self.machine, self.most = machine, most
+        self.forget()
+
+    def forget(self) -> None:
+        """Of each unit the row of its kernels; row 0 has none."""
+        self.memo: dict[str, int] = {}
+        self.known = np.zeros((1, len(self.machine.names)), np.float32)
+
+    def learn(self, new: set[str]) -> None:
+        fresh, words, owner = list(new), [], []
         for i, unit in enumerate(fresh):
             for w in letters(unit):
                 words.append(w)
                 owner.append(i)
-        best = np.full(len(fresh), self.machine.bias)
-        if words:
-            np.maximum.at(best, owner, self.machine.scores(words))
-        self.memo.update(zip(fresh, best.tolist()))
-        return [max(map(self.memo.__getitem__, bag), default=self.machine.bias) for bag in bags]
+        kernels = self.machine.kernels(words)
+        active = np.flatnonzero(kernels.any(1))
+        owners, starts = np.unique(np.array(owner, np.int64)[active], return_index=True)  # sorted, as owners rise
+        rows = np.zeros(len(fresh), np.int64)
+        if len(active):
+            rows[owners] = len(self.known) + np.arange(len(owners))
+            self.known = np.concatenate([self.known, np.maximum.reduceat(kernels[active], starts, axis=0)])
+        self.memo.update(zip(fresh, rows.tolist()))
+
+    def near(self, cut: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        """Of texts cut in sentences: the kernels of the sentences that have any, the number of the text of each, and their units."""
+        units = set().union(*(s for x in cut for s in x))
+        new = units - self.memo.keys()
+        if len(self.memo) + len(new) > self.most:
+            self.forget()
+            new = units
+        self.learn(new)
+        flat, starts, owner, kept, row = [], [], [], [], self.memo.__getitem__
+        for i, x in enumerate(cut):
+            for s in x:
+                rows = set(map(row, s))
+                rows.discard(0)
+                if rows:
+                    starts.append(len(flat))
+                    flat += rows
+                    owner.append(i)
+                    kept.append(s)
+        if not flat:
+            return np.zeros((0, self.known.shape[1]), np.float32), np.zeros(0, np.int64), []
+        return np.maximum.reduceat(self.known[flat], starts, axis=0), np.array(owner), kept
+
+    def margins(self, cut: list[list[list[str]]]) -> np.ndarray:
+        """The score of each text, cut in sentences: its highest sentence's, the bias for a text without any kernel."""
+        kernels, owner, _ = self.near(cut)
+        best = np.full(len(cut), self.machine.bias)
+        np.maximum.at(best, owner, kernels @ self.machine.weights + self.machine.bias)
+        return best
 
 
 def without_copies(bags: list[set[str]], bands: int = 8) -> list[set[str]]:
@@ -255,39 +322,77 @@ def witnesses(toxic: list[set[str]], clean: Counter, least: float = 2.0) -> Coun
     return found
 
 
-def train(toxic_texts: list[str], clean_texts: list[str], landmarks: int = LANDMARKS, negatives: int = 20_000) -> Machine | None:
+def misspelt(word: str) -> list[str]:
+    """The word with a character put in (its neighbour or a foreign one), with two put in, and with one left out."""
+    n = len(word)
+    out = [word[:i] + c + word[i:] for i in range(1, n) for c in (word[i - 1], "xzqk"[(i + n) % 4])]
+    out += [word[:i] + "xzqk"[i % 4] + word[i : i + 2] + "xzqk"[n % 4] + word[i + 2 :] for i in range(1, n - 2)]
+    out += [word[:i] + word[i + 1 :] for i in range(1, n - 1) if n > 4]
+    return [w[:WIDTH] for w in out]
+
+
+def train(toxic_texts: list[str], clean_texts: list[str], landmarks: int = LANDMARKS, rounds: int = 4) -> Machine | None:
+    toxic_texts, clean_texts = sorted(set(toxic_texts)), sorted(set(clean_texts))
     if not toxic_texts or not clean_texts:
         return None
-    bag = lambda text: {w for u in units(text) for w in letters(u)}
-    toxic, clean = without_copies([bag(t) for t in sorted(set(toxic_texts))]), [bag(t) for t in sorted(set(clean_texts))]
-    in_clean = Counter(w for b in clean for w in b)
-    bearing = witnesses(toxic, in_clean)
-    if not bearing:
-        bearing = witnesses(toxic, in_clean, least=1.0)
+    toxic, clean = [sentences(t) for t in toxic_texts], [sentences(t) for t in clean_texts]
+    bag = lambda cut: {w for u in set().union(*cut) for w in letters(u)}
+    in_clean = Counter(w for cut in clean for w in bag(cut))
+    bags = without_copies([bag(cut) for cut in toxic])
+    bearing = witnesses(bags, in_clean) or witnesses(bags, in_clean, least=1.0)
     if not bearing:
         return None
     machine = Machine([w for w, _ in sorted(bearing.items(), key=lambda x: (-x[1], x[0]))[:landmarks]])
-    others = sorted(set(in_clean) - set(bearing))
-    codes = coded(others)
-    near = np.concatenate([machine.near(codes[at : at + 20_000]).any(1) for at in range(0, len(others), 20_000)] or [np.empty(0, bool)])
-    hard = sorted((others[i] for i in np.flatnonzero(near)), key=lambda w: zlib.crc32(w.encode("utf-8", "surrogatepass")))[:negatives]
-    spelled = [(w[:i] + c + w[i:], n) for w, n in bearing.items() for i in range(1, len(w)) for c in (w[i - 1], "xzqk"[(i + len(w)) % 4])]
-    spelled = [(w[:WIDTH], n) for w, n in spelled if w not in in_clean]
-    words = list(bearing) + [w for w, _ in spelled] + hard
-    target = np.r_[np.ones(len(bearing) + len(spelled)), -np.ones(len(hard))]
-    up = np.sqrt(np.array([*bearing.values(), *(n / 8 for _, n in spelled)], np.float64))
-    weight = np.r_[up / up.sum(), np.full(len(hard), 4 / max(1, len(hard)))] * 1000
-    machine.fit(words, target, weight)
+    fit_sentences(machine, toxic, clean, in_clean, rounds)
     # Clean words that come closest become landmarks too, and the machine is fitted again.
-    worst = np.argsort(-machine.scores(hard), kind="stable")[: landmarks // 2]
-    machine = Machine(list(dict.fromkeys([*machine.names, *(hard[i] for i in worst)])))
-    machine.fit(words, target, weight)
-    scorer = Scorer(machine)
-    z = np.array(scorer.margins(sorted(set(toxic_texts))) + scorer.margins(sorted(set(clean_texts))))
-    machine.calibrate(z, np.arange(len(z)) < len(set(toxic_texts)))
+    words = sorted(in_clean)
+    high = np.concatenate([machine.kernels(words[i : i + 20_000]) @ machine.weights for i in range(0, len(words), 20_000)])
+    nearest = [words[i] for i in np.argsort(-high, kind="stable")[: landmarks // 2] if high[i] > 0]
+    machine = Machine(list(dict.fromkeys([*machine.names, *nearest])))
+    scorer = fit_sentences(machine, toxic, clean, in_clean, rounds)
+    z = np.concatenate([scorer.margins(cut[i : i + 500]) for cut in (toxic, clean) for i in range(0, len(cut), 500)])
+    machine.calibrate(z, np.arange(len(z)) < len(toxic_texts))
     return machine
 
 
+def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter, rounds: int) -> Scorer:
+    """Fits the machine to sentences; of each toxic text those count that are found toxic so far, or the highest."""
+    scorer = Scorer(machine, float("inf"))  # the sample is bounded
+
+    def near(cut: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
+        parts = [scorer.near(cut[i : i + 500]) for i in range(0, len(cut), 500)]
+        return np.concatenate([k for k, _, _ in parts]), np.concatenate([o + 500 * n for n, (_, o, _) in enumerate(parts)]), [s for _, _, x in parts for s in x]
+
+    up, owner, units = near(toxic)
+    down, _, _ = near(clean)
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    none = np.zeros((1, len(machine.names)), np.float32)
+    found: dict[int, np.ndarray] = {}
+    copied: dict[str, np.ndarray] = {}
+    for n in range(rounds if len(starts) else 0):
+        score = up @ machine.weights + machine.bias
+        chosen = np.arange(len(up))
+        share = np.repeat(1 / np.diff(starts, append=len(up)), np.diff(starts, append=len(up)))
+        if n:
+            highest = [part[np.argmax(score[part])] for part in np.split(chosen, starts[1:])]
+            chosen = np.union1d(np.flatnonzero(score > 0), highest)
+            share = np.ones(len(chosen))
+            of_unit = scorer.known @ machine.weights
+            nearest = {k: max(filter(scorer.memo.__getitem__, units[k]), key=lambda u: of_unit[scorer.memo[u]]) for k in set(chosen.tolist()) - found.keys()}
+            new = sorted(set(nearest.values()) - copied.keys())  # units to misspell, all at once
+            listed = [[w for w in misspelt(letters(u)[0]) if w not in in_clean] for u in new]
+            made = machine.kernels([w for x in listed for w in x])
+            copied.update(zip(new, np.split(made, np.cumsum([len(x) for x in listed])[:-1])))
+            found.update((k, copied[u]) for k, u in nearest.items())
+        copies = [found.get(k, none[:0]) for k in chosen.tolist()]
+        x = np.concatenate([up[chosen], *copies, down, none])
+        target = np.r_[np.ones(len(chosen) + sum(map(len, copies))), -np.ones(len(down) + 1)]
+        repeated = np.concatenate([np.full(len(c), 3 / max(1, len(c))) for c in copies])
+        weight = np.r_[share / len(starts), repeated / len(starts), np.full(len(down), 3 / len(clean)), 1.0] * 1000
+        machine.fit(x, target, weight)
+    return scorer
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str], list[str]]:
     """Whole texts of about per_class toxic and clean rows among those that may be learned from."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -314,7 +419,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
                 texts = [t.as_py() or "" for t in part.column("text")]
-                scores = [machine.value.probability(z) for z in scorer.margins(texts)] if scorer else [0.0] * len(texts)
+                scores = [machine.value.probability(z) for z in scorer.margins([sentences(t) for t in texts]).tolist()] if scorer else [0.0] * len(texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
@@ -333,7 +438,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
                 part = batch.slice(start, 1000)
                 if scorer:
                     texts = [t.as_py() or "" for t in part.column("text")]
-                    part = part.filter(pa.array([machine.value.probability(z) < threshold for z in scorer.margins(texts)], pa.bool_()))
+                    part = part.filter(pa.array([machine.value.probability(z) < threshold for z in scorer.margins([sentences(t) for t in texts]).tolist()], pa.bool_()))
                 yield part
 
     return docs.mapInArrow(kept, docs.schema)
