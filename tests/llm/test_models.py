@@ -11,34 +11,41 @@ SF = "/root/testdata/sf0.01"
 
 
 def test_code_lengths_are_those_of_a_plain_ppm():
-    """The tables against a dictionary of counts walked symbol by symbol."""
-    samples = {"a": [b"the cat sat on the mat", b"then"], "b": [b"der hund und die katze"]}
+    """The tables against counts of raw bytes walked one by one; nothing of the model but its answers is read."""
+    samples = {"a": [b"the cat sat on the mat", b"then"], "b": [b"der hund und die katze"], "c": ["Кот и пёс".encode(), "你好".encode()]}
     model = P.train(samples)
-    for text in (b"the hat", b"katze", b"zzz qq", b"a"):
-        want = []
-        for lang in sorted(samples):
-            counts = {}
-            stream = [x for t in samples[lang] for x in [P.SPACE] * 3 + [int(v) for v in model["map"][np.frombuffer(t, np.uint8)]]]
-            for n in range(1, 5):
-                for i in range(n - 1, len(stream)):
-                    key = tuple(stream[i - n + 1 : i])
-                    counts.setdefault(key, {}).setdefault(stream[i], 0)
-                    counts[key][stream[i]] += 1
-
-            def dist(context):
-                shorter = dist(context[1:]) if context else {k: 1 / P.SYMBOLS for k in range(P.SYMBOLS)}
-                seen = counts.get(tuple(context))
-                if not seen:
-                    return shorter
-                n, d = sum(seen.values()), len(seen)
-                left = sum(p for k, p in shorter.items() if k not in seen)
-                return {k: seen[k] / (n + d) if k in seen else d / (n + d) * p / left for k, p in shorter.items()}
-
-            s = [P.SPACE] * 3 + [int(v) for v in model["map"][np.frombuffer(text, np.uint8)]]
-            want.append(sum(-np.log2(dist(s[i - 3 : i])[s[i]]) for i in range(3, len(s))))
+    counts = {}
+    for lang, texts in samples.items():
+        mine = counts[lang] = {}
+        stream = b"".join(b"   " + t for t in texts)
+        for n in range(1, 5):
+            for i in range(n - 1, len(stream)):
+                key = stream[i - n + 1 : i]
+                mine.setdefault(key, {}).setdefault(stream[i], 0)
+                mine[key][stream[i]] += 1
+
+    def dist(lang, context):
+        shorter = dist(lang, context[1:]) if context else {k: 1 / 256 for k in range(256)}
+        seen = counts[lang].get(context)
+        if not seen:
+            return shorter
+        n, d = sum(seen.values()), len(seen)
+        left = sum(p for k, p in shorter.items() if k not in seen)
+        return {k: seen[k] / (n + d) if k in seen else d / (n + d) * p / left for k, p in shorter.items()}
+
+    for text in (b"the hat", b"katze", b"zzz qq", b"a", b"The 123 (CAT)!", "кот 你们 ñ".encode(), bytes(range(256))):
+        s = b"   " + text
+        want = [sum(-np.log2(dist(lang, s[i - 3 : i])[s[i]]) for i in range(3, len(s))) for lang in sorted(samples)]
         assert P.code_lengths(text, model) == pytest.approx(want, rel=1e-4)
 
 
+def test_scripts_are_told_apart():
+    samples = {"ru": ["кошка сидит на окне и смотрит на улицу".encode()], "uk": ["кішка сидить на вікні і дивиться на вулицю".encode()], "zh": ["我们今天去学校学习中文".encode()], "ja": ["私たちは今日学校で勉強します".encode()], "ar": ["القط يجلس على النافذة".encode()]}
+    model = P.train(samples)
+    for lang, text in {"ru": "на окне кошка", "uk": "на вікні кішка", "zh": "我们学习", "ja": "私たちは勉強", "ar": "على القط"}.items():
+        assert P.predict(text, model)[0] == lang
+
+
 def test_long_texts_are_scored_whole():
     model = P.train({"a": [b"the cat sat"], "b": [b"der hund"]})
     text = b"the cat " * 300_000

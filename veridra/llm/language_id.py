@@ -7,10 +7,10 @@ are distinct followers, method C) and then its code in the next shorter context,
 bytes already ruled out are excluded.  The shortest code wins; the score is the winner's share when code
 lengths are turned back into probabilities.
 
-As the counts are frozen, the tree is unfolded into tables: the last three bytes give a state, state and
-next byte the code lengths in all languages.  Whole texts are scored by array lookups.  ASCII letters are
-folded to lower case, digits, white space and ASCII punctuation to one symbol each, and the bytes from
-0x80 that are rarest in training share a symbol, so that there are 64.
+As the counts are frozen, the trees are unfolded into tables.  All 256 bytes are symbols of the code; those
+that no sample has behave alike everywhere, so one row stands for all of them.  A byte that followed its three-byte
+context in some language has its code lengths in all languages in one row; for any other, the escapes of the
+context are added to the row of the byte in the next shorter context.  Whole texts are scored by array lookups.
 
 Training takes all of about ``per_language`` labelled documents of each language, chosen by a hash of
 their ids; this bound is a parameter.  Prediction covers every text.
@@ -30,83 +30,95 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-SYMBOLS, BITS = 64, 6
-SPACE, DIGIT, MARK, OTHER = 26, 27, 28, 29
-CHUNK = 1 << 20
-
-
-def symbol_map(high_bytes: list[int]) -> np.ndarray:
-    """From byte to symbol; high_bytes: those from 0x80 with a symbol of their own."""
-    table = np.full(256, MARK, np.uint8)
-    table[np.arange(33)] = SPACE
-    table[127] = SPACE
-    table[48:58] = DIGIT
-    table[65:91] = table[97:123] = np.arange(26)
-    table[128:] = OTHER
-    for n, byte in enumerate(high_bytes[: SYMBOLS - OTHER - 1]):
-        table[byte] = OTHER + 1 + n
-    return table
-
-
-def _grams(texts: list[bytes], table: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of n symbols and their counts; a text begins after spaces."""
-    pad = np.full(3, SPACE, np.uint8)
-    s = np.concatenate([x for t in texts for x in (pad, table[np.frombuffer(t, np.uint8)])] or [pad]).astype(np.int64)
-    code = s[n - 1 :].copy()
-    for k in range(1, n):
-        code |= s[n - 1 - k : len(s) - k] << (BITS * k)
+BYTES, CHUNK = 256, 1 << 20
+_BEFORE = b"   "  # every text begins after spaces
+
+
+def symbol_map(samples: dict[str, list[bytes]]) -> tuple[np.ndarray, int]:
+    """From byte to symbol, 0 for all bytes that no sample has; and the number of symbols."""
+    seen = np.zeros(BYTES, bool)
+    seen[list(_BEFORE)] = True
+    for texts in samples.values():
+        for t in texts:
+            seen[np.unique(np.frombuffer(t, np.uint8))] = True
+    return np.where(seen, np.cumsum(seen), 0).astype(np.uint8 if seen.sum() < 256 else np.uint16), int(seen.sum()) + 1
+
+
+def _grams(texts: list[bytes], table: np.ndarray, size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of n symbols and their counts, in order."""
+    s = table[np.frombuffer(b"".join(_BEFORE + t for t in texts), np.uint8)].astype(np.int64)
+    code = np.zeros(max(0, len(s) - n + 1), np.int64)
+    for k in range(n):
+        code = code * size + s[k : len(s) - n + 1 + k]
     return np.unique(code, return_counts=True)
 
 
-def _with_escape(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """Rows of probabilities from rows of counts and those of the next shorter context."""
-    seen = counts > 0
-    total, distinct = counts.sum(1, keepdims=True), seen.sum(1, keepdims=True)
-    left = np.where(seen, 0, shorter)
-    share = left.sum(1, keepdims=True)
-    norm = np.maximum(total + distinct, 1)
-    full = share <= 1e-12  # nothing is left to escape to
-    inner = np.where(full, counts / np.maximum(total, 1), np.where(seen, counts / norm, distinct / norm * left / np.maximum(share, 1e-300)))
-    return np.where(total > 0, inner, shorter)
+def _with_escape(codes: np.ndarray, counts: np.ndarray, contexts: np.ndarray, shorter: np.ndarray, size: int, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of each symbol in each of the sorted contexts, and what an escape multiplies the shorter context's by.
+
+    shorter: the probabilities in the contexts' next shorter ones; times: how many bytes a symbol stands for.
+    """
+    dense = np.zeros((len(contexts), size), np.float32)
+    dense[np.searchsorted(contexts, codes // size), codes % size] = counts
+    seen = dense > 0
+    total, distinct = dense.sum(1, keepdims=True), seen.sum(1, keepdims=True)
+    left = (np.where(seen, 0, shorter) * times).sum(1, keepdims=True)
+    escape = np.where(total > 0, distinct / np.maximum(total + distinct, 1) / np.maximum(left, 1e-30), 1.0)
+    return np.where(seen, dense / np.maximum(total + distinct, 1), escape * shorter), escape[:, 0]
 
 
 def train(samples: dict[str, list[bytes]]) -> dict:
     """samples: the texts of each language."""
     langs = sorted(samples)
-    high = np.zeros(256, np.int64)
-    for texts in samples.values():
-        high += np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256)
-    table = symbol_map([int(b) for b in np.argsort(-high[128:], kind="stable") + 128 if high[b]])
-    fours = {lang: _grams(samples[lang], table, 4) for lang in langs}
-    contexts = np.unique(np.concatenate([codes >> BITS for codes, _ in fours.values()]))
-    states = np.arange(SYMBOLS**3, dtype=np.int32) % SYMBOLS**2
-    states[contexts] = SYMBOLS**2 + np.arange(len(contexts), dtype=np.int32)
-    costs = np.empty(((SYMBOLS**2 + len(contexts)) * SYMBOLS, len(langs)), np.float32)
+    table, size = symbol_map(samples)
+    times = np.ones(size)
+    times[0] = BYTES + 1 - size
+    grams = {lang: [_grams(samples[lang], table, size, n) for n in (1, 2, 3, 4)] for lang in langs}
+    of = lambda n: [grams[lang][n - 1][0] for lang in langs]
+    twos = np.unique(np.concatenate([c // size for c in of(3)]))
+    threes = np.unique(np.concatenate([c // size for c in of(4)]))
+    fours = np.unique(np.concatenate(of(4)))
+    lower = np.empty(((size + len(twos)) * size, len(langs)), np.float32)
+    rows, escapes = np.empty((len(fours), len(langs)), np.float32), np.zeros((len(threes) + 1, len(langs)), np.float32)
     for k, lang in enumerate(langs):
-        shorter = np.full((1, SYMBOLS), 1 / SYMBOLS)
-        for n in (1, 2, 3):
-            codes, counts = _grams(samples[lang], table, n)
-            dense = np.zeros(SYMBOLS**n)
-            dense[codes] = counts
-            dense = dense.reshape(-1, SYMBOLS)
-            shorter = _with_escape(dense, np.tile(shorter, (SYMBOLS if n > 1 else 1, 1)))
-        codes, counts = fours[lang]
-        dense = np.zeros((len(contexts), SYMBOLS))
-        dense[np.searchsorted(contexts, codes >> BITS), codes & (SYMBOLS - 1)] = counts
-        longest = _with_escape(dense, shorter[contexts % SYMBOLS**2])
-        costs[:, k] = -np.log2(np.concatenate([shorter, longest])).ravel()
+        none = np.full((1, size), 1 / BYTES)
+        one, _ = _with_escape(*grams[lang][0], np.zeros(1, np.int64), none, size, times)
+        two, _ = _with_escape(*grams[lang][1], np.arange(size), np.repeat(one, size, 0), size, times)
+        three, _ = _with_escape(*grams[lang][2], twos, two[twos % size], size, times)
+        lower[:, k] = -np.log2(np.concatenate([two, three])).ravel()
+        place = np.searchsorted(twos, threes % size**2)
+        for at in range(0, len(threes), 20_000):  # a dense table of all contexts would be large
+            some = threes[at : at + 20_000]
+            mine = slice(*np.searchsorted(grams[lang][3][0], [some[0] * size, (some[-1] + 1) * size]))
+            four, escape = _with_escape(grams[lang][3][0][mine], grams[lang][3][1][mine], some, three[place[at : at + 20_000]], size, times)
+            all_ = slice(*np.searchsorted(fours, [some[0] * size, (some[-1] + 1) * size]))
+            rows[all_, k] = -np.log2(four[np.searchsorted(some, fours[all_] // size), fours[all_] % size])
+            escapes[1 + at : 1 + at + len(some), k] = -np.log2(escape)
+    state_two = np.arange(size**2, dtype=np.int32) % size  # a pair that no sample has counts by its last symbol
+    state_two[twos] = size + np.arange(len(twos), dtype=np.int32)
+    state_three = np.zeros(size**3, np.int32)
+    state_three[threes] = 1 + np.arange(len(threes), dtype=np.int32)
+    row_of = np.full((len(threes) + 1, size), -1, np.int32)
+    row_of[1 + np.searchsorted(threes, fours // size), fours % size] = np.arange(len(fours), dtype=np.int32)
     sizes = np.array([len(samples[lang]) for lang in langs], np.float64)
-    return {"langs": langs, "map": table, "states": states, "costs": costs, "prior": -np.log2(sizes / sizes.sum())}
+    return {"langs": langs, "map": table, "size": size, "twos": state_two, "threes": state_three, "row_of": row_of.ravel(), "rows": rows, "escapes": escapes, "lower": lower, "prior": -np.log2(sizes / sizes.sum())}
 
 
 def code_lengths(text: bytes, model: dict) -> np.ndarray:
     """Bits that each language's statistics need for the whole text."""
-    total, before = np.zeros(len(model["langs"])), np.full(3, SPACE, np.uint8)
+    size, total = model["size"], np.zeros(len(model["langs"]))
+    before = model["map"][list(_BEFORE)]
     for at in range(0, len(text), CHUNK):
         s = np.concatenate([before, model["map"][np.frombuffer(text, np.uint8, min(CHUNK, len(text) - at), at)]])
         wide = s.astype(np.int32)
-        context = (wide[:-3] << (2 * BITS)) | (wide[1:-2] << BITS) | wide[2:-1]
-        total += model["costs"][model["states"][context] * SYMBOLS + wide[3:]].sum(0, dtype=np.float64)
+        two = wide[1:-2] * size + wide[2:-1]
+        state = model["threes"][wide[:-3] * size**2 + two]
+        row = model["row_of"][state * size + wide[3:]]
+        known = row >= 0
+        total += model["rows"][row[known]].sum(0, dtype=np.float64)
+        other = np.flatnonzero(~known)
+        total += model["escapes"][state[other]].sum(0, dtype=np.float64)
+        total += model["lower"][model["twos"][two[other]] * size + wide[3:][other]].sum(0, dtype=np.float64)
         before = s[-3:]
     return total
 
