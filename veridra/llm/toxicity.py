@@ -48,7 +48,7 @@ _END = re.compile(r"[.!?]+(?=\s)|[\r\n]+")
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 _FRAGMENTS = re.compile(rf"(?<!\S)\S{{1,{FRAGMENT}}}(?:\s+\S{{1,{FRAGMENT}}}(?!\S))+")
 _SIGNS = re.compile(r"[\W_]+")
-_BLOCK = 1 << 22  # cells of a table of words by triples
+_BLOCK, _AT_ONCE = 1 << 21, 20_000  # cells of a table of words by triples; words at once
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -159,8 +159,11 @@ class Machine:
         landmark at most the sum of its triples' weights times the greatest of theirs in a landmark.
         """
         out = np.zeros((len(words), len(self.names)), np.float32)
-        if not words:
-            return out
+        for at in range(0, len(words), _AT_ONCE):
+            self._kernels(words[at : at + _AT_ONCE], out[at : at + _AT_ONCE])
+        return out
+
+    def _kernels(self, words: list[str], out: np.ndarray) -> None:
         codes = coded(words)
         lengths, numbers, size = (codes > 0).sum(1), self.numbered(codes).astype(np.int32), len(self.chars) + 1
         for n in np.unique(lengths):
@@ -183,19 +186,24 @@ class Machine:
                 norm = np.sqrt(subsequence_kernel(codes[chosen], codes[chosen])).astype(np.float32)
                 value = raw / norm[:, None]
                 out[chosen] = np.where(value >= FLOOR, value, 0) ** POWER
-        return out
 
     def fit(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> None:
         """x: kernels of sentences with the landmarks."""
-        x = np.c_[x @ self.whiten.astype(np.float32), np.ones(len(x), np.float32)]
+        whiten = self.whiten.astype(np.float32)
+        x, given = np.ones((len(x), whiten.shape[1] + 1), np.float32), x
+        np.matmul(given, whiten, out=x[:, :-1])
         w = np.zeros(x.shape[1])
         w[-1] = -1
         penalty = np.full(len(w), ridge)
         penalty[-1] = 1e-3
         for _ in range(50):
-            inside = target * (x @ w) < 1
-            a = x[inside].astype(np.float64) * weight[inside, None]
-            new = np.linalg.solve(np.diag(penalty) + a.T @ x[inside], a.T @ target[inside])
+            inside = np.flatnonzero(target * (x @ w.astype(np.float32)) < 1)
+            square, right = np.diag(penalty), np.zeros(len(w))
+            for some in np.array_split(inside, 1 + len(inside) // _AT_ONCE):
+                a = x[some].astype(np.float64)
+                square += (a * weight[some, None]).T @ a
+                right += a.T @ (weight[some] * target[some])
+            new = np.linalg.solve(square, right)
             if np.allclose(new, w, atol=1e-6):
                 break
             w = new
@@ -235,19 +243,25 @@ class Scorer:
         self.known = np.zeros((1, len(self.machine.names)), np.float32)
 
     def learn(self, new: set[str]) -> None:
-        fresh, words, owner = list(new), [], []
-        for i, unit in enumerate(fresh):
-            for w in letters(unit):
-                words.append(w)
-                owner.append(i)
-        kernels = self.machine.kernels(words)
-        active = np.flatnonzero(kernels.any(1))
-        owners, starts = np.unique(np.array(owner, np.int64)[active], return_index=True)  # sorted, as owners rise
-        rows = np.zeros(len(fresh), np.int64)
-        if len(active):
-            rows[owners] = len(self.known) + np.arange(len(owners))
-            self.known = np.concatenate([self.known, np.maximum.reduceat(kernels[active], starts, axis=0)])
-        self.memo.update(zip(fresh, rows.tolist()))
+        listed = list(new)
+        parts = [self.known]
+        size = len(self.known)
+        for at in range(0, len(listed), _AT_ONCE):
+            fresh, words, owner = listed[at : at + _AT_ONCE], [], []
+            for i, unit in enumerate(fresh):
+                for w in letters(unit):
+                    words.append(w)
+                    owner.append(i)
+            kernels = self.machine.kernels(words)
+            active = np.flatnonzero(kernels.any(1))
+            owners, starts = np.unique(np.array(owner, np.int64)[active], return_index=True)  # sorted, as owners rise
+            rows = np.zeros(len(fresh), np.int64)
+            if len(active):
+                rows[owners] = size + np.arange(len(owners))
+                parts.append(np.maximum.reduceat(kernels[active], starts, axis=0))
+                size += len(owners)
+            self.memo.update(zip(fresh, rows.tolist()))
+        self.known = np.concatenate(parts)
 
     def near(self, cut: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Of texts cut in sentences: the kernels of the sentences that have any, the number of the text of each, and their units."""
@@ -335,7 +349,8 @@ def train(toxic_texts: list[str], clean_texts: list[str], landmarks: int = LANDM
     toxic_texts, clean_texts = sorted(set(toxic_texts)), sorted(set(clean_texts))
     if not toxic_texts or not clean_texts:
         return None
-    toxic, clean = [sentences(t) for t in toxic_texts], [sentences(t) for t in clean_texts]
+    one: dict[str, str] = {}  # equal units share their memory
+    toxic, clean = ([[[one.setdefault(u, u) for u in s] for s in sentences(t)] for t in texts] for texts in (toxic_texts, clean_texts))
     bag = lambda cut: {w for u in set().union(*cut) for w in letters(u)}
     in_clean = Counter(w for cut in clean for w in bag(cut))
     bags = without_copies([bag(cut) for cut in toxic])
@@ -350,7 +365,7 @@ def train(toxic_texts: list[str], clean_texts: list[str], landmarks: int = LANDM
     nearest = [words[i] for i in np.argsort(-high, kind="stable")[: landmarks // 2] if high[i] > 0]
     machine = Machine(list(dict.fromkeys([*machine.names, *nearest])))
     scorer = fit_sentences(machine, toxic, clean, in_clean, rounds)
-    z = np.concatenate([scorer.margins(cut[i : i + 500]) for cut in (toxic, clean) for i in range(0, len(cut), 500)])
+    z = np.concatenate([scorer.margins(cut[i : i + 100]) for cut in (toxic, clean) for i in range(0, len(cut), 100)])
     machine.calibrate(z, np.arange(len(z)) < len(toxic_texts))
     return machine
 
@@ -360,34 +375,34 @@ def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter,
     scorer = Scorer(machine, float("inf"))  # the sample is bounded
 
     def near(cut: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        parts = [scorer.near(cut[i : i + 500]) for i in range(0, len(cut), 500)]
-        return np.concatenate([k for k, _, _ in parts]), np.concatenate([o + 500 * n for n, (_, o, _) in enumerate(parts)]), [s for _, _, x in parts for s in x]
+        parts = [scorer.near(cut[i : i + 100]) for i in range(0, len(cut), 100)]
+        return np.concatenate([k for k, _, _ in parts]), np.concatenate([o + 100 * n for n, (_, o, _) in enumerate(parts)]), [s for _, _, x in parts for s in x]
 
     up, owner, units = near(toxic)
     down, _, _ = near(clean)
     starts = np.flatnonzero(np.diff(owner, prepend=-1))
     none = np.zeros((1, len(machine.names)), np.float32)
-    found: dict[int, np.ndarray] = {}
+    nearest: dict[int, str] = {}
     copied: dict[str, np.ndarray] = {}
     for n in range(rounds if len(starts) else 0):
         score = up @ machine.weights + machine.bias
-        chosen = np.arange(len(up))
+        chosen, times = np.arange(len(up)), Counter()
         share = np.repeat(1 / np.diff(starts, append=len(up)), np.diff(starts, append=len(up)))
         if n:
             highest = [part[np.argmax(score[part])] for part in np.split(chosen, starts[1:])]
             chosen = np.union1d(np.flatnonzero(score > 0), highest)
             share = np.ones(len(chosen))
             of_unit = scorer.known @ machine.weights
-            nearest = {k: max(filter(scorer.memo.__getitem__, units[k]), key=lambda u: of_unit[scorer.memo[u]]) for k in set(chosen.tolist()) - found.keys()}
-            new = sorted(set(nearest.values()) - copied.keys())  # units to misspell, all at once
+            nearest.update((k, max(filter(scorer.memo.__getitem__, units[k]), key=lambda u: of_unit[scorer.memo[u]])) for k in set(chosen.tolist()) - nearest.keys())
+            times = Counter(nearest[k] for k in chosen.tolist())
+            new = sorted(times.keys() - copied.keys())  # units to misspell, all at once
             listed = [[w for w in misspelt(letters(u)[0]) if w not in in_clean] for u in new]
             made = machine.kernels([w for x in listed for w in x])
             copied.update(zip(new, np.split(made, np.cumsum([len(x) for x in listed])[:-1])))
-            found.update((k, copied[u]) for k, u in nearest.items())
-        copies = [found.get(k, none[:0]) for k in chosen.tolist()]
+        copies = [copied[u] for u in times]
         x = np.concatenate([up[chosen], *copies, down, none])
         target = np.r_[np.ones(len(chosen) + sum(map(len, copies))), -np.ones(len(down) + 1)]
-        repeated = np.concatenate([np.full(len(c), 3 / max(1, len(c))) for c in copies])
+        repeated = np.concatenate([np.full(len(c), 3 * k / max(1, len(c))) for c, k in zip(copies, times.values())] or [np.empty(0)])
         weight = np.r_[share / len(starts), repeated / len(starts), np.full(len(down), 3 / len(clean)), 1.0] * 1000
         machine.fit(x, target, weight)
     return scorer
@@ -409,7 +424,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
     return texts
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 2000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 1000) -> DataFrame:
     """Of each document: doc_id, held_out, score and predicted."""
     machine = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, per_class)))
 
@@ -428,7 +443,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not predicted toxic, with the columns of docs; one pass, no join."""
-    threshold, per_class = options.get("threshold", 0.3), options.get("per_class", 2000)
+    threshold, per_class = options.get("threshold", 0.3), options.get("per_class", 1000)
     machine = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, per_class)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
