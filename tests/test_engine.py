@@ -32,7 +32,8 @@ def test_identifiers_and_types():
     for bad in ("", "1a", "a.b.c.d", "a b", "a;drop", None):
         with pytest.raises(ValueError):
             TY.check_identifier(bad)
-    assert TY.is_safe_widening("integer", "BIGINT") and TY.is_safe_widening("VARCHAR", "TEXT")
+    assert TY.is_safe_widening("integer", "BIGINT") and TY.is_safe_widening("VARCHAR", "TEXT") and TY.is_safe_widening("string", "text") and len(TY.SAFE_WIDENINGS) == 13
+    assert TY.is_numeric("DECIMAL(12,2)") and TY.is_numeric("smallint") and not TY.is_numeric("VARCHAR") and not TY.is_safe_widening("VARCHAR", "STRING")
     assert not TY.is_safe_widening("BIGINT", "INTEGER") and not TY.is_safe_widening("INTEGER", "DOUBLE") and not TY.is_safe_widening("INTEGER", "INTEGER")
 
 
@@ -64,10 +65,97 @@ def test_run_query(engine):
     assert engine.run_query("WITH a AS (SELECT 1 AS updated_at) SELECT * FROM a;")["row_count"] == 1
     for bad in ("DROP TABLE x", "SELECT 1; SELECT 2", "", "INSERT INTO x VALUES (1)"):
         assert "error" in engine.run_query(bad)
+    big = Engine(engine.spark, Catalog.from_directory(engine.spark, "/root/testdata/sf0.01", ["orders"]))
+    found = big.run_query("SELECT o_orderkey FROM orders")
+    assert found["row_count"] == len(found["rows"]) == 15_000 and not found["truncated"]
+    found = big.run_query("SELECT o_orderkey FROM orders", limit=10)
+    assert (found["row_count"], len(found["rows"]), found["truncated"]) == (15_000, 10, True)
+    assert engine.run_query("SELECT n_nationkey FROM nation WHERE n_nationkey = ?", [3])["rows"] == [{"n_nationkey": 3}]
     assert "error" in engine.run_query("SELECT 1 AS updated_at FROM region WHERE 'UPDATE' = 'x'", strict_compat=True)
     assert "error" in engine.run_query("WITH a AS (SELECT 1) SELECT * FROM a", strict_compat=True)
 
 
+def test_no_text_writes(spark, engine):
+    spark.sql("DROP TABLE IF EXISTS guard_target")
+    spark.createDataFrame([], "x int").write.saveAsTable("guard_target")
+    try:
+        for sql in ("WITH t AS (SELECT 1 AS x) INSERT INTO guard_target SELECT x FROM t", "/* SELECT */ INSERT INTO guard_target VALUES (1)", "-- SELECT\nINSERT INTO guard_target VALUES (1)", "FROM (SELECT 1 AS x) INSERT INTO guard_target SELECT x"):
+            assert "error" in engine.run_query(sql), sql
+        assert spark.table("guard_target").count() == 0
+    finally:
+        spark.sql("DROP TABLE guard_target")
+
+
+def test_large_graphs_are_not_taken_for_empty(spark, tmp_path, monkeypatch):
+    """Above the bound of edges that the driver walks, every answer is the same."""
+    rows = [(f"s.t{i + 1}", f"s.t{i}") for i in range(15)] + [("s.x", "s.t3"), ("s.t3", "s.x")]
+    edges = spark.createDataFrame(rows, "target_table string, source_table string")
+    small = (L.chains_from(edges, ["s.t0", "s.t15"]), {tuple(r) for r in L.impact_risk(edges).collect()}, L.lineage_tree(edges, "s.t4", 3))
+    monkeypatch.setattr(L, "DRIVER_EDGES", 5)
+    assert L.adjacency(edges) is None
+    chains, risk, tree = L.chains_from(edges, ["s.t0", "s.t15"]), {tuple(r) for r in L.impact_risk(edges).collect()}, L.lineage_tree(edges, "s.t4", 3)
+    assert {t: sorted(x) for t, x in chains.items()} == {t: sorted(x) for t, x in small[0].items()} and len(chains["s.t0"]) == 16
+    assert (risk, tree) == small[1:]
+
+
+def test_a_change_above_many_tables_is_red(spark):
+    from veridra.plans import review as R
+
+    edges = spark.range(200_001).selectExpr("concat('s.d', id) as target_table", "'silver.a' as source_table")
+    versions = {"a.sql": ("CREATE TABLE silver.a AS SELECT x FROM raw.b;", "CREATE TABLE silver.a AS SELECT y FROM raw.b;")}
+    assert R.review(versions, lambda changed: L.chains_from(edges, changed)).risk_level == "RED"
+
+
+def test_platform_lineage_is_asked_first(spark, engine):
+    cols = "source_table_schema string, source_table_name string, source_column_name string, target_table_schema string, target_table_name string, target_column_name string"
+    rows = spark.createDataFrame([("raw", "a", "x", "silver", "fact_sales", "y")], cols)
+    e = Engine(spark, engine.catalog, engine.edges, engine.facts, platform=(rows, rows))
+    assert e.platform_available() and e.get_table_sources("silver.fact_sales")["sources"] == ["raw.a"]
+    assert e.get_table_sources("silver.dim_customer")["sources"] == ["raw.customer"] and e.get_downstream_tables("raw.a")["downstream"] == ["silver.fact_sales"]
+    assert "raw.a.x" in e.explain_column("silver.fact_sales", "y") and "AVG" in e.explain_column("conformed.segment_stats", "avg_balance")
+    local = Engine(spark, engine.catalog, engine.edges, engine.facts, platform=(rows, rows), lineage_source="local")
+    assert not local.platform_available() and local.get_table_sources("silver.fact_sales")["sources"] == ["raw.lineitem", "raw.orders"]
+    with pytest.raises(NotImplementedError):
+        Engine(spark, engine.catalog, lineage_source="elsewhere")
+
+
+def test_default_engine_and_factory(spark, engine, tmp_path):
+    from veridra import api
+    from veridra.sources.config import connect
+
+    api.set_engine(engine)
+    assert api.get_engine() is engine and api.get_upstream_tables("silver.fact_sales") == ["raw.lineitem", "raw.orders"]
+    assert "AVG" in api.trace_column_lineage("conformed.segment_stats", "avg_balance") and "silver.fact_sales" in api.get_lineage_tree("silver.fact_sales")
+    api.set_engine(None)
+    (tmp_path / "config").mkdir()
+    (tmp_path / "data").mkdir()
+    (tmp_path / "etl").mkdir()
+    (tmp_path / "etl" / "a.sql").write_text("CREATE TABLE silver.a AS SELECT SUM(x) AS s FROM raw.b;")
+    spark.range(3).write.parquet(str(tmp_path / "data" / "t.parquet"))
+    path = tmp_path / "config" / "config.yml"
+    path.write_text("database: {type: duckdb}\nduckdb: {path: data}\netl: {sql_dir: etl}\n")
+    e = Engine.from_config(path, spark)
+    assert e.get_row_count("t")["row_count"] == 3 and e.get_table_sources("silver.a")["sources"] == ["raw.b"]
+    path.write_text("database: {type: oracle}\n")
+    with pytest.raises(ValueError):
+        connect(load_config(path), spark)
+
+
+def test_change_validation_and_schema_conflicts(engine):
+    found = engine.validate_change("CREATE TABLE silver.a AS SELECT x FROM raw.b WHERE x > 1;", "CREATE TABLE silver.a AS SELECT x FROM raw.b;")
+    assert found["delta"]["changed_elements"] == ["silver.a"] and found["technical"]["risk_level"] == "MEDIUM" and found["business"]["severity"] == "MEDIUM"
+    before = [{"column_name": "r_regionkey", "column_type": "VARCHAR"}, {"column_name": "r_name", "column_type": "VARCHAR"}]
+    assert len(engine.schema_conflicts("raw.region", before)["blockers"]) == 1
+
+
+def test_drift_command_line(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "tables" / "t.parquet"))
+    args = ["--tables", str(tmp_path / "tables"), "--out", str(tmp_path / "out")]
+    assert D.main(["snapshot", *args]) == 0 and D.main(["detect", *args]) == 0
+    spark.range(3).selectExpr("cast(id as string) as id").write.mode("overwrite").parquet(str(tmp_path / "tables" / "t.parquet"))
+    assert D.main(["detect", *args]) == 1
+
+
 def test_lineage_questions(engine):
     assert engine.get_table_sources("silver.fact_sales")["sources"] == ["raw.lineitem", "raw.orders"]
     assert engine.get_table_sources("main.silver.fact_sales")["sources"] == ["raw.lineitem", "raw.orders"]
@@ -130,9 +218,10 @@ def test_rules(spark):
     c = Catalog(spark)
     c.register("t", df)
     rules = Q.rules_for(c.columns("t"))
-    assert rules == ["end_date >= start_date", "id > 0", "id IS NOT NULL", "price >= 0", "start_date <= end_date"]
+    assert rules == ["end_date >= start_date OR end_date IS NULL", "id > 0", "id IS NOT NULL", "price >= 0", "start_date IS NOT NULL"]
     found = Engine(spark, c).validate_business_rules("t")
-    assert {r["rule"]: r["violations"] for r in found["results"]} == {"end_date >= start_date": 1, "id > 0": 1, "id IS NOT NULL": 0, "price >= 0": 0, "start_date <= end_date": 1}
+    assert {r["rule"]: r["violations"] for r in found["results"]} == {"end_date >= start_date OR end_date IS NULL": 1, "id > 0": 1, "id IS NOT NULL": 0, "price >= 0": 0, "start_date IS NOT NULL": 0}
+    assert found["summary"] == {"total_rules": 5, "pass": 3, "fail": 2, "error": 0}
     assert Q.split_rules("id IN (1,2), start_date <> 'a,b'") == ["id IN (1,2)", "start_date <> 'a,b'"]
     status = {r["rule"]: r["status"] for r in Q.validate_rules(df, ["1 / (id - 1) > 0", "id > 0", "nope = 1", "DELETE x"]).collect()}
     assert status == {"1 / (id - 1) > 0": "ERROR", "id > 0": "FAIL", "nope = 1": "ERROR", "DELETE x": "SKIPPED"}

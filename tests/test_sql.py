@@ -40,7 +40,8 @@ def test_publish_and_cli(spark, tmp_path):
     (tmp_path / "sql" / "a.sql").write_text("CREATE TABLE conformed.segment_stats AS SELECT SUM(x) AS avg_balance FROM silver.dim_customer")
     assert X.main(["--sql-dir", str(tmp_path / "sql"), "--out", str(tmp_path / "meta")]) == 0
     assert X.main(["--sql-dir", str(tmp_path / "sql"), "--out", str(tmp_path / "meta")]) == 0
-    assert spark.read.parquet(str(tmp_path / "meta/table_lineage")).count() == 15 and spark.read.parquet(str(tmp_path / "meta/column_lineage")).count() == 10
+    edges, facts = X.published(spark, str(tmp_path / "meta"))
+    assert edges.count() == 15 and facts.count() == 10
     assert X.main(["--sql-dir", str(tmp_path / "none"), "--out", str(tmp_path / "m")]) == 1
     assert sorted(p.name for p in tmp_path.iterdir()) == ["meta", "sql"]
 
@@ -147,3 +148,34 @@ def test_catalyst_origins(spark):
     assert names("SELECT MAX(w) AS m FROM (SELECT v * 2 AS w FROM one) x") == [("m", "AGGREGATED")]
     assert names("SELECT id AS x FROM one UNION ALL SELECT k FROM two") == [("x", "PASSTHROUGH")]
     assert catalyst.analysis_error(spark, "SELECT nope FROM one") == "UNRESOLVED_COLUMN.WITH_SUGGESTION"
+
+
+def test_windows_do_not_hide_missing_groups():
+    found = lambda sql: [x["rule"] for x in R.check_syntax(f"CREATE TABLE silver.a AS {sql};")]
+    assert found("SELECT k, SUM(x) OVER () AS s, COUNT(*) AS c FROM raw.b") == ["agg_without_group_by"]
+    assert found("SELECT k, SUM(x) OVER (PARTITION BY k) AS s FROM raw.b") == [] and found("SELECT k, SUM(x) FILTER (WHERE x > 0) OVER () AS s FROM raw.b") == []
+
+
+def test_context_files(tmp_path):
+    (tmp_path / "etl").mkdir()
+    (tmp_path / "etl" / "a.sql").write_text("-- makes a\nCREATE TABLE silver.a AS SELECT 1 AS one;")
+    (tmp_path / "b.sql").write_text("CREATE INDEX i ON a (x);")
+    whole = R.build_context(tmp_path, output=tmp_path / "out" / "context.json")
+    assert [f["path"] for f in whole["etl_files"]] == ["etl/a.sql"] and [f["path"] for f in whole["other_sql_files"]] == ["b.sql"]
+    assert R.load_context(tmp_path / "out" / "context.json") == whole and R.load_context(tmp_path / "none.json") is None
+    assert R.build_context(tmp_path, folders=[tmp_path / "etl"])["other_sql_files"] == []
+    (tmp_path / "bad.json").write_text("{")
+    assert R.load_context(tmp_path / "bad.json") is None
+
+
+def test_deltas_of_files(tmp_path):
+    old, new = tmp_path / "old.sql", tmp_path / "new.sql"
+    old.write_text("CREATE TABLE silver.a AS SELECT x FROM raw.b;")
+    new.write_text("CREATE TABLE silver.a AS SELECT x, y FROM raw.b JOIN raw.c ON b.i = c.i;")
+    found = R.delta_of_files(old, new)
+    assert found["changed_elements"] == ["silver.a", "silver.a.y"] and found["has_integrity_impact"] and "[silver.a]" in found["changes"]["silver.a"]
+    assert "No analysis" in R.delta_of_files(old, tmp_path / "x.py")["description"]
+    merged = R.delta_of_versions({"a.sql": (old.read_text(), new.read_text()), "b.sql": ("", "CREATE TABLE silver.b AS SELECT 1 AS one;")})
+    assert merged["changed_elements"] == ["silver.a.y", "silver.b.one"] and set(merged["changes"]) == {"silver.a", "silver.b"}
+    samples = R.code_samples({"a.sql": ("old a", "new a"), "b.sql": ("", "new b")})
+    assert samples == {"old": "-- a.sql\nold a", "new": "-- a.sql\nnew a\n\n-- b.sql\nnew b"}

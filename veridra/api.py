@@ -15,8 +15,11 @@ from .functions.types import check_identifier, quoted, two_part
 from .operators import lineage as L
 from .operators import quality as Q
 from .plans import review as R
+from .plans import sqllineage as X
 from .plans import sqltext as S
+from .plans.catalyst import commands_in
 from .sources.catalog import Catalog
+from .sources.config import connect, load_config
 
 BLOCKED = ("INSERT", "UPDATE", "DELETE", "DROP", "CREATE", "ALTER", "TRUNCATE")
 
@@ -38,10 +41,45 @@ def answers(text: bool = False):
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, catalog: Catalog, edges: DataFrame | None = None, facts: DataFrame | None = None, repo: str | Path = "."):
-        self.spark, self.catalog, self.repo, self.context = spark, catalog, Path(repo), None
+    """Lineage questions ask the platform's own lineage first where ``platform`` has it: a pair of DataFrames, of
+    tables and of columns, in the platform's columns; either may be None.  lineage_source: auto, local or platform.
+    """
+
+    def __init__(
+        self, spark: SparkSession, catalog: Catalog, edges: DataFrame | None = None, facts: DataFrame | None = None, repo: str | Path = ".",
+        platform: tuple[DataFrame | None, DataFrame | None] = (None, None), lineage_source: str = "auto", etl_folders: list[Path] = (), context_file: str | Path | None = None,
+    ):
+        if lineage_source not in ("auto", "local", "platform"):
+            raise NotImplementedError(f"Unknown lineage source: {lineage_source}")
+        self.spark, self.catalog, self.repo = spark, catalog, Path(repo)
+        self.platform, self.lineage_source, self.etl_folders = platform, lineage_source, list(etl_folders)
+        self.context_file = Path(context_file) if context_file else None
+        self.context = R.load_context(self.context_file) if self.context_file else None
         self.set_lineage(edges, facts)
 
+    @classmethod
+    def from_config(cls, path: str | Path, spark: SparkSession | None = None, **options) -> Engine:
+        """The engine of a configuration file; the lineage of its SQL folder is read if that source is resolved."""
+        config = load_config(path)
+        catalog = connect(config, spark)
+        local = config.resolve_lineage_source() == "local"
+        if local and config.sql_dir and config.sql_dir.is_dir() and "edges" not in options:
+            options["edges"], options["facts"] = X.as_frames(catalog.spark, *X.parse_folder(config.sql_dir))
+        return cls(catalog.spark, catalog, repo=config.root, etl_folders=config.etl_dirs, lineage_source="local" if local else "platform", **options)
+
+    def platform_available(self) -> bool:
+        """Whether the platform's table lineage can be read."""
+        if self.lineage_source == "local" or self.platform[0] is None:
+            return False
+        try:
+            self.platform[0].limit(1).collect()
+            return True
+        except Exception:
+            return False
+
+    def _platform_edges(self) -> DataFrame | None:
+        return L.platform_table_lineage(self.platform[0]) if self.platform_available() else None
+
     def set_lineage(self, edges: DataFrame | None, facts: DataFrame | None) -> None:
         """New metadata; what was explained before is forgotten."""
         for old in (getattr(self, "edges", None), getattr(self, "facts", None)):
@@ -56,9 +94,20 @@ class Engine:
         self._explained.clear()
 
     def _lineage(self) -> DataFrame:
-        if self.edges is None:
+        """The platform's edges and the local ones."""
+        found = [e for e in (self._platform_edges(), self.edges.select("target_table", "source_table") if self.edges is not None else None) if e is not None]
+        if not found:
             raise LookupError("Lineage metadata not found; build it first")
-        return self.edges
+        return found[0] if len(found) == 1 else found[0].unionByName(found[1]).distinct()
+
+    def _neighbours(self, ask, table: str) -> list[str]:
+        """The platform's answer if it has one, else the local metadata's."""
+        for edges in (self._platform_edges(), self.edges):
+            rows = [r[0] for r in ask(edges, table).collect()] if edges is not None else []
+            if rows:
+                return rows
+        self._lineage()
+        return []
 
     # Discovery
 
@@ -86,19 +135,35 @@ class Engine:
         rows = df.filter(F.col(quoted(key_column)) == F.lit(str(key_value)).try_cast(kind)).limit(1).collect()
         return {"status": "found", "row": rows[0].asDict(True)} if rows else {"status": "not_found", "table": table, "key": {key_column: key_value}}
 
-    @answers()
-    def run_query(self, sql: str, strict_compat: bool = False, limit: int = 1000) -> dict:
-        """A SELECT (or WITH); strict_compat asks for SELECT and refuses any text with a blocked word in it."""
+    def query(self, sql: str, params: list | None = None, strict_compat: bool = False) -> DataFrame:
+        """A read-only query over the catalog's tables, with ``?`` for params, as a DataFrame.
+
+        The text must parse to one plan without any command, insert or table statement in it, whatever it begins
+        with.  strict_compat asks for SELECT and refuses any text with a blocked word in it.
+        """
+        parts = S.statements(sql)
         toks = S.tokens(sql)
-        if not toks or toks[0].word not in (("SELECT",) if strict_compat else ("SELECT", "WITH")):
+        first = next((t.word for t in toks if t.text != "("), "")
+        if first not in (("SELECT",) if strict_compat else ("SELECT", "WITH", "VALUES", "FROM")):
             raise ValueError("Only SELECT queries are allowed")
-        found = [w for w in BLOCKED if w in sql.upper()] if strict_compat else [t.word for t in toks if t.word in BLOCKED and t.depth == 0 and t is toks[0]]
-        if found or len(S.statements(sql)) != 1:
-            raise ValueError(f"Query contains blocked keyword: {found[0]}" if found else "Only one statement is allowed")
+        if strict_compat and (found := [w for w in BLOCKED if w in sql.upper()]):
+            raise ValueError(f"Query contains blocked keyword: {found[0]}")
+        if len(parts) != 1:
+            raise ValueError("Only one statement is allowed")
+        if found := commands_in(self.spark, parts[0]):
+            raise ValueError(f"Only reading is allowed: {found[0]}")
         self.catalog.as_views()
-        df = self.spark.sql(sql.strip().rstrip(";"))
-        rows = [r.asDict(True) for r in df.limit(limit).collect()]
-        return {"rows": rows, "row_count": len(rows), "columns": df.columns}
+        return self.spark.sql(parts[0], args=params) if params else self.spark.sql(parts[0])
+
+    @answers()
+    def run_query(self, sql: str, params: list | None = None, strict_compat: bool = False, limit: int | None = None) -> dict:
+        """All rows of a read-only query.  With a limit at most so many are returned; row_count is always the
+        query's, and truncated tells whether rows are missing."""
+        df = self.query(sql, params, strict_compat)
+        rows = [r.asDict(True) for r in (df if limit is None else df.limit(limit + 1)).collect()]
+        if limit is None or len(rows) <= limit:
+            return {"rows": rows, "row_count": len(rows), "columns": df.columns, "truncated": False}
+        return {"rows": rows[:limit], "row_count": df.count(), "columns": df.columns, "truncated": True}
 
     # Lineage
 
@@ -106,16 +171,23 @@ class Engine:
     def explain_column(self, table: str, column: str) -> str:
         key = (two_part(table), column)
         if key not in self._explained:
-            self._explained[key] = L.explain_column(self.facts, self._lineage(), *key)
+            told = self._platform_column(*key)
+            self._explained[key] = told or L.explain_column(self.facts, self._lineage(), *key) if self.facts is not None else told or f"No lineage found for column '{column}' of '{table}'."
         return self._explained[key]
 
+    def _platform_column(self, table: str, column: str) -> str | None:
+        if not self.platform_available() or self.platform[1] is None:
+            return None
+        rows = L.platform_column_lineage(self.platform[1], check_identifier(table), check_identifier(column)).orderBy("source_table", "source_column").collect()
+        return "\n".join([f"{table}.{column}", *(f"  from:  {r['source_table']}.{r['source_column']}" for r in rows)]) if rows else None
+
     @answers()
     def get_table_sources(self, table: str) -> dict:
-        return {"table": table, "sources": [r[0] for r in L.upstream(self._lineage(), two_part(table)).collect()]}
+        return {"table": table, "sources": self._neighbours(L.upstream, two_part(table))}
 
     @answers()
     def get_downstream_tables(self, table: str) -> dict:
-        return {"table": table, "downstream": [r[0] for r in L.downstream(self._lineage(), two_part(table)).collect()]}
+        return {"table": table, "downstream": self._neighbours(L.downstream, two_part(table))}
 
     @answers()
     def get_lineage_tree(self, table: str, max_depth: int = 5) -> dict:
@@ -157,7 +229,7 @@ class Engine:
         found = [r.asDict() for r in Q.validate_rules(df, listed).collect()]
         for r in (r for r in found if r["status"] == "FAIL"):
             r["sample"] = [x.asDict(True) for x in Q.violating_rows(df, r["rule"]).limit(5).collect()]
-        return {"table": table, "results": found, "summary": {s.lower(): sum(r["status"] == s for r in found) for s in ("PASS", "FAIL", "ERROR")}}
+        return {"table": table, "results": found, "summary": {"total_rules": len(found), **{s.lower(): sum(r["status"] == s for r in found) for s in ("PASS", "FAIL", "ERROR")}}}
 
     @answers()
     def analyze_data_quality(self, table: str) -> dict:
@@ -177,11 +249,57 @@ class Engine:
     @answers()
     def peer_review_setup(self) -> dict:
         summary = {r[0]: list(r[1]) for r in L.downstream_summary(self.edges).collect()} if self.edges is not None else {}
-        self.context = R.build_context(self.repo, summary)
+        self.context = R.build_context(self.repo, summary, self.etl_folders, self.context_file)
         return {"status": "ready", "etl_files": len(self.context["etl_files"]), "tables": len(self.context["tables"])}
 
     @answers(text=True)
     def peer_review(self, staged_only: bool = False, include_unchanged: bool = False) -> str:
-        graph = (L.adjacency(self.edges) or {}) if self.edges is not None else {}
         versions = R.git_versions(self.repo, staged_only, include_unchanged)
-        return R.review(versions, graph, tuple(self.catalog.schemas()), self.context).formatted_output
+        return R.review(versions, lambda changed: L.chains_from(self.edges, changed), tuple(self.catalog.schemas()), self.context).formatted_output
+
+    @answers()
+    def validate_change(self, old_sql: str, new_sql: str) -> dict:
+        """The delta of two versions, what endangers it technically, and its likely business impact."""
+        delta = R.semantic_delta(old_sql, new_sql)
+        facts = [tuple(r) for r in self.facts.collect()] if self.facts is not None else []
+        technical = R.validate_technical(old_sql, new_sql, delta["changed_elements"], facts, tuple(self.catalog.schemas()))
+        return {"delta": {k: v for k, v in delta.items() if not k.endswith("_sql")}, "technical": technical, "business": R.validate_business(old_sql, new_sql, delta["changed_elements"])}
+
+    @answers()
+    def schema_conflicts(self, table: str, before: list[dict]) -> dict:
+        """Columns whose type has changed, since an earlier describe_table, to one that is no safe widening."""
+        return {"table": table, "blockers": R.schema_conflicts(before, self.catalog.columns(table), table)}
+
+
+_default: Engine | None = None
+
+
+def set_engine(engine: Engine | None) -> None:
+    """The engine that the functions below ask."""
+    global _default
+    _default = engine
+
+
+def get_engine() -> Engine:
+    """The engine set before; else one of the session's own tables, made when first asked for."""
+    global _default
+    if _default is None:
+        spark = SparkSession.builder.getOrCreate()
+        _default = Engine(spark, Catalog.from_session(spark))
+    return _default
+
+
+def trace_column_lineage(table: str, column: str) -> str:
+    return get_engine().explain_column(table, column)
+
+
+def debug_query_dependencies(table: str) -> dict:
+    return get_engine().check_table_health(table)
+
+
+def get_upstream_tables(table: str) -> list[str]:
+    return get_engine().get_table_sources(table).get("sources", [])
+
+
+def get_lineage_tree(table: str, max_depth: int = 5) -> dict:
+    return get_engine().get_lineage_tree(table, max_depth)

@@ -14,7 +14,7 @@ SAFE_WIDENINGS = frozenset(
         ("INTEGER", "BIGINT"), ("INT", "BIGINT"), ("FLOAT", "DOUBLE"), ("REAL", "DOUBLE"),
         ("SMALLINT", "INTEGER"), ("SMALLINT", "INT"), ("SMALLINT", "BIGINT"),
         ("TINYINT", "SMALLINT"), ("TINYINT", "INTEGER"), ("TINYINT", "INT"), ("TINYINT", "BIGINT"),
-        ("VARCHAR", "TEXT"), ("VARCHAR", "STRING"),
+        ("VARCHAR", "TEXT"), ("STRING", "TEXT"),
     }
 )
 
@@ -41,7 +41,8 @@ def canonical_type(kind: T.DataType) -> str:
 
 
 def is_numeric(kind: str) -> bool:
-    return kind.upper() in NUMERIC
+    """Precision does not count; the small integers, which the list leaves out, are numeric too."""
+    return kind.upper().split("(")[0].strip() in (*NUMERIC, "SMALLINT", "TINYINT")
 
 
 def is_safe_widening(old: str, new: str) -> bool:

@@ -19,6 +19,9 @@ class Policy:
     tags: list[str] = field(default_factory=list)
     applies_to: list[str] = field(default_factory=list)
     rules: dict = field(default_factory=dict)
+    name: str = ""
+    description: str = ""
+    severity: str = "MEDIUM"
 
     def matches(self, asset_id: str, tags: list[str]) -> bool:
         """An asset outside applies_to never matches; then tags must overlap.  A policy with neither matches
@@ -28,7 +31,7 @@ class Policy:
         return bool(set(self.tags) & set(tags)) if self.tags else not self.applies_to
 
     def to_dict(self) -> dict:
-        return {"policy_id": self.policy_id, "tags": self.tags, "applies_to": self.applies_to, "rules": self.rules}
+        return {"policy_id": self.policy_id, "name": self.name, "description": self.description, "severity": self.severity, "tags": self.tags, "applies_to": self.applies_to, "rules": self.rules}
 
 
 class AssetGraph:

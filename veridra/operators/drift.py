@@ -71,7 +71,7 @@ class DriftMonitor:
     def snapshot(self, tables: dict | None = None) -> Path:
         self.folder.mkdir(parents=True, exist_ok=True)
         now = datetime.now()
-        path = self.folder / f"snapshot_{now:%Y%m%d_%H%M%S}.json"
+        path = self.folder / f"snapshot_{now:%Y%m%d_%H%M%S_%f}.json"
         path.write_text(json.dumps({"timestamp": now.isoformat(), "tables": capture(self.catalog) if tables is None else tables}, indent=2))
         return path
 
@@ -95,6 +95,25 @@ class DriftMonitor:
         return report(rows)
 
 
+def main(argv: list[str] | None = None) -> int:
+    """snapshot or detect over a folder of Parquet tables; 1 if anything RED was detected."""
+    import argparse
+
+    parser = argparse.ArgumentParser(description="Take a snapshot of schemas, or detect what changed since the last.")
+    parser.add_argument("action", choices=("snapshot", "detect"))
+    parser.add_argument("--tables", required=True, help="folder with a Parquet file or folder for each table")
+    parser.add_argument("--out", required=True, help="folder of the snapshots")
+    args = parser.parse_args(argv)
+    names = sorted(p.stem for p in Path(args.tables).glob("*.parquet"))
+    monitor = DriftMonitor(Catalog.from_directory(SparkSession.builder.getOrCreate(), args.tables, names), args.out)
+    if args.action == "snapshot":
+        print(monitor.snapshot())
+        return 0
+    found = monitor.detect()
+    print(found["text"])
+    return int(found["red"] > 0)
+
+
 def report(changes: list[dict]) -> dict:
     """Counts, risk by table, and text."""
     by_risk = Counter(c["risk"] for c in changes)
@@ -110,3 +129,7 @@ def report(changes: list[dict]) -> dict:
             affects = ", ".join(c.get("downstream_tables") or [])
             lines.append(f"  {sign[c['change_type']]} {c['column_name']} ({types}) {c['risk']}" + (f"; feeds {affects}" if affects else ""))
     return {"total_changes": len(changes), "red": by_risk["RED"], "yellow": by_risk["YELLOW"], "green": by_risk["GREEN"], "risk_by_table": tables, "changes": changes, "text": "\n".join(lines)}
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

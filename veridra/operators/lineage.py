@@ -54,28 +54,55 @@ def hops_from(graph: dict[str, list[str]], start: str) -> list[tuple[str, int]]:
     return [(node, n) for node, n in seen.items() if node != start]
 
 
-def _hops_by_join(edges: DataFrame, start: str) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder and reread; a temporary one only where none is set on a single machine."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        import tempfile
+
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="veridra-"))
+    return df.checkpoint()
+
+
+def hops_by_join(edges: DataFrame, starts: list[str] | DataFrame) -> DataFrame:
+    """root, table_name, hops of all that is downstream of each start, by joins until nothing is new."""
     spark = edges.sparkSession
     pairs = edges.select("source_table", "target_table").distinct()
-    seen = frontier = spark.createDataFrame([(start, 0)], HOPS_SCHEMA)
+    roots = starts if isinstance(starts, DataFrame) else spark.createDataFrame([(s,) for s in starts], "root string")
+    seen = frontier = roots.select("root", F.col("root").alias("table_name"), F.lit(0).alias("hops"))
     hop = 0
     while True:
         hop += 1
-        frontier = (
-            pairs.join(frontier, pairs["source_table"] == frontier["table_name"]).select(F.col("target_table").alias("table_name")).distinct()
-            .join(seen, "table_name", "left_anti").select("table_name", F.lit(hop).alias("hops")).checkpoint()
+        frontier = _cut(
+            pairs.join(frontier, pairs["source_table"] == frontier["table_name"]).select("root", F.col("target_table").alias("table_name")).distinct()
+            .join(seen, ["root", "table_name"], "left_anti").select("root", "table_name", F.lit(hop).alias("hops"))
         )
         if frontier.isEmpty():
             return seen.filter("hops > 0")
         seen = seen.unionByName(frontier)
 
 
+def chains_from(edges: DataFrame | None, starts: list[str]) -> dict[str, list[tuple[str, int]]]:
+    """What is downstream of each start that has anything downstream, nearest first, in graphs of any size."""
+    if edges is None or not starts:
+        return {}
+    graph = adjacency(edges)
+    if graph is not None:
+        return {t: hops_from(graph, t) for t in starts if t in graph}
+    found: dict[str, list[tuple[str, int]]] = {}
+    for r in hops_by_join(edges, starts).orderBy("root", "hops", "table_name").collect():
+        found.setdefault(r["root"], []).append((r["table_name"], r["hops"]))
+    return found
+
+
 def impact(edges: DataFrame, table: str, force_join: bool = False) -> DataFrame:
     """table_name, hops of everything downstream of a table; cycles end."""
     check_identifier(table)
     graph = None if force_join else adjacency(edges)
     if graph is None:
-        return _hops_by_join(edges, table)
+        return hops_by_join(edges, [table]).select("table_name", "hops")
     return edges.sparkSession.createDataFrame(hops_from(graph, table), HOPS_SCHEMA)
 
 
@@ -103,8 +130,11 @@ def impact_risk(edges: DataFrame, tables: list[str] | None = None) -> DataFrame:
     """table_name, n_downstream, risk of each table (all nodes by default)."""
     graph = adjacency(edges)
     if graph is None:
-        nodes = tables or [r[0] for r in edges.select(F.explode(F.array("source_table", "target_table"))).distinct().collect()]
-        counted = [(t, impact(edges, t).count()) for t in nodes]
+        # All tables at once: the pairs of a table and what it reaches are counted where they are.
+        nodes = edges.sparkSession.createDataFrame([(t,) for t in tables], "root string") if tables else edges.select(F.explode(F.array("source_table", "target_table")).alias("root")).distinct()
+        counts = hops_by_join(edges, nodes).groupBy("root").agg(F.count(F.lit(1)).cast("int").alias("n"))
+        n = F.coalesce("n", F.lit(0))
+        return nodes.join(counts, "root", "left").select(F.col("root").alias("table_name"), n.alias("n_downstream"), F.when(n == 0, "GREEN").when(n < 5, "YELLOW").otherwise("RED").alias("risk"))
     else:
         nodes = tables or sorted({*graph, *(x for v in graph.values() for x in v)})
         counted = [(t, len(hops_from(graph, t))) for t in nodes]
@@ -115,8 +145,13 @@ def lineage_tree(edges: DataFrame, table: str, max_depth: int = 5) -> dict:
     """Upstream as nested dicts: a source is {_is_source: True}, what lies at the depth's end {_truncated: True}
     (also a source there); cycles end by the depth."""
     graph = adjacency(edges, "target_table", "source_table")
-    if graph is None:
-        raise ValueError("the graph is too large for a tree; use paths()")
+    if graph is None:  # only the part of the graph that the tree shows
+        up = edges.select(F.col("target_table").alias("source_table"), F.col("source_table").alias("target_table"))
+        near = hops_by_join_up_to(up, table, max_depth)
+        graph = {}
+        rows = up.join(near, up["source_table"] == near["table_name"]).select("source_table", "target_table").distinct().collect()
+        for a, b in sorted((r[0], r[1]) for r in rows if r[1] is not None):
+            graph.setdefault(a, []).append(b)
 
     def below(node: str, depth: int) -> dict:
         if depth >= max_depth:
@@ -127,6 +162,15 @@ def lineage_tree(edges: DataFrame, table: str, max_depth: int = 5) -> dict:
     return {check_identifier(table): below(table, 0)}
 
 
+def hops_by_join_up_to(edges: DataFrame, start: str, most: int) -> DataFrame:
+    """table_name of the start and of all within that many hops of it."""
+    pairs = edges.select("source_table", "target_table").distinct()
+    near = edges.sparkSession.createDataFrame([(start,)], "table_name string")
+    for _ in range(most):
+        near = _cut(near.unionByName(pairs.join(near, pairs["source_table"] == near["table_name"]).select(F.col("target_table").alias("table_name"))).distinct())
+    return near
+
+
 def paths(edges: DataFrame, table: str, max_depth: int = 5) -> DataFrame:
     """path (array from the table up to a source or the depth's end), depth: one recursive query."""
     edges.select("target_table", "source_table").distinct().createOrReplaceTempView("veridra_edges")

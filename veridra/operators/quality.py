@@ -13,9 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions.types import canonical_type, is_numeric, quoted
 
-#: Words in a rule that is not run, words that mean money.
-FORBIDDEN = ("DROP", "DELETE", "UPDATE", "INSERT", "ALTER")
-MONEY = ("amount", "price", "salary", "cost", "revenue", "total", "value", "balance")
+#: Words in a rule that is not run, words in names of what is never negative, causes of duplicates.
+FORBIDDEN = ("DROP", "DELETE", "UPDATE", "INSERT", "TRUNCATE")
+NOT_NEGATIVE = ("salary", "price", "amount", "cost", "revenue", "quantity")
+CAUSES = (
+    "Missing DISTINCT in source SQL transformation",
+    "JOIN conditions creating cartesian products",
+    "Data entry errors (true duplicates)",
+    "Missing unique constraints",
+)
 
 
 # Duplicates
@@ -46,6 +52,7 @@ def explain_duplicates(table: str, keys: list[str], sample: list[dict], extra: i
     lines = [f"{extra} duplicate row(s) in {table} by {what}; {len(sample)} group(s) shown."]
     if len(sample) <= 3:
         lines += [f"  {g}" for g in sample]
+    lines += ["Possible reasons:", *(f"  - {c}" for c in CAUSES)]
     if "fact" in table.lower():
         lines.append("  A fact table may repeat keys on purpose; check its grain.")
     return "\n".join(lines)
@@ -81,15 +88,16 @@ def forbidden(rule: str) -> bool:
 
 
 def rules_for(columns: list[dict]) -> list[str]:
-    """Rules that column names and types suggest, sorted: start before end date, money not negative, ids positive
-    and not null (``id`` anywhere in a name counts)."""
-    names = {c["column_name"].lower() for c in columns}
+    """Rules that column names and types suggest, sorted: start before end date or no end yet, a start, amounts not
+    negative, ids positive and not null (``id`` anywhere in a name counts)."""
+    end = next((c["column_name"] for c in columns if "end_date" in c["column_name"].lower()), None)
+    exact = any(c["column_name"].lower() == "end_date" for c in columns)
     found = set()
     for c in columns:
         name, low, numeric = c["column_name"], c["column_name"].lower(), is_numeric(c["column_type"])
-        if "start_date" in low and "end_date" in names:
-            found |= {f"{name} <= end_date", f"end_date >= {name}"} if low == "start_date" else {f"{name} <= end_date"}
-        if numeric and any(k in low for k in MONEY):
+        if "start_date" in low and exact:
+            found |= {f"{end} >= {name} OR {end} IS NULL", f"{name} IS NOT NULL"}
+        if numeric and any(k in low for k in NOT_NEGATIVE):
             found.add(f"{name} >= 0")
         if numeric and "id" in low:
             found.add(f"{name} > 0")
@@ -99,7 +107,7 @@ def rules_for(columns: list[dict]) -> list[str]:
 
 
 def validate_rules(df: DataFrame, rules: list[str]) -> DataFrame:
-    """rule, status (PASS, FAIL, ERROR, SKIPPED), violations.
+    """rule, status (PASS, FAIL, ERROR, SKIPPED), violations, and why a rule was skipped or failed to run.
 
     A row violates a rule if NOT (rule) is true, so null never does.  All rules that can be analysed run in one
     aggregate; if one fails while running, each runs on its own.
@@ -107,18 +115,18 @@ def validate_rules(df: DataFrame, rules: list[str]) -> DataFrame:
     spark, status, ready = df.sparkSession, {}, []
     for rule in rules:
         if forbidden(rule):
-            status[rule] = ("SKIPPED", None)
+            status[rule] = ("SKIPPED", None, "Rule contains dangerous SQL operations")
             continue
         try:
             df.filter(~F.expr(f"({rule})")).schema
             ready.append(rule)
-        except Exception:
-            status[rule] = ("ERROR", None)
+        except Exception as error:
+            status[rule] = ("ERROR", None, str(error))
 
     def counted(some: list[str]) -> None:
         row = df.agg(*[F.count_if(~F.expr(f"({r})")).alias(f"v{i}") for i, r in enumerate(some)]).first()
         for r, n in zip(some, row):
-            status[r] = ("FAIL" if n else "PASS", n)
+            status[r] = ("FAIL" if n else "PASS", n, None)
 
     if ready:
         try:
@@ -127,9 +135,9 @@ def validate_rules(df: DataFrame, rules: list[str]) -> DataFrame:
             for rule in ready:
                 try:
                     counted([rule])
-                except Exception:
-                    status[rule] = ("ERROR", None)
-    return spark.createDataFrame([(r, *status[r]) for r in rules], "rule string, status string, violations long")
+                except Exception as error:
+                    status[rule] = ("ERROR", None, str(error))
+    return spark.createDataFrame([(r, *status[r]) for r in rules], "rule string, status string, violations long, reason string")
 
 
 def rule_violations(df: DataFrame, rules: list[str]) -> DataFrame:
@@ -145,12 +153,14 @@ def violating_rows(df: DataFrame, rule: str) -> DataFrame:
 # Profiles
 
 
-def null_profile(df: DataFrame) -> DataFrame:
-    """column_name, null_count, null_pct, status (OK under 5 %, WARNING under 50 %, else CRITICAL): one aggregate."""
+def null_profile(df: DataFrame, with_rows: bool = False) -> DataFrame:
+    """column_name, null_count, null_pct, status (OK under 5 %, WARNING under 50 %, else CRITICAL), and row_count if
+    asked for: one aggregate."""
     one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(quoted(c)).isNull()).alias(f"n{i}") for i, c in enumerate(df.columns)])
     long = one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n{i}").alias("null_count")) for i, c in enumerate(df.columns)])).alias("x"))
     pct = F.when(F.col("n") > 0, 100 * F.col("x.null_count") / F.col("n")).otherwise(0.0)
-    return long.select("x.column_name", "x.null_count", F.round(pct, 2).alias("null_pct"), F.when(pct < 5, "OK").when(pct < 50, "WARNING").otherwise("CRITICAL").alias("status"))
+    found = long.select("n", "x.column_name", "x.null_count", F.round(pct, 2).alias("null_pct"), F.when(pct < 5, "OK").when(pct < 50, "WARNING").otherwise("CRITICAL").alias("status"))
+    return found.withColumnRenamed("n", "row_count") if with_rows else found.drop("n")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -168,9 +178,11 @@ def numeric_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
         one = df.agg(*basic, *[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)])
         rows = lambda i: F.col(f"d{i}")
     else:
-        # One row each: the join of the two aggregates moves a row.
-        exact = df.agg(*[F.count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).withColumn("one", F.lit(1))
-        one = df.agg(*basic).withColumn("one", F.lit(1)).join(F.broadcast(exact), "one")
+        # Several distinct counts in one aggregate would repeat each row, all columns wide, for each of them.  One
+        # aggregate a column reads and moves that column only; each gives one row.
+        one = df.agg(*basic).withColumn("one", F.lit(1))
+        for i, c in enumerate(cols):
+            one = one.join(F.broadcast(df.select(c.alias("v")).agg(F.count_distinct("v").alias(f"d{i}")).withColumn("one", F.lit(1))), "one")
         rows = lambda i: F.col(f"d{i}")
     return one.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"min{i}").alias("min_value"), F.col(f"max{i}").alias("max_value"), F.col(f"avg{i}").alias("avg_value"), rows(i).alias("distinct_count")) for i, c in enumerate(names)])).alias("x")
@@ -211,11 +223,11 @@ def score_frame(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def analyze(df: DataFrame) -> dict:
     """The full analysis; an empty table ends it early."""
-    nulls = null_profile(df)
-    row_count = df.count()
+    columns = [r.asDict() for r in null_profile(df, with_rows=True).collect()]
+    row_count = columns[0]["row_count"] if columns else df.count()
     if row_count == 0:
         return {"status": "EMPTY", "row_count": 0, "message": "Table has no rows"}
-    columns = [r.asDict() for r in nulls.collect()]
+    columns = [{k: v for k, v in c.items() if k != "row_count"} for c in columns]
     numeric = [r.asDict() for r in numeric_profile(df).collect()]
     dup = duplicate_summary(df).first()
     issues = type_issues(df)

@@ -22,6 +22,25 @@ def _kind(node) -> str:
     return node.getClass().getSimpleName()
 
 
+def commands_in(spark: SparkSession, sql: str) -> list[str]:
+    """The kinds of the parsed plan's nodes that do anything but read: commands, inserts, statements about tables."""
+    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
+    statement = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+    found = []
+
+    def walk(plan) -> None:
+        if command.isInstance(plan) or statement.isInstance(plan) or _kind(plan).startswith("InsertInto"):
+            found.append(_kind(plan))
+        for child in _listed(plan.children()):
+            walk(child)
+        if _kind(plan) == "UnresolvedWith":
+            for relation in _listed(plan.cteRelations()):
+                walk(relation._2())
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
+    return found
+
+
 def column_origins(df: DataFrame) -> list[tuple[str, str, str, str]]:
     """(output column, kind, table, column) for each base column that an output column is computed from.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .api import Engine
 from .operators import assets as A
 from .operators import drift as D
 from .operators import lineage as L
@@ -36,12 +37,15 @@ def tables(spark: SparkSession, sf_dir: str) -> Catalog:
     return Catalog.from_directory(spark, sf_dir, M.RAW)
 
 
-def sql_query(name: str, spark_sql: str, duck_sql: str | None = None) -> None:
-    """An ad-hoc SELECT over the tables as views, run by the same path as Engine.run_query."""
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(spark, tables(spark, sf_dir))
+
+
+def sql_query(name: str, spark_sql: str, duck_sql: str | None = None, params: list | None = None) -> None:
+    """An ad-hoc SELECT over the tables, through the engine's guard."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tables(spark, sf_dir).as_views()
-        return spark.sql(spark_sql)
+        return engine(spark, sf_dir).query(spark_sql, params)
 
     QUERIES[name] = run
     ORACLE[name] = duck_sql or spark_sql
@@ -73,7 +77,8 @@ def table_listing(spark, sf_dir):
 
 @query("SELECT * FROM orders WHERE o_orderkey = 7")
 def inspect_row_order(spark, sf_dir):
-    return tables(spark, sf_dir).table("orders").filter(F.col("o_orderkey") == 7)
+    found, schema = engine(spark, sf_dir).inspect_row("orders", "o_orderkey", "7"), tables(spark, sf_dir).table("orders").schema
+    return spark.createDataFrame([tuple(found["row"][f.name] for f in schema)] if "row" in found else [], schema)
 
 
 sql_query("adhoc_select", "SELECT o_orderstatus, COUNT(*) AS orders, ROUND(SUM(o_totalprice), 2) AS total FROM orders WHERE o_totalprice > 1000 GROUP BY o_orderstatus HAVING COUNT(*) > 1 ORDER BY o_orderstatus")
@@ -86,6 +91,31 @@ sql_query("adhoc_anti", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS
 sql_query("adhoc_recursive", "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 20) SELECT n, n * n AS square FROM r")
 sql_query("adhoc_json", "SELECT event_type, COUNT(*) AS n, COUNT(get_json_object(props, '$.k')) AS with_k FROM events GROUP BY event_type", "SELECT event_type, COUNT(*) AS n, COUNT(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY event_type")
 
+sql_query("adhoc_params", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = ? AND o_totalprice > ?", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000", ["F", 100000])
+sql_query("adhoc_all_rows", "SELECT l_orderkey, l_linenumber FROM lineitem")
+sql_query("adhoc_dates", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, COUNT(*) AS orders, CAST(MAX(datediff(DATE '2030-01-01', CAST(o_orderdate AS DATE))) AS BIGINT) AS age FROM orders GROUP BY 1, 2", "SELECT year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS m, COUNT(*) AS orders, MAX(date_diff('day', o_orderdate::DATE, DATE '2030-01-01')) AS age FROM orders GROUP BY 1, 2")
+sql_query("adhoc_strings", "SELECT regexp_extract(c_name, '([0-9]+)$', 1) AS number, CONCAT(c_mktsegment, '/', LOWER(SUBSTRING(c_name, 1, 4))) AS label, NULLIF(c_nationkey, 7) AS nation, LENGTH(TRIM(c_name)) AS n FROM customer", "SELECT regexp_extract(c_name, '([0-9]+)$', 1) AS number, CONCAT(c_mktsegment, '/', LOWER(SUBSTRING(c_name, 1, 4))) AS label, NULLIF(c_nationkey, 7) AS nation, LENGTH(TRIM(c_name))::INTEGER AS n FROM customer")
+sql_query("adhoc_arrays", "SELECT o_custkey, SIZE(COLLECT_SET(o_orderstatus)) AS kinds, ARRAY_JOIN(SORT_ARRAY(COLLECT_SET(o_orderstatus)), ',') AS listed FROM orders GROUP BY o_custkey", "SELECT o_custkey, COUNT(DISTINCT o_orderstatus)::INTEGER AS kinds, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS listed FROM orders GROUP BY o_custkey")
+
+GUARDED = [
+    ("SELECT 1 AS x", True), ("  select n_name from nation;", True), ("WITH t AS (SELECT 1 AS x) SELECT x FROM t", True), ("(SELECT 1 AS x) UNION (SELECT 2)", True), ("SELECT 'DROP TABLE x' AS updated_at", True),
+    ("WITH t AS (SELECT 1 AS x) INSERT INTO guard_target SELECT x FROM t", False), ("/* SELECT */ INSERT INTO guard_target VALUES (1)", False), ("DROP TABLE x", False), ("SELECT 1; DROP TABLE x", False),
+    ("CREATE TABLE x AS SELECT 1", False), ("FROM nation INSERT INTO guard_target SELECT n_nationkey", False), ("DELETE FROM x", False), ("SET a = b", False), ("", False), ("TRUNCATE TABLE x", False), ("INSERT OVERWRITE DIRECTORY '/tmp/x' SELECT 1", False),
+]
+
+
+@query(f"SELECT * FROM (VALUES {', '.join(f'({chr(39)}{s.replace(chr(39), chr(39) * 2)}{chr(39)}, {str(ok).lower()})' for s, ok in GUARDED)}) g(sql_text, allowed)")
+def guard_verdicts(spark, sf_dir):
+    """Which texts the engine runs; those refused are never run."""
+    e = engine(spark, sf_dir)
+    return spark.createDataFrame([(s, "error" not in e.run_query(s)) for s, _ in GUARDED], "sql_text string, allowed boolean")
+
+
+@query("SELECT 'main' AS table_schema")
+def schema_listing(spark, sf_dir):
+    return spark.createDataFrame([(s,) for s in engine(spark, sf_dir).list_schemas()["schemas"]], "table_schema string")
+
+
 # Duplicates.  The tables repeat few rows, so some cases are made: a slice united with itself.
 
 
@@ -157,15 +187,38 @@ def rules_with_nulls(spark, sf_dir):
     + _rule_sql("orders", ["o_totalprice >= 0", "o_totalprice < 150000"]) + ") UNION ALL SELECT 'no_such_column > 0', 'ERROR', NULL UNION ALL SELECT 'DROP TABLE x', 'SKIPPED', NULL"
 )
 def rules_status(spark, sf_dir):
-    return Q.validate_rules(tables(spark, sf_dir).table("orders"), ["o_totalprice >= 0", "o_totalprice < 150000", "no_such_column > 0", "DROP TABLE x"])
+    return Q.validate_rules(tables(spark, sf_dir).table("orders"), ["o_totalprice >= 0", "o_totalprice < 150000", "no_such_column > 0", "DROP TABLE x"]).drop("reason")
 
 
-@query("""SELECT unnest(['l_extendedprice >= 0']) AS rule, 0::BIGINT AS violations""")
+@query("""SELECT 'l_extendedprice >= 0' AS rule, COUNT(*) FILTER (WHERE NOT (l_extendedprice >= 0)) AS violations FROM lineitem
+UNION ALL SELECT 'l_quantity >= 0', COUNT(*) FILTER (WHERE NOT (l_quantity >= 0)) FROM lineitem""")
 def rules_autodetect(spark, sf_dir):
     line = tables(spark, sf_dir)
     return Q.rule_violations(line.table("lineitem"), Q.rules_for(line.columns("lineitem")))
 
 
+#: The rules that names and types should suggest, written out from the rules' description.
+DETECTED = [
+    ("contracts", [("contract_id", "BIGINT"), ("start_date", "DATE"), ("end_date", "DATE"), ("salary", "DECIMAL(12,2)"), ("note", "VARCHAR")], ["contract_id > 0", "contract_id IS NOT NULL", "end_date >= start_date OR end_date IS NULL", "start_date IS NOT NULL", "salary >= 0"]),
+    ("shifts", [("shift_start_date", "DATE"), ("end_date", "DATE")], ["end_date >= shift_start_date OR end_date IS NULL", "shift_start_date IS NOT NULL"]),
+    ("open_ended", [("start_date", "DATE"), ("final_end_date", "DATE")], []),
+    ("amounts", [("price", "DOUBLE"), ("total", "DOUBLE"), ("balance", "FLOAT"), ("unit_cost", "NUMERIC"), ("quantity", "INTEGER"), ("revenue", "VARCHAR"), ("amount_small", "SMALLINT")], ["price >= 0", "unit_cost >= 0", "quantity >= 0", "amount_small >= 0"]),
+    ("keys", [("id", "VARCHAR"), ("paid", "BOOLEAN")], ["id IS NOT NULL", "paid IS NOT NULL"]),
+]
+
+
+@query(f"SELECT * FROM (VALUES {_values([(t, r) for t, _, rules in DETECTED for r in rules])}) d(table_name, rule)")
+def rules_detected(spark, sf_dir):
+    listed = lambda columns: [{"column_name": n, "column_type": k} for n, k in columns]
+    return spark.createDataFrame([(t, r) for t, columns, _ in DETECTED for r in Q.rules_for(listed(columns))], "table_name string, rule string")
+
+
+@query(f"SELECT * FROM (VALUES {_values([(w, 'SKIPPED') for w in ('DROP', 'DELETE', 'UPDATE', 'INSERT', 'TRUNCATE')])}, ('ALTER', 'ERROR')) r(word, status)")
+def rules_forbidden(spark, sf_dir):
+    words = ("DROP", "DELETE", "UPDATE", "INSERT", "TRUNCATE", "ALTER")
+    return Q.validate_rules(tables(spark, sf_dir).table("region"), [f"{w} TABLE x" for w in words]).select(F.substring_index("rule", " ", 1).alias("word"), "status")
+
+
 @query("SELECT * FROM customer WHERE NOT (c_acctbal >= 0)")
 def rule_violating_rows(spark, sf_dir):
     return Q.violating_rows(tables(spark, sf_dir).table("customer"), "c_acctbal >= 0")
@@ -201,9 +254,9 @@ def null_profile(spark, sf_dir):
 _NUMERIC = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, MIN({c})::DOUBLE AS min_value, MAX({c})::DOUBLE AS max_value, ROUND(AVG({c}), 6) AS avg_value, COUNT(DISTINCT {c}) AS distinct_count FROM lineitem" for c in _NUMERIC))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, MIN({c})::DOUBLE AS min_value, MAX({c})::DOUBLE AS max_value, ROUND(AVG({c}), 4) AS avg_value, COUNT(DISTINCT {c}) AS distinct_count FROM lineitem" for c in _NUMERIC))
 def numeric_profile(spark, sf_dir):
-    return Q.numeric_profile(tables(spark, sf_dir).table("lineitem")).withColumn("avg_value", F.round("avg_value", 6))
+    return Q.numeric_profile(tables(spark, sf_dir).table("lineitem")).withColumn("avg_value", F.round("avg_value", 4))  # sums of doubles depend on their order
 
 
 @query("SELECT column_name, 'date stored as text' AS issue FROM (VALUES ('o_orderdate')) t(column_name)")
@@ -220,6 +273,14 @@ def quality_score(spark, sf_dir):
     return Q.score_frame(_nulled(tables(spark, sf_dir)), ["c_mktsegment"])
 
 
+@query(f"""WITH p AS ({_NULL_PROFILE}), n AS (SELECT COUNT(*) FILTER (WHERE status = 'CRITICAL') AS critical, COUNT(*) FILTER (WHERE status = 'WARNING') AS warning FROM p),
+s AS (SELECT critical + warning AS issues, GREATEST(0, 100 - 20 * critical - 5 * warning)::BIGINT AS score FROM n)
+SELECT COUNT(*) AS row_count, ANY_VALUE(s.issues)::BIGINT AS issues, ANY_VALUE(s.score) AS score, CASE WHEN ANY_VALUE(s.score) >= 90 THEN 'EXCELLENT' WHEN ANY_VALUE(s.score) >= 70 THEN 'GOOD' WHEN ANY_VALUE(s.score) >= 50 THEN 'FAIR' ELSE 'POOR' END AS grade FROM customer, s""")
+def quality_analysis(spark, sf_dir):
+    found = Q.analyze(_nulled(tables(spark, sf_dir)))
+    return spark.createDataFrame([(found["row_count"], found["quality"]["issues_count"], found["quality"]["score"], found["quality"]["grade"])], "row_count long, issues long, score long, grade string")
+
+
 @query("""WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.75) AS b FROM customer)
 SELECT COUNT(*) AS outlier_count FROM customer, q WHERE c_acctbal < a - 1.5 * (b - a) OR c_acctbal > b + 1.5 * (b - a)""")
 def outlier_count(spark, sf_dir):
@@ -341,6 +402,41 @@ def lineage_paths(spark, sf_dir):
     return L.paths(_edges(spark), "conformed.customer_risk")
 
 
+#: Platform lineage as a platform lists it, and what should come of it.
+PLATFORM = [("raw", "customer", "c_name", "silver", "dim_customer", "name"), ("raw", "customer", "c_name", "silver", "dim_customer", "name"), ("raw", None, None, "silver", "dim_customer", "tier"), ("raw", "nation", "n_name", "silver", "dim_customer", "name")]
+
+
+def _platform(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(PLATFORM, "source_table_schema string, source_table_name string, source_column_name string, target_table_schema string, target_table_name string, target_column_name string")
+
+
+@query("SELECT * FROM (VALUES ('silver.dim_customer', 'raw.customer'), ('silver.dim_customer', 'raw.nation')) p(target_table, source_table)")
+def platform_tables(spark, sf_dir):
+    return L.platform_table_lineage(_platform(spark), "silver.dim_customer")
+
+
+@query("SELECT * FROM (VALUES ('silver.dim_customer', 'name', 'raw.customer', 'c_name'), ('silver.dim_customer', 'name', 'raw.nation', 'n_name')) p(target_table, target_column, source_table, source_column)")
+def platform_columns(spark, sf_dir):
+    return L.platform_column_lineage(_platform(spark), "silver.dim_customer", "name")
+
+
+@query("SELECT * FROM (VALUES ('silver.dim_customer', 'raw.nation'), ('silver.dim_customer', 'raw.customer'), ('silver.dim_supplier', 'raw.supplier')) s(table_name, source)")
+def sources_platform_first(spark, sf_dir):
+    """The platform's sources where it has any, else those of the metadata."""
+    edges, facts = X.as_frames(spark, *X.parse_script(M.SCRIPT, "pipeline.sql"))
+    e = Engine(spark, tables(spark, sf_dir), edges, facts, platform=(_platform(spark), _platform(spark)))
+    return spark.createDataFrame([(t, s) for t in ("silver.dim_customer", "silver.dim_supplier") for s in e.get_table_sources(t)["sources"]], "table_name string, source string")
+
+
+CHAIN = [(f"s.t{i + 1}", f"s.t{i}") for i in range(15)]
+
+
+@query("SELECT 's.t' || i AS table_name, i::INTEGER AS hops FROM range(1, 16) r(i)")
+def impact_long_chain(spark, sf_dir):
+    """Fifteen hops, by joins until nothing is new."""
+    return L.impact(spark.createDataFrame(CHAIN, "target_table string, source_table string"), "s.t0", force_join=True)
+
+
 # Assets and policies
 
 NODES = [("raw", ["public"], "ops"), ("clean", ["PII", "core"], "ops"), ("mart", ["public", "core"], "bi"), ("report", ["PII"], "bi"), ("lonely", [], "bi")]
@@ -378,6 +474,21 @@ FROM (VALUES {_values(BEFORE)}) a(t, c, k) FULL JOIN (VALUES {_values(AFTER)}) b
 r AS (SELECT *, CASE change_type WHEN 'added' THEN 'GREEN' WHEN 'removed' THEN 'RED' ELSE CASE WHEN (old_type, new_type) IN (('INTEGER', 'BIGINT'), ('FLOAT', 'DOUBLE')) THEN 'YELLOW' ELSE 'RED' END END AS risk FROM c)"""
 
 
+#: The widenings that count as safe, written out from the reference values, and some that do not.
+WIDENINGS = [
+    ("INTEGER", "BIGINT"), ("INT", "BIGINT"), ("FLOAT", "DOUBLE"), ("REAL", "DOUBLE"), ("SMALLINT", "INTEGER"), ("SMALLINT", "INT"), ("SMALLINT", "BIGINT"),
+    ("TINYINT", "SMALLINT"), ("TINYINT", "INTEGER"), ("TINYINT", "INT"), ("TINYINT", "BIGINT"), ("VARCHAR", "TEXT"), ("STRING", "TEXT"),
+]
+NOT_SAFE = [("BIGINT", "INTEGER"), ("VARCHAR", "STRING"), ("INTEGER", "DOUBLE"), ("DOUBLE", "FLOAT"), ("TEXT", "VARCHAR"), ("TINYINT", "DOUBLE"), ("DATE", "VARCHAR")]
+_PAIRS = [(o, n, "YELLOW") for o, n in WIDENINGS] + [(o, n, "RED") for o, n in NOT_SAFE]
+
+
+@query(f"SELECT * FROM (VALUES {_values(_PAIRS)}) p(old_type, new_type, risk)")
+def drift_widenings(spark, sf_dir):
+    before, after = (spark.createDataFrame([("t", f"c{i}", pair[side]) for i, pair in enumerate(_PAIRS)], D.LONG) for side in (0, 1))
+    return D.compare(before, after).select("old_type", "new_type", "risk")
+
+
 def _changes(spark: SparkSession) -> DataFrame:
     return D.compare(spark.createDataFrame(BEFORE, D.LONG), spark.createDataFrame(AFTER, D.LONG))
 
@@ -432,6 +543,88 @@ def review_block_changes(spark, sf_dir):
     return spark.createDataFrame(list(R.describe_changes(OLD_SQL, NEW_SQL).items()), "table_name string, change string")
 
 
+#: Changes with the blockers and the business severity that each should show.
+CASES = [
+    ("cross join", "CREATE TABLE silver.a AS SELECT x FROM raw.b;", "CREATE TABLE silver.a AS SELECT x FROM raw.b CROSS JOIN raw.c;", [("HIGH", "volume_anomaly")], "MEDIUM"),
+    ("always true", "CREATE TABLE silver.a AS SELECT x FROM raw.b;", "CREATE TABLE silver.a AS SELECT x FROM raw.b JOIN raw.c ON 1 = 1;", [("HIGH", "volume_anomaly")], "MEDIUM"),
+    ("filter removed", "CREATE TABLE silver.a AS SELECT x FROM raw.b WHERE x > 1;", "CREATE TABLE silver.a AS SELECT x FROM raw.b;", [("MEDIUM", "volume_anomaly")], "MEDIUM"),
+    ("equals null", "CREATE TABLE silver.a AS SELECT x FROM raw.b;", "CREATE TABLE silver.a AS SELECT x FROM raw.b WHERE x = NULL;", [("LOW", "volume_anomaly")], "MEDIUM"),
+    ("syntax", "CREATE TABLE silver.a AS SELECT x FROM raw.b;", "CREATE TABLE silver.a AS SELECT (x FROM raw.b;", [("HIGH", "syntax_error")], "LOW"),
+    ("aggregated", "CREATE TABLE silver.a AS SELECT x FROM raw.b;", "CREATE TABLE silver.a AS SELECT x, COUNT(*) AS n FROM raw.b GROUP BY x;", [], "HIGH"),
+    ("same", "CREATE TABLE silver.a AS SELECT x FROM raw.b;", "CREATE TABLE silver.a AS SELECT x FROM raw.b;", [], "LOW"),
+]
+
+
+@query(f"SELECT * FROM (VALUES {_values([(c, s, k) for c, _, _, blockers, _ in CASES for s, k in blockers])}) b(change, severity, blocker_type)")
+def review_blockers(spark, sf_dir):
+    rows = [(c, b["severity"], b["blocker_type"]) for c, old, new, _, _ in CASES for b in R.validate_technical(old, new)["blockers"]]
+    return spark.createDataFrame(rows, "change string, severity string, blocker_type string")
+
+
+@query(f"SELECT * FROM (VALUES {_values([(c, s) for c, _, _, _, s in CASES])}) b(change, severity)")
+def review_business(spark, sf_dir):
+    return spark.createDataFrame([(c, R.validate_business(old, new)["severity"]) for c, old, new, _, _ in CASES], "change string, severity string")
+
+
+DELTAS = [("silver.a", "SELECT x, y FROM raw.b", "SELECT x, z FROM raw.b", ["silver.a", "silver.a.y", "silver.a.z"], False), ("silver.b", "SELECT x FROM raw.b", "SELECT x FROM raw.b JOIN raw.c ON b.i = c.i", ["silver.b"], True), ("silver.c", "SELECT x FROM raw.b", "SELECT x FROM raw.b -- note", [], False)]
+
+
+@query(f"SELECT * FROM (VALUES {_values([(t, e, str(j).lower()) for t, _, _, elements, j in DELTAS for e in elements])}) d(table_name, element, integrity)")
+def review_deltas(spark, sf_dir):
+    rows = []
+    for t, old, new, _, _ in DELTAS:
+        found = R.semantic_delta(f"CREATE TABLE {t} AS\n{old}\n;", f"CREATE TABLE {t} AS\n{new}\n;")
+        rows += [(t, e, str(found["has_integrity_impact"]).lower()) for e in found["changed_elements"]]
+    return spark.createDataFrame(rows, "table_name string, element string, integrity string")
+
+
+REVIEWED = {
+    "fact.sql": ("CREATE TABLE silver.fact_sales AS SELECT l_orderkey FROM raw.lineitem;", "CREATE TABLE silver.fact_sales AS SELECT l_orderkey FROM raw.lineitem WHERE l_tax > 0;"),
+    "same.sql": ("CREATE TABLE silver.kept AS SELECT 1 AS one;", "CREATE TABLE silver.kept AS SELECT 1 AS one;"),
+}
+
+
+@query(f"""WITH RECURSIVE {_WALK} SELECT 'silver.fact_sales' AS table_name, node AS downstream, MIN(hops)::INTEGER AS hops, 'YELLOW' AS risk FROM walk WHERE root = 'silver.fact_sales' GROUP BY node""")
+def review_chains(spark, sf_dir):
+    """What a review finds downstream of a changed table, and its risk."""
+    edges = _edges(spark)
+    found = R.review(REVIEWED, lambda changed: L.chains_from(edges, changed))
+    return spark.createDataFrame([(t, d, n, found.risk_level) for t, chain in found.impact_chains.items() for d, n in chain], "table_name string, downstream string, hops int, risk string")
+
+
+NOISE = [("", True), ("  -- note", True), ("/* a", True), ("* b", True), ("# c", True), ("SELECT 1", False), ("x -- y", False)]
+
+
+@query(f"SELECT l AS line, n::BOOLEAN AS noise FROM (VALUES {_values([(a, str(b).lower()) for a, b in NOISE])}) v(l, n)")
+def review_noise(spark, sf_dir):
+    return spark.createDataFrame([(line, R.is_noise(line)) for line, _ in NOISE], "line string, noise boolean")
+
+
+SUMMARIES = [("", "(none)"), ("CREATE TABLE a AS SELECT x FROM b", "no WHERE"), ("CREATE TABLE a AS SELECT x FROM b LEFT JOIN c ON b.i = c.i JOIN d ON d.i = b.i WHERE x > 1 GROUP BY x", "WHERE x > 1; 1 LEFT JOIN(s), 1 other JOIN(s); GROUP BY")]
+
+
+@query(f"SELECT * FROM (VALUES {_values(SUMMARIES)}) s(block, summary)")
+def review_old_summaries(spark, sf_dir):
+    return spark.createDataFrame([(b, R.old_summary(b)) for b, _ in SUMMARIES], "block string, summary string")
+
+
+GRAIN_BLOCKS = {"x.company_stats": "CREATE TABLE x.company_stats AS SELECT company_name FROM y GROUP BY company_name", "x.per_employee": "CREATE TABLE x.per_employee AS SELECT emp_id FROM x.company_stats GROUP BY emp_id", "x.plain": "CREATE TABLE x.plain AS SELECT 1 AS one FROM x.company_stats"}
+
+
+@query("SELECT 'x.company_stats' AS table_name, 'x.per_employee' AS downstream, 'company' AS grain, 'employee' AS downstream_grain")
+def review_grain_mismatches(spark, sf_dir):
+    found = R.grain_mismatches(GRAIN_BLOCKS, ["x.company_stats"], {"x.company_stats": [("x.per_employee", 1), ("x.plain", 1)]})
+    return spark.createDataFrame([(g["table"], g["downstream"], g["grain"], g["downstream_grain"]) for g in found], "table_name string, downstream string, grain string, downstream_grain string")
+
+
+ETL = [("CREATE TABLE a AS SELECT 1", True), ("INSERT INTO a VALUES (1)", True), ("SELECT 1 -- CREATE TABLE a", False), ("CREATE INDEX i ON a (x)", False), ("CREATE OR REPLACE VIEW v AS SELECT 1", True), ("SELECT 'INSERT INTO a'", False)]
+
+
+@query(f"SELECT t AS sql_text, e::BOOLEAN AS etl FROM (VALUES {_values([(a, str(b).lower()) for a, b in ETL])}) v(t, e)")
+def review_etl_kinds(spark, sf_dir):
+    return spark.createDataFrame([(t, R.is_etl_sql(t)) for t, _ in ETL], "sql_text string, etl boolean")
+
+
 GRAINS = [("x.company_stats", "GROUP BY company_name", "company"), ("x.other", "GROUP BY e.emp_id", "employee"), ("x.dept_list", "", "department"), ("x.t", "GROUP BY industry", "industry"), ("x.fact_jobs", "", "job"), ("x.none", "", None)]
 
 
@@ -488,8 +681,23 @@ def code_lineage_edges(spark, sf_dir):
 @query(f"""WITH RECURSIVE up(dst, src) AS (SELECT dst_df || '.' || dst_col, src_df || '.' || src_col FROM {_CODE_SQL} UNION
 SELECT u.dst, e.src_df || '.' || e.src_col FROM up u JOIN {_CODE_SQL} ON e.dst_df || '.' || e.dst_col = u.src) SELECT dst AS column_name, src AS upstream_column FROM up""")
 def code_lineage_closure(spark, sf_dir):
-    C.edges_frame(spark, CODE).createOrReplaceTempView("code_edges")
-    return spark.sql(C.closure_sql())
+    return C.closure(C.edges_frame(spark, CODE))
+
+
+LONG_CODE = "a0 = raw.select('x')\n" + "\n".join(f"a{i + 1} = a{i}.select('x')" for i in range(15))
+
+
+@query("SELECT 'a' || i || '.x' AS column_name, CASE WHEN j < 0 THEN 'raw.x' ELSE 'a' || j || '.x' END AS upstream_column FROM range(0, 16) r(i), range(-1, 15) s(j) WHERE j < i")
+def code_lineage_long_chain(spark, sf_dir):
+    return C.closure(C.edges_frame(spark, LONG_CODE))
+
+
+UDF_CODE = "f = udf(lambda x: x, 'int')\n@pandas_udf('double')\ndef g(s):\n    return s\nh = len\n"
+
+
+@query("SELECT * FROM (VALUES ('f'), ('g')) u(name)")
+def code_udfs(spark, sf_dir):
+    return spark.createDataFrame([(u["name"],) for u in C.parse_code(UDF_CODE)["udfs"]], "name string")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,16 @@ class Catalog:
             found.register(f"{schema}.{name}", lambda path=f"{folder}/{name}.parquet": spark.read.parquet(path))
         return found
 
+    @classmethod
+    def from_session(cls, spark: SparkSession, schema: str | None = None) -> Catalog:
+        """The tables of the session's catalog, of one schema or of all."""
+        found = cls(spark, schema or "default")
+        for db in [schema] if schema else [d.name for d in spark.catalog.listDatabases()]:
+            for t in spark.catalog.listTables(db):
+                if not t.isTemporary:
+                    found.register(f"{db}.{t.name}", lambda name=f"{db}.{t.name}": spark.table(name))
+        return found
+
     def full_name(self, table: str) -> str:
         check_identifier(table, "table name")
         return table if "." in table else f"{self.default_schema}.{table}"

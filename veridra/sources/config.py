@@ -62,5 +62,26 @@ def load_config(path: str | Path) -> Config:
     return Config(path.resolve().parent.parent, kind, raw.get(kind) or {}, raw.get("etl") or {}, (raw.get("lineage") or {}).get("source", "auto"))
 
 
+#: Backends by the name that a configuration gives them: files of a folder, or the session's own catalog.
+BACKENDS = ("duckdb", "parquet", "databricks", "spark")
+
+
+def connect(config: Config, spark=None):
+    """The catalog of a configured backend; ValueError for a type that is not known."""
+    from pyspark.sql import SparkSession
+
+    from .catalog import Catalog
+
+    if config.db_type not in BACKENDS:
+        raise ValueError(f"Unsupported database type: {config.db_type}")
+    spark = spark or SparkSession.builder.getOrCreate()
+    if config.db_type in ("databricks", "spark"):
+        return Catalog.from_session(spark, config.settings.get("schema"))
+    folder = config.resolve(config.settings.get("path"))
+    if not folder or not folder.is_dir():
+        raise ValueError(f"No such folder: {folder}")
+    return Catalog.from_directory(spark, str(folder), sorted(p.stem for p in folder.glob("*.parquet")))
+
+
 def walk(root: Path, *suffixes: str) -> list[Path]:
     return sorted(p for p in Path(root).rglob("*") if p.suffix in suffixes and not SKIPPED & set(p.relative_to(root).parts[:-1]))
