@@ -1,7 +1,7 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence kernel, trained on labelled sentences.
 
-A text is cut into sentences (at most ``WORDS`` words each), a sentence into units: its lower-cased words without
-signs.  What white space divides is joined again: runs of single characters, and two neighbouring fragments of
+A text is cut at ends of sentences into runs of at most ``WORDS`` words, called sentences here, and these into units:
+their lower-cased words without signs.  What white space divides is joined again: runs of single characters, and two neighbouring fragments of
 at most ``FRAGMENT`` characters, and three of less.  Of a word with the same character at every second place the rest is a unit too.
 
 The kernel of two units sums over all subsequences of three characters that they share, each weighted
@@ -13,7 +13,8 @@ highest sentence, and a logistic law fitted to texts turns it into a probability
 
 Training takes a bounded sample of labelled rows (``per_class`` of each class, chosen by a hash of the
 id).  Labels hold for texts, so which sentences bear a toxic text's label is learned with the machine, in alternation: at
-first all do, then those that the machine finds toxic, and at least the one that scores highest.  All sentences of
+first all do, then those with a unit that covers toxic texts (below), those that the machine finds toxic, and at least
+the one that scores highest.  All sentences of
 clean texts are clean.  The toxic sentences are repeated with a character put into their nearest unit, two put in,
 or one left out.  Landmarks are the units that cover most
 toxic texts not yet covered, less three times the clean texts that have them, and the clean units that come nearest.
@@ -42,22 +43,24 @@ from pyspark.sql import functions as F
 
 from .common import held_out
 
-ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.3, 64, 400_000
-WORDS, FRAGMENT = 40, 4
-_END = re.compile(r"[.!?]+(?=\s)|[\r\n]+")
+ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.3, 64, 800_000
+WORDS, FRAGMENT = 12, 4
 _SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
 _FRAGMENTS = re.compile(rf"(?<!\S)\S{{1,{FRAGMENT}}}(?:\s+\S{{1,{FRAGMENT}}}(?!\S))+")
 _SIGNS = re.compile(r"[\W_]+")
-_BLOCK, _AT_ONCE = 1 << 21, 20_000  # cells of a table of words by triples; words at once
+_AT_ONCE = 50_000  # words
 
 
 def sentences(text: str) -> list[list[str]]:
     """The raw units of each sentence; those joined across white space stand in lists of their own."""
     text = text.lower()
-    found = []
-    for part in _END.split(text):
-        words = part.split()
-        found += [words[i : i + WORDS] for i in range(0, len(words), WORDS)]
+    words, found, at = text.split(), [], 0
+    while at < len(words):
+        end = min(at + WORDS, len(words))
+        if end < len(words):  # back to the end of a sentence, if there is one in the second half
+            end = next((k for k in range(end, at + WORDS // 2, -1) if words[k - 1][-1] in ".!?"), end)
+        found.append(words[at:end])
+        at = end
     found += [["".join(m[0].split())] for m in _SPELLED.finditer(text)]
     for m in _FRAGMENTS.finditer(text):
         parts = m[0].split()
@@ -141,6 +144,7 @@ class Machine:
         self.table = np.concatenate([np.zeros((1, m)), np.stack(list(triples.values()))]).astype(np.float32)
         self.row_of[list(triples)] = np.arange(1, len(triples) + 1)
         self.most = self.table.max(1)[self.row_of]  # of each triple in any landmark, for the bound
+        self.weighted = [self.most * np.float32(DECAY**span) for span in range(WIDTH + 3)]
         gram = self.kernels(landmarks)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         keep = values > 1e-6
@@ -165,23 +169,27 @@ class Machine:
 
     def _kernels(self, words: list[str], out: np.ndarray) -> None:
         codes = coded(words)
-        lengths, numbers, size = (codes > 0).sum(1), self.numbered(codes).astype(np.int32), len(self.chars) + 1
+        lengths, numbers, size = (codes > 0).sum(1), self.numbered(codes), len(self.chars) + 1
         for n in np.unique(lengths):
             (i, j, k), weights = _places(int(n))
             least = float(np.sqrt((weights.astype(np.float64) ** 2).sum()))
             mine = np.flatnonzero(lengths == n)
             c = np.ascontiguousarray(numbers[mine, :n].T)
-            most = np.zeros(len(mine), np.float32)
-            for p in range(n - 2):
-                for q in range(p + 1, n - 1):
-                    pair = (c[p] * size + c[q]) * size
-                    for r in range(q + 1, n):
-                        most += np.float32(DECAY ** (r - p + 1)) * self.most.take(pair + c[r])
+            if len(mine) < 1000:  # many triples of few words: all at once
+                most = np.concatenate([weights @ self.most.take((c[i][:, at : at + step] * size + c[j][:, at : at + step]) * size + c[k][:, at : at + step]) for step in [max(1, (1 << 20) // len(weights))] for at in range(0, len(mine), step)])
+            else:
+                most = np.zeros(len(mine), np.float32)
+                for p in range(n - 2):
+                    for q in range(p + 1, n - 1):
+                        pair = (c[p] * size + c[q]) * size
+                        for r in range(q + 1, n):
+                            most += self.weighted[r - p + 1].take(pair + c[r])
             near = np.flatnonzero(most >= FLOOR * least * (1 - 1e-4))
-            for some in np.array_split(near, -(-len(near) * len(self.table) // _BLOCK)) if len(near) else ():
-                rows = self.row_of[(c[i][:, some] * size + c[j][:, some]) * size + c[k][:, some]]
-                cells = np.bincount((np.arange(len(some)) * len(self.table) + rows).ravel(), np.repeat(weights, len(some)), len(some) * len(self.table))
-                raw = cells.reshape(len(some), -1).astype(np.float32) @ self.table  # row 0 is of zeros
+            for some in np.array_split(near, -(-len(near) // 512)) if len(near) else ():
+                rows = self.row_of.take((c[i][:, some] * size + c[j][:, some]) * size + c[k][:, some])
+                raw = np.zeros((len(some), self.table.shape[1]), np.float32)
+                for t, weight in enumerate(weights):  # row 0 is of zeros; plain sums, as a product would start threads in each task
+                    raw += self.table.take(rows[t], axis=0) * weight
                 chosen = mine[some]
                 norm = np.sqrt(subsequence_kernel(codes[chosen], codes[chosen])).astype(np.float32)
                 value = raw / norm[:, None]
@@ -358,20 +366,20 @@ def train(toxic_texts: list[str], clean_texts: list[str], landmarks: int = LANDM
     if not bearing:
         return None
     machine = Machine([w for w, _ in sorted(bearing.items(), key=lambda x: (-x[1], x[0]))[:landmarks]])
-    fit_sentences(machine, toxic, clean, in_clean, rounds)
+    fit_sentences(machine, toxic, clean, in_clean, bearing, rounds)
     # Clean words that come closest become landmarks too, and the machine is fitted again.
     words = sorted(in_clean)
     high = np.concatenate([machine.kernels(words[i : i + 20_000]) @ machine.weights for i in range(0, len(words), 20_000)])
     nearest = [words[i] for i in np.argsort(-high, kind="stable")[: landmarks // 2] if high[i] > 0]
     machine = Machine(list(dict.fromkeys([*machine.names, *nearest])))
-    scorer = fit_sentences(machine, toxic, clean, in_clean, rounds)
+    scorer = fit_sentences(machine, toxic, clean, in_clean, bearing, rounds)
     z = np.concatenate([scorer.margins(cut[i : i + 100]) for cut in (toxic, clean) for i in range(0, len(cut), 100)])
     machine.calibrate(z, np.arange(len(z)) < len(toxic_texts))
     return machine
 
 
-def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter, rounds: int) -> Scorer:
-    """Fits the machine to sentences; of each toxic text those count that are found toxic so far, or the highest."""
+def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter, bearing: Counter, rounds: int) -> Scorer:
+    """Fits the machine to sentences; of each toxic text those count that have a bearing unit or are found toxic so far, or the highest."""
     scorer = Scorer(machine, float("inf"))  # the sample is bounded
 
     def near(cut: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
@@ -382,15 +390,16 @@ def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter,
     down, _, _ = near(clean)
     starts = np.flatnonzero(np.diff(owner, prepend=-1))
     none = np.zeros((1, len(machine.names)), np.float32)
+    marked = np.array([any(w in bearing for u in filter(scorer.memo.__getitem__, s) for w in letters(u)) for s in units], bool)
     nearest: dict[int, str] = {}
     copied: dict[str, np.ndarray] = {}
     for n in range(rounds if len(starts) else 0):
         score = up @ machine.weights + machine.bias
         chosen, times = np.arange(len(up)), Counter()
-        share = np.repeat(1 / np.diff(starts, append=len(up)), np.diff(starts, append=len(up)))
+        share = np.where(marked, 1.0, np.repeat(1 / np.diff(starts, append=len(up)), np.diff(starts, append=len(up))))
         if n:
             highest = [part[np.argmax(score[part])] for part in np.split(chosen, starts[1:])]
-            chosen = np.union1d(np.flatnonzero(score > 0), highest)
+            chosen = np.union1d(np.flatnonzero((score > 0) | marked), highest)
             share = np.ones(len(chosen))
             of_unit = scorer.known @ machine.weights
             nearest.update((k, max(filter(scorer.memo.__getitem__, units[k]), key=lambda u: of_unit[scorer.memo[u]])) for k in set(chosen.tolist()) - nearest.keys())
@@ -403,7 +412,7 @@ def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter,
         x = np.concatenate([up[chosen], *copies, down, none])
         target = np.r_[np.ones(len(chosen) + sum(map(len, copies))), -np.ones(len(down) + 1)]
         repeated = np.concatenate([np.full(len(c), 3 * k / max(1, len(c))) for c, k in zip(copies, times.values())] or [np.empty(0)])
-        weight = np.r_[share / len(starts), repeated / len(starts), np.full(len(down), 3 / len(clean)), 1.0] * 1000
+        weight = np.r_[share / len(starts), repeated / len(starts), np.full(len(down), 2 / len(clean)), 1.0] * 1000
         machine.fit(x, target, weight)
     return scorer
 
@@ -424,7 +433,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
     return texts
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 1000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = 1500) -> DataFrame:
     """Of each document: doc_id, held_out, score and predicted."""
     machine = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, per_class)))
 
@@ -443,7 +452,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The documents that are not predicted toxic, with the columns of docs; one pass, no join."""
-    threshold, per_class = options.get("threshold", 0.3), options.get("per_class", 1000)
+    threshold, per_class = options.get("threshold", 0.3), options.get("per_class", 1500)
     machine = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels, per_class)))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
