@@ -85,9 +85,14 @@ def test_separator_scan_stitches_blocks(spark, tmp_path, monkeypatch, size):
         (tmp_path / name).write_bytes(np.array(flat, "<u2").tobytes())
         want += [(name, i, n, True) for i, n in enumerate(lengths)] + ([(name, 30, 4, False)] if name == "two" else [])
     (tmp_path / "empty").write_bytes(b"")
-    blocks = token_files.read_token_file(spark, f"file://{tmp_path}", size)
-    found = [(r["file"].rsplit("/", 1)[1], r["number"], r["n_tokens"], r["closed"]) for r in token_files.count_tokens(blocks).collect()]
-    assert sorted(found) == sorted(want)
+    for width in (2, 4):
+        if width == 4:
+            for name in ("one", "two"):
+                (tmp_path / name).write_bytes(np.frombuffer((tmp_path / name).read_bytes(), "<u2").astype("<u4").tobytes())
+        blocks = token_files.read_token_files(spark, f"file://{tmp_path}", size * width // 2)
+        assert "payload" not in blocks.columns and "content" not in blocks.columns
+        found = [(r["file"].rsplit("/", 1)[1], r["number"], r["n_tokens"], r["closed"]) for r in token_files.count_tokens(blocks, width=width).collect()]
+        assert sorted(found) == sorted(want)
 
 
 def test_odd_length_file_raises():
