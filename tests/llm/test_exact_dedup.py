@@ -33,6 +33,17 @@ def test_null_and_reused_ids_do_not_keep_copies(spark):
     assert sorted(map(tuple, kept), key=str) == sorted([(None, "only here"), (3, "also elsewhere"), (1, "first"), (0, "of two"), (4, "with  space")], key=str)
 
 
+def test_reused_ids_keep_one_row_of_each_content(spark):
+    rows = [(1, "aaa bbb"), (5, "a longer text here"), (5, "aaa  bb b"), (5, "aaabbb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["kept"] for r in E.mark_duplicates(df).collect()) == [False, False, True, True]
+    assert sorted(map(tuple, E.drop_duplicates(df).collect())) == [(5, "a longer text here"), (5, "aaa  bb b")]
+
+
+def test_empty_tables_leave_nothing(none):
+    assert E.drop_duplicates(none).count() == 0 and E.drop_duplicates(none).columns == none.columns
+
+
 def test_tables_that_do_not_fit_spill_and_agree(tmp_path):
     records = []
     for i in range(3000):

@@ -90,6 +90,7 @@ def test_odd_rows(odd, none):
     assert (5, 4, 5, True) in rows and (6, 4, 5, False) in rows
     assert (8, 1, 8, True) in rows and (4, 1, 4, True) in rows
     assert N.near_duplicates(odd).count() == odd.count() and N.near_duplicates(none).count() == 0
+    assert N.drop_near_duplicates(none).count() == 0
     kept = N.drop_near_duplicates(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
 

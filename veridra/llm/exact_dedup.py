@@ -127,9 +127,9 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = pc.fill_null(batch.column("text"), "").cast(pa.binary())
-        digests = [hashlib.sha256(raw.as_py().translate(None, BLANKS)).digest() for raw in text]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary())], ["doc_id", "digest"])
+        text = pc.fill_null(batch.column("text"), "")
+        digests = [hashlib.sha256(raw.as_py().translate(None, BLANKS)).digest() for raw in text.cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pc.utf8_length(text).cast(pa.int64())], ["doc_id", "digest", "own_chars"])
 
 
 _PARTIAL = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("chars", pa.int64()), ("best_id", pa.int64()), ("twins", pa.int64()), ("rows", pa.int64())])
@@ -178,9 +178,9 @@ def content_groups(docs: DataFrame) -> DataFrame:
 
 def mark_duplicates(docs: DataFrame) -> DataFrame:
     """Of each document: doc_id, keep_id, group_size, kept and text_sha256."""
-    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hashes, "doc_id long, digest binary")
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_hashes, "doc_id long, digest binary, own_chars long")
     return hashed.join(content_groups(docs), "digest", "left").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("own_chars") == F.col("chars"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 

@@ -59,30 +59,32 @@ def source_targets(rows: DataFrame, weights: tuple[float, ...], share: float, ca
 
 
 def _running(hist: DataFrame) -> DataFrame:
-    """Of each source's histogram (at most 2^BITS buckets): the first bucket whose running sum passes the budget."""
+    """Of each source's histogram (at most 2^BITS buckets): the first bucket whose running sum passes the budget, the
+    words below it, and its own."""
     bins = F.array_sort(F.collect_list(F.struct("bucket", "words")))
-    start = F.struct(F.lit(-1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("below"))
+    start = F.struct(F.lit(-1).cast("long").alias("bucket"), F.lit(0).cast("long").alias("below"), F.lit(0).cast("long").alias("words"))
     step = lambda s, x: F.when(
         (s["bucket"] >= 0), s
-    ).otherwise(F.when(s["below"] + x["words"] > F.col("budget"), F.struct(x["bucket"].alias("bucket"), s["below"].alias("below"))).otherwise(F.struct(s["bucket"].alias("bucket"), (s["below"] + x["words"]).alias("below"))))
+    ).otherwise(F.when(s["below"] + x["words"] > F.col("budget"), F.struct(x["bucket"].alias("bucket"), s["below"].alias("below"), x["words"].alias("words"))).otherwise(F.struct(s["bucket"].alias("bucket"), (s["below"] + x["words"]).alias("below"), s["words"].alias("words"))))
     return hist.groupBy("sk", "budget").agg(bins.alias("bins")).select("sk", "budget", F.aggregate("bins", start, step).alias("at"))
 
 
 def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """rows: sk, size, h; budgets: sk, budget.  Of each sk the largest threshold that keeps within its budget."""
+    """rows: sk, size, h; budgets: sk, budget.  Of each sk the threshold that comes nearest to its budget: the last document is
+    taken if less than half of it is over."""
     total = BITS * LEVELS
     at = budgets.select("sk", "budget", F.lit(0).cast("long").alias("prefix"))
     kept = None
     for level in range(1, LEVELS + 1):
         shift = total - BITS * level
-        inside = rows.join(at, "sk").filter(F.shiftright("h", shift + BITS) == F.col("prefix"))
+        inside = rows.join(at.select("sk", "budget", "prefix"), "sk").filter(F.shiftright("h", shift + BITS) == F.col("prefix"))
         found = _running(inside.groupBy("sk", "budget", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("words")))
         # Behind the first level the boundary lies inside, as its bucket's words pass what is left of the budget.
-        at = staged(found.select("sk", (F.col("budget") - F.col("at.below")).alias("budget"), F.col("at.bucket").alias("prefix")), "boundary")
+        at = staged(found.select("sk", (F.col("budget") - F.col("at.below")).alias("budget"), F.col("at.bucket").alias("prefix"), F.col("at.words").alias("words")), "boundary")
         if kept is None:
             kept = at.filter("prefix < 0").select("sk", F.lit(1 << total).cast("long").alias("threshold"))
         at = at.filter("prefix >= 0")
-    return kept.unionByName(at.select("sk", F.col("prefix").alias("threshold")))
+    return kept.unionByName(at.select("sk", (F.col("prefix") + F.when(2 * F.col("budget") > F.col("words"), 1).otherwise(0)).cast("long").alias("threshold")))
 
 
 def _source_key(source: Column) -> Column:

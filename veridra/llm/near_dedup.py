@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, staged
+from .common import BLANKS, LOWER, UPPER, discard, staged
 
 BANDS, ROWS, BLOCK, PER_GROUP, BROADCAST_IDS = 32, 5, 512, 256, 500_000
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -240,7 +240,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     A large-star step hangs each node's larger neighbours on its smallest one, a small-star step its smaller
     neighbours and itself; they alternate until each component is a star.
     """
-    edges = _directed(links)
+    edges, old = _directed(links), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -248,8 +248,11 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
         edges = staged(_directed(small), "stars")
+        if old is not None:
+            discard(old)
         if _is_star_forest(edges):
             return edges
+        old = edges
 
 
 class _Block:
@@ -387,12 +390,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     banded = staged(_bands(classes), "bands")
     buckets = staged(banded.groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "b"), "buckets")
     shared = staged(banded.join(buckets, "key"), "shared")
+    discard(banded, buckets)
     stars = shared.select(F.col("id").alias("a"), "b").filter("a <> b").distinct()
-    links = staged(_confirmed(staged(_agreeing(stars, classes, percent), "stars"), docs, words, percent), "links")
+    agreeing = staged(_agreeing(stars, classes, percent), "stars")
+    links = staged(_confirmed(agreeing, docs, words, percent), "links")
+    discard(agreeing)
     components = connected_components(links)
     more = staged(_across(classes, shared, components, docs, words, percent), "more")
+    discard(shared)
     if not more.isEmpty():
-        components = connected_components(components.unionByName(more))
+        first, components = components, connected_components(components.unionByName(more))
+        discard(first, links)
     roots = classes.join(components.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("set_key", F.coalesce("root", "id").alias("root"))
     # Empty documents have no key to join by; together they would meet in one task.
     keyed = sketches.filter("set_key is not null").join(roots, "set_key", "left").select("doc_id", "n_shingles", "root")

@@ -126,7 +126,8 @@ sources as (select source, sum(size)::bigint as source_size from docs group by s
 {targets_sql(MIX["weights"], MIX["share"], MIX["cap"], duckdb=True).strip()},
 summed as (select d.doc_id, d.size, t.source_size, t.target,
   case when t.source_size > 0 then floor(t.target / t.source_size)::bigint else 0 end as whole,
-  sum(d.size) over (partition by d.source order by d.h range between unbounded preceding and current row)::bigint as upto
+  sum(d.size) over (partition by d.source order by d.h range between unbounded preceding and current row)::bigint as upto,
+  sum(d.size) over (partition by d.source, d.h)::bigint as alike
   from docs d join targets t on d.source is not distinct from t.source)
-select doc_id, size, source_size, target, (size * (whole + case when upto <= target - whole * source_size then 1 else 0 end))::bigint as taken from summed""",
+select doc_id, size, source_size, target, (size * (whole + case when 2 * (target - whole * source_size - (upto - alike)) > alike then 1 else 0 end))::bigint as taken from summed""",
 }
