@@ -126,11 +126,11 @@ def test_scores_are_those_of_a_plain_machine():
 
 
 def test_sentences_and_units():
-    assert X.sentences("Several words. Then more") == [["several", "words.", "then", "more"], ["thenmore"]]
+    assert X.sentences("Several words. The end") == [["several", "words.", "the", "end"], ["theend"]]
     assert [len(s) for s in X.sentences("longer words " * 4 + "ended here. " + "longer words " * 7)] == [10, 12, 2]
     assert [len(s) for s in X.sentences("longer " * 30)] == [12, 12, 6]
     joined = [u for s in X.sentences("s  t\nu p i d and st up id") for u in s]
-    assert "stupid" in joined and joined.count("stupid") == 2
+    assert joined.count("stupid") == 2
     assert X.letters("i.d-i_o!t") == ["idiot"] and X.letters("ixdxixoxt") == ["ixdxixoxt", "idiot"] and X.letters("ab") == []
     assert [len(w) for w in X.letters("a" * 40)] == [X.WIDTH, 24] and X.letters("é") == []
 

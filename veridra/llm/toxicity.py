@@ -2,7 +2,7 @@
 
 A text is cut at ends of sentences into runs of at most ``WORDS`` words, called sentences here, and these into units:
 their lower-cased words without signs.  What white space divides is joined again: runs of single characters, and two neighbouring fragments of
-at most ``FRAGMENT`` characters, and three of less.  Of a word with the same character at every second place the rest is a unit too.
+at most ``FRAGMENT`` characters, and three of at most two.  Of a word with the same character at every second place the rest is a unit too.
 
 The kernel of two units sums over all subsequences of three characters that they share, each weighted
 by ``DECAY`` to the length it spans in either, and is normalised; characters put in between or left out
@@ -35,6 +35,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,7 @@ from pyspark.sql import functions as F
 from .common import held_out
 
 ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.3, 64, 800_000
-WORDS, FRAGMENT = 12, 4
-_SPELLED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){2,}")
+WORDS, FRAGMENT = 12, 3
 _FRAGMENTS = re.compile(rf"(?<!\S)\S{{1,{FRAGMENT}}}(?:\s+\S{{1,{FRAGMENT}}}(?!\S))+")
 _SIGNS = re.compile(r"[\W_]+")
 _AT_ONCE = 50_000  # words
@@ -61,11 +61,14 @@ def sentences(text: str) -> list[list[str]]:
             end = next((k for k in range(end, at + WORDS // 2, -1) if words[k - 1][-1] in ".!?"), end)
         found.append(words[at:end])
         at = end
-    found += [["".join(m[0].split())] for m in _SPELLED.finditer(text)]
     for m in _FRAGMENTS.finditer(text):
         parts = m[0].split()
         joined = [a + b for a, b in zip(parts, parts[1:])]
-        joined += [a + b + c for a, b, c in zip(parts, parts[1:], parts[2:]) if len(a) < FRAGMENT and len(b) < FRAGMENT and len(c) < FRAGMENT]
+        if len(parts) > 2:
+            if [len(p) for p in parts].count(1) > 2:
+                runs = ["".join(run) for single, run in groupby(parts, lambda p: len(p) == 1) if single]
+                joined += [run for run in runs if len(run) > 2]
+            joined += [a + b + c for a, b, c in zip(parts, parts[1:], parts[2:]) if len(a) < 3 and len(b) < 3 and len(c) < 3]
         found += [joined[i : i + WORDS] for i in range(0, len(joined), WORDS)]
     return found
 
@@ -273,25 +276,23 @@ class Scorer:
 
     def near(self, cut: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Of texts cut in sentences: the kernels of the sentences that have any, the number of the text of each, and their units."""
-        units = set().union(*(s for x in cut for s in x))
+        listed = [s for x in cut for s in x]
+        flat = list(chain.from_iterable(listed))
+        units = set(flat)
         new = units - self.memo.keys()
         if len(self.memo) + len(new) > self.most:
             self.forget()
             new = units
         self.learn(new)
-        flat, starts, owner, kept, row = [], [], [], [], self.memo.__getitem__
-        for i, x in enumerate(cut):
-            for s in x:
-                rows = set(map(row, s))
-                rows.discard(0)
-                if rows:
-                    starts.append(len(flat))
-                    flat += rows
-                    owner.append(i)
-                    kept.append(s)
-        if not flat:
+        rows = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
+        active = np.flatnonzero(rows)
+        if not len(active):
             return np.zeros((0, self.known.shape[1]), np.float32), np.zeros(0, np.int64), []
-        return np.maximum.reduceat(self.known[flat], starts, axis=0), np.array(owner), kept
+        sentence = np.repeat(np.arange(len(listed)), [len(s) for s in listed])[active]
+        starts = np.flatnonzero(np.diff(sentence, prepend=-1))
+        kept = sentence[starts]
+        text = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+        return np.maximum.reduceat(self.known[rows[active]], starts, axis=0), text[kept], [listed[i] for i in kept.tolist()]
 
     def margins(self, cut: list[list[list[str]]]) -> np.ndarray:
         """The score of each text, cut in sentences: its highest sentence's, the bias for a text without any kernel."""
@@ -411,7 +412,7 @@ def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter,
         copies = [copied[u] for u in times]
         x = np.concatenate([up[chosen], *copies, down, none])
         target = np.r_[np.ones(len(chosen) + sum(map(len, copies))), -np.ones(len(down) + 1)]
-        repeated = np.concatenate([np.full(len(c), 3 * k / max(1, len(c))) for c, k in zip(copies, times.values())] or [np.empty(0)])
+        repeated = np.concatenate([np.full(len(c), 5 * k / max(1, len(c))) for c, k in zip(copies, times.values())] or [np.empty(0)])
         weight = np.r_[share / len(starts), repeated / len(starts), np.full(len(down), 2 / len(clean)), 1.0] * 1000
         machine.fit(x, target, weight)
     return scorer
