@@ -296,6 +296,28 @@ def source_health(spark, sf_dir):
     return Q.source_health({**known, "raw.void": c.table("raw.orders").limit(0), "raw.missing": None}, spark)
 
 
+CAUSED = ["Missing DISTINCT in source SQL transformation", "JOIN conditions creating cartesian products", "Data entry errors (true duplicates)", "Missing unique constraints"]
+
+
+@query(f"SELECT * FROM (VALUES {_values([(c, 'true') for c in CAUSED])}) c(cause, told)")
+def dup_causes(spark, sf_dir):
+    """The causes that the narrative of duplicates names."""
+    told = engine(spark, sf_dir).detect_duplicates("orders", "o_orderstatus")["explanation"]
+    return spark.createDataFrame([(c, str(c in told).lower()) for c in CAUSED], "cause string, told string")
+
+
+@query("SELECT * FROM (VALUES (1, 'Asia', 2.5::DOUBLE), (2, NULL, NULL)) v(id, name, weight)")
+def values_source(spark, sf_dir):
+    return M.values_table(spark, [(1, "Asia", 2.5), (2, None, None)], "id int, name string, weight double")
+
+
+@query("SELECT o_orderstatus, COUNT(*) AS orders FROM orders GROUP BY o_orderstatus")
+def script_steps(spark, sf_dir):
+    """The last statement of a SQL script over views that its first ones make."""
+    tables(spark, sf_dir).as_views()
+    return M.run_script(spark, "CREATE OR REPLACE TEMP VIEW step_one AS SELECT o_orderstatus FROM orders; -- a note\nSELECT o_orderstatus, COUNT(*) AS orders FROM step_one GROUP BY o_orderstatus")[-1]
+
+
 # The medallion pipeline
 
 _DIM_C = "SELECT c_custkey, UPPER(c_name) AS name, c_nationkey, c_mktsegment, c_acctbal FROM customer"
@@ -510,6 +532,21 @@ def drift_enriched(spark, sf_dir):
     return D.enrich(_changes(spark), _edges(spark)).select("table_name", "column_name", "risk", F.size("downstream_tables").alias("n_downstream"))
 
 
+@query(f"WITH {_DRIFT} SELECT COUNT(*) FILTER (WHERE risk = 'RED') AS red, COUNT(*) FILTER (WHERE risk = 'YELLOW') AS yellow, COUNT(*) FILTER (WHERE risk = 'GREEN') AS green, COUNT(*) AS total FROM r")
+def drift_snapshots(spark, sf_dir):
+    """A snapshot written and read again, compared with the later columns by the monitor."""
+    import tempfile
+
+    listed = lambda rows: {t: [{"column_name": c, "column_type": k} for x, c, k in rows if x == t] for t, _, _ in rows}
+    with tempfile.TemporaryDirectory() as folder:  # of the driver alone
+        monitor = D.DriftMonitor(tables(spark, sf_dir), folder)
+        monitor.snapshot(listed(BEFORE))
+        before = monitor.latest()["tables"]
+    rows = [r.asDict() for r in D.compare(D.long_form(spark, before), D.long_form(spark, listed(AFTER))).collect()]
+    found = D.report(rows)
+    return spark.createDataFrame([(found["red"], found["yellow"], found["green"], found["total_changes"])], "red long, yellow long, green long, total long")
+
+
 # Review: files with one fault each; the oracle is the list of faults that each should show.
 
 FAULTY = {
@@ -608,6 +645,23 @@ def review_old_summaries(spark, sf_dir):
     return spark.createDataFrame([(b, R.old_summary(b)) for b, _ in SUMMARIES], "block string, summary string")
 
 
+EXTRACTED = [("JOIN", "raw.c", "b.i = c.i"), ("LEFT JOIN", "raw.d", "d.k = b.k AND d.v > 1"), ("CROSS JOIN", "raw.e", "")]
+
+
+@query(f"SELECT * FROM (VALUES {_values([(*j, 'x > 1 AND y IS NULL', 'k, m') for j in EXTRACTED])}) j(type, table_name, condition, filter, grouped)")
+def review_extracts(spark, sf_dir):
+    from .plans import sqltext as S
+
+    sql = "CREATE TABLE a AS SELECT k, m, COUNT(*) AS n FROM raw.b JOIN raw.c ON b.i = c.i LEFT JOIN raw.d ON d.k = b.k AND d.v > 1 CROSS JOIN raw.e WHERE x > 1 AND y IS NULL GROUP BY b.k, m"
+    return spark.createDataFrame([(j["type"], j["table"], j["condition"], S.where_clause(sql), ", ".join(S.group_columns(sql))) for j in S.joins(sql)], "type string, table_name string, condition string, filter string, grouped string")
+
+
+@query("SELECT * FROM (VALUES ('silve', 'silver'), ('rax', 'raw'), ('conformex', 'conformed'), ('warehouse', NULL)) c(name, closest)")
+def review_closest_names(spark, sf_dir):
+    known = ("raw", "silver", "conformed")
+    return spark.createDataFrame([(n, R.closest(n, known)) for n in ("silve", "rax", "conformex", "warehouse")], "name string, closest string")
+
+
 GRAIN_BLOCKS = {"x.company_stats": "CREATE TABLE x.company_stats AS SELECT company_name FROM y GROUP BY company_name", "x.per_employee": "CREATE TABLE x.per_employee AS SELECT emp_id FROM x.company_stats GROUP BY emp_id", "x.plain": "CREATE TABLE x.plain AS SELECT 1 AS one FROM x.company_stats"}
 
 
