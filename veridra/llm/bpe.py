@@ -29,8 +29,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from .common import give_back
 from .token_files import read_ranks
 
 LONG, GRAM, MEMO, AT_ONCE = 48, 5, 400_000, 400_000  # AT_ONCE: bytes of parts in one query
@@ -92,7 +92,7 @@ class Merger:
         self.grams = []
         for n in range(2, GRAM + 1):
             inside = [t[i : i + n] for t in ranks for i in range(len(t) - n + 1) if len(t) == n or n == GRAM]
-            table = np.zeros(1 << 23, bool)
+            table = np.zeros(1 << 22, bool)
             if inside:
                 table[self.hashed(np.frombuffer(b"".join(inside), np.uint8), n)[::n]] = True
             self.grams.append((n, table))
@@ -109,11 +109,11 @@ class Merger:
 
     @staticmethod
     def hashed(data: np.ndarray, n: int) -> np.ndarray:
-        """A hash of 23 bits of each n-gram; n-grams that agree by chance only prevent a cut."""
+        """A hash of 22 bits of each n-gram; n-grams that agree by chance only prevent a cut."""
         code = np.zeros(max(0, len(data) - n + 1), np.uint64)
         for i in range(n):
             code = code << np.uint64(8) | data[i : len(data) - n + 1 + i]
-        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)
+        return (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)
 
     def parts(self, pieces: list[bytes]) -> list[list[bytes]]:
         """Each piece cut at the places that no token of the vocabulary can lie across."""
@@ -234,13 +234,15 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         codec = None
         for batch in batches:
             codec = codec or Codec(*shared.value)
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 rows = []
                 for pieces in codec.pieces([t.as_py() or "" for t in part.column("text")]):
                     ids = codec.encoded(pieces)
                     rows.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(codec.bytes_of(pieces)).hexdigest()))
                 n, ids, decoded = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec = None
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(digested, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

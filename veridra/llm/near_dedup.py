@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, discard, staged
+from .common import BLANKS, LOWER, UPPER, discard, give_back, staged
 
 BANDS, ROWS, BLOCK, PER_GROUP, BROADCAST_IDS = 32, 5, 512, 256, 500_000
 _FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -136,6 +136,8 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
                     rows.append((len(found), key, memo[key]))
                 n, keys, sigs = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+        memo.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketched, "doc_id long, n_shingles long, set_key binary, sig binary")
 

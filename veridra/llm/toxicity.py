@@ -42,9 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import give_back, held_out
 
-ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.3, 64, 800_000
+ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.3, 64, 400_000
 WORDS, FRAGMENT = 12, 3
 _FRAGMENTS = re.compile(rf"(?<!\S)\S{{1,{FRAGMENT}}}(?:\s+\S{{1,{FRAGMENT}}}(?!\S))+")
 _SIGNS = re.compile(r"[\W_]+")
@@ -194,7 +194,11 @@ class Machine:
                 for t, weight in enumerate(weights):  # row 0 is of zeros; plain sums, as a product would start threads in each task
                     raw += self.table.take(rows[t], axis=0) * weight
                 chosen = mine[some]
-                norm = np.sqrt(subsequence_kernel(codes[chosen], codes[chosen])).astype(np.float32)
+                own = codes[chosen]
+                norm = np.full(len(chosen), least, np.float32)  # exact where no character comes twice
+                twice = np.flatnonzero((np.diff(np.sort(own[:, :n], axis=1), axis=1) == 0).any(1))
+                if len(twice):
+                    norm[twice] = np.sqrt(subsequence_kernel(own[twice], own[twice]))
                 value = raw / norm[:, None]
                 out[chosen] = np.where(value >= FLOOR, value, 0) ** POWER
 
@@ -426,8 +430,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple
         return [], []
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.filter(draw < F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / counts[1]))).otherwise(min(1.0, per_class / counts[0])))
-    # The parameter bounds the ids chosen, so they go to all tasks and no text moves but theirs.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text").collect()
+    # The ids chosen go to all tasks, after a check of their number, so that no text moves but theirs.
+    side = F.broadcast(chosen) if chosen.count() <= 8 * per_class else chosen
+    rows = docs.select("doc_id", "text").join(side, "doc_id").select("toxic", "text").collect()
     texts: tuple[list[str], list[str]] = [], []
     for r in rows:
         texts[1 - r["toxic"]].append(r["text"] or "")
@@ -441,11 +446,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(machine.value) if machine.value else None
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 texts = [t.as_py() or "" for t in part.column("text")]
                 scores = [machine.value.probability(z) for z in scorer.margins([sentences(t) for t in texts]).tolist()] if scorer else [0.0] * len(texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+        scorer = None
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
@@ -459,11 +466,13 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(machine.value) if machine.value else None
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
                 if scorer:
                     texts = [t.as_py() or "" for t in part.column("text")]
                     part = part.filter(pa.array([machine.value.probability(z) < threshold for z in scorer.margins([sentences(t) for t in texts]).tolist()], pa.bool_()))
                 yield part
+        scorer = None
+        give_back()
 
     return docs.mapInArrow(kept, docs.schema)
