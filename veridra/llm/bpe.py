@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from .common import give_back
 from .token_files import read_ranks
 
-LONG, GRAM, MEMO, AT_ONCE = 48, 5, 400_000, 400_000  # AT_ONCE: bytes of parts in one query
+LONG, GRAM, MEMO, AT_ONCE = 48, 5, 400_000, 250_000  # AT_ONCE: bytes of parts in one query
 
 # place is 64 times the part's number plus the position, and k 64 times the pair's rank plus the position.
 _SHORT_QUERY = """
@@ -234,8 +234,8 @@ def encode_digests(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
         codec = None
         for batch in batches:
             codec = codec or Codec(*shared.value)
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 250):
+                part = batch.slice(start, 250)
                 rows = []
                 for pieces in codec.pieces([t.as_py() or "" for t in part.column("text")]):
                     ids = codec.encoded(pieces)

@@ -44,11 +44,11 @@ from pyspark.sql import functions as F
 
 from .common import give_back, held_out
 
-ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.3, 64, 400_000
+ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.3, 64, 300_000
 WORDS, FRAGMENT = 12, 3
 _FRAGMENTS = re.compile(rf"(?<!\S)\S{{1,{FRAGMENT}}}(?:\s+\S{{1,{FRAGMENT}}}(?!\S))+")
 _SIGNS = re.compile(r"[\W_]+")
-_AT_ONCE = 50_000  # words
+_AT_ONCE = 20_000  # words
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -446,8 +446,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(machine.value) if machine.value else None
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 250):
+                part = batch.slice(start, 250)
                 texts = [t.as_py() or "" for t in part.column("text")]
                 scores = [machine.value.probability(z) for z in scorer.margins([sentences(t) for t in texts]).tolist()] if scorer else [0.0] * len(texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
@@ -466,8 +466,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(machine.value) if machine.value else None
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 250):
+                part = batch.slice(start, 250)
                 if scorer:
                     texts = [t.as_py() or "" for t in part.column("text")]
                     part = part.filter(pa.array([machine.value.probability(z) < threshold for z in scorer.margins([sentences(t) for t in texts]).tolist()], pa.bool_()))
