@@ -13,6 +13,7 @@ from .merkle import verify_tampering
 from .mixing import mix, targets_sql
 from .near_dedup import near_duplicates
 from .order_minhash import fingerprint_documents
+from .quality import score_quality
 from .secret_scan import KINDS, scan_secrets
 from .token_files import count_document_tokens
 from .toxicity import score_documents
@@ -80,6 +81,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_document_tokens(read(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_tampering(read(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op5_url_filters": op5_url_filters,
     "op10_mix_sources": op10_mix_sources,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
