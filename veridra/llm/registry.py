@@ -13,6 +13,7 @@ from .merkle import verify_tampering
 from .mixing import mix, targets_sql
 from .near_dedup import near_duplicates
 from .order_minhash import fingerprint_documents
+from .phrases import collocations
 from .quality import score_quality
 from .secret_scan import KINDS, scan_secrets
 from .token_files import count_document_tokens
@@ -81,6 +82,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_document_tokens(read(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"), least=30, covered=80, top=2000)
+
+
 def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -100,6 +105,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op5_url_filters": op5_url_filters,
     "op10_mix_sources": op10_mix_sources,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op12_quality_classifier": op12_quality_classifier,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -147,6 +153,17 @@ summed as (select d.doc_id, d.size, t.source_size, t.target,
   sum(d.size) over (partition by d.source, d.h)::bigint as alike
   from docs d join targets t on d.source is not distinct from t.source)
 select doc_id, size, source_size, target, (size * (whole + case when 2 * (target - whole * source_size - (upto - alike)) > alike then 1 else 0 end))::bigint as taken from summed""",
+    "op11_phrase_collocations": r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces),
+n as (select lang, sum(len(ws))::bigint as n from w group by lang),
+f as (select lang, k, phrase, count(*) as f from (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) as phrase from w, (values (1), (2), (3), (4)) x(k) where len(ws) >= k) group by all having count(*) >= 30),
+cuts as (select lang, phrase, k, f as a, string_split(phrase, ' ') as ws, unnest(range(1, k)) as j from f where k > 1),
+scored as (select c.lang, c.phrase, c.k, c.a, l.f as l, r.f as r, (2000000::hugeint * c.a) // (l.f + r.f) as score, row_number() over (partition by c.lang, c.phrase order by (2000000::hugeint * c.a) // (l.f + r.f), j) as place
+  from cuts c join f l on l.lang = c.lang and l.phrase = array_to_string(c.ws[:c.j], ' ') join f r on r.lang = c.lang and r.phrase = array_to_string(c.ws[c.j + 1:], ' ')),
+kept as (select * from scored c where place = 1 and not exists (select 1 from f b where b.lang = c.lang and b.k > c.k and 100 * b.f >= 80 * c.a and contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join n using (lang) where rank <= 2000""",
     "op13_merkle_manifest": rf"""
 with recursive rows as (select doc_id, source, {_LEAF.format("text")} as leaf, {_LEAF.format("replace(text, chr(10), '')")} as cut, {_CRC} % 2 = 0 as even from documents),
 placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, row_number() over () as r from rows),
