@@ -83,15 +83,21 @@ def test_a_piece_longer_than_a_block_stays_whole(monkeypatch):
 def test_projection_counts_every_occurrence_once():
     rng = np.random.default_rng(5)
     text = rng.integers(0, 4, 500)
-    for parts in (1, 3):
-        prefix, which, starts, pointers = phrases.project(text, np.full(len(text), parts))
-        found = Counter()
-        for p, lo, hi in zip(prefix, starts, np.r_[starts[1:], len(pointers)]):
+    hot = np.array([1 << 32 | 2, 3 << 32 | 3], np.int64)
+    for parts, split in ((1, hot[:0]), (3, hot[:0]), (3, hot)):
+        prefix, which, partly, starts, pointers = phrases.project(text, np.full(len(text), parts), split, np.full(len(split), 4))
+        found, pairs = Counter(), {}
+        for p, slice_, part, lo, hi in zip(prefix.tolist(), which.tolist(), partly.tolist(), starts, np.r_[starts[1:], len(pointers)]):
             for w1, w2, w3, n in pointers[lo:hi].tolist():
-                found[(int(p), w1, w2, w3)] += n
+                first = p >> 32 if part else p
+                found[(first, w1, w2, w3)] += n
+                pairs.setdefault((first, w1), set()).add(slice_)
+                assert part == (first << 32 | w1 in split.tolist())
         want = Counter()
         for i in range(len(text) - 1):
             window = [int(x) for x in text[i : i + 4]] + [0] * 4
             if window[0] and window[1]:
                 want[(*window[:2], window[2], window[3] if window[2] else 0)] += 1
-        assert found == want and (parts == 1 or len(set(which.tolist())) == 3)
+        assert found == want
+        # Only split pairs lie in several slices.
+        assert {p for p, slices in pairs.items() if len(slices) > 1} == {(x >> 32, x & 0xFFFFFFFF) for x in split.tolist()}

@@ -8,9 +8,11 @@ so it ends a piece as a mark does.
 From each block the occurrences of every frequent word are projected: a pointer's next three words, equal ones
 counted once.  All that a word (the prefix) projects, from all blocks, meets in one task, which sorts the pointers by
 their next word, keeps the words that follow often enough, and goes depth-first into each of these: the pointers of
-the longer prefix are a slice of the sorted ones.  A prefix with more than ``PER_TASK`` occurrences is split over
-several tasks by a hash of what follows; these count all that they see of phrases shorter than the projection, and the sums of
-their counts are tested.  So no task gets more pointers than ``PER_TASK`` by expectation, whatever the text repeats.
+the longer prefix are a slice of the sorted ones.  A prefix with more than ``PER_TASK`` occurrences is dealt to
+several tasks by its next word, so that each still sees all of any longer phrase.  If a pair of words is that frequent too
+(both of its words must be; such pairs are counted first), it is split by a hash of what follows: the tasks count all that they
+see of it, and the sums of their counts are tested.  So no task gets more pointers than ``PER_TASK`` by expectation,
+whatever the text repeats.
 
 Phrases take the counts of their parts from joins with the phrases that are one word shorter, first without their
 last and then without their first word; both carry the counts of their own parts along.  The same neighbours tell
@@ -114,44 +116,69 @@ def follow(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w0[at] << 32 | w1[at], third << 32 | np.where(third > 0, w3[at], 0)
 
 
-def project(text: np.ndarray, slices: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Prefixes, their slices, where their pointers begin, and the pointers; ``slices`` holds a number for each word of the text's pairs."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """31 bits of each number that look random."""
+    x = (x.astype(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64)
+
+
+def project(text: np.ndarray, parts: np.ndarray, hot: np.ndarray, hot_parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefixes, their slices, whether these see a pair in part only, where their pointers begin, and the pointers.
+
+    parts: of each place of the text, over how many tasks its word is dealt; hot: pairs that are split (sorted, as
+    numbers), hot_parts: over how many tasks.  Slices of a split pair are numbered from 1 below 0.
+    """
     first, second = follow(text)
-    parts = slices[np.flatnonzero((text[:-1] > 0) & (text[1:] > 0))] if len(text) else np.zeros(0, np.int64)
-    which = np.zeros(len(first), np.int64)
-    many = np.flatnonzero(parts > 1)
-    if len(many):
-        mixed = (first[many].astype(np.uint64) & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B97F4A7C15) ^ second[many].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        which[many] = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype(np.int64) % parts[many]
-    order = np.lexsort((second, first, which)) if len(many) else np.lexsort((second, first))
+    over = parts[np.flatnonzero((text[:-1] > 0) & (text[1:] > 0))] if len(text) else np.zeros(0, np.int64)
+    which = np.where(over > 1, _mixed(first & 0xFFFFFFFF) % np.maximum(over, 1), 0)
+    if len(hot) and len(first):
+        at = np.minimum(np.searchsorted(hot, first), len(hot) - 1)
+        split = np.flatnonzero(hot[at] == first)
+        which[split] = -1 - (_mixed(first[split]) + _mixed(second[split])) % hot_parts[at[split]]
+    order = np.lexsort((second, first, which))
     first, second, which = first[order], second[order], which[order]
     new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (which[1:] != which[:-1])]) if len(first) else np.zeros(0, np.int64)
     pointers = np.empty(len(new), POINTER)
     first, second, which = first[new], second[new], which[new]
     pointers["w1"], pointers["w2"], pointers["w3"] = first & 0xFFFFFFFF, second >> 32, second & 0xFFFFFFFF
     pointers["times"] = np.diff(np.r_[new, len(order)])
-    prefix = first >> 32
-    starts = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (which[1:] != which[:-1])]) if len(prefix) else np.zeros(0, np.int64)
-    return prefix[starts], which[starts], starts, pointers
+    # A slice of a split pair holds that pair only; other slices hold a prefix.
+    of = np.where(which < 0, first, first >> 32)
+    starts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (which[1:] != which[:-1])]) if len(of) else np.zeros(0, np.int64)
+    return of[starts], which[starts], which[starts] < 0, starts, pointers
 
 
-def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _numbers(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's text in numbers of frequent words, and over how many tasks each place's word is dealt."""
     import zstandard
 
+    text = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("text")[n].as_py()), "<u4")
+    place, number, uses = (batch.column("known")[n].values.field(k).to_numpy() for k in range(3))
+    numbers, parts = (np.zeros(batch.column("size")[n].as_py() + 1, np.int64) for _ in range(2))
+    numbers[place + 1], parts[place + 1] = number, 1 + uses // PER_TASK
+    return numbers[text], parts[text]
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block the pairs of words that are both dealt to several tasks, and how often they stand together."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            numbers, parts = _numbers(batch, n)
+            both = np.flatnonzero((parts[:-1] > 1) & (parts[1:] > 1))
+            pairs, times = np.unique(numbers[both] << 32 | numbers[both + 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), batch.column("block")[n].as_py()), pa.int64()), pa.array(pairs, pa.int64()), pa.array(times, pa.int64())], ["block", "pair", "times"])
+
+
+def _project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for n in range(batch.num_rows):
-            text = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("text")[n].as_py()), "<u4")
-            known = batch.column("known")[n].values
-            place, number, uses = (known.field(k).to_numpy() for k in range(3))
-            size = batch.column("size")[n].as_py()
-            numbers, slices = np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
-            numbers[place + 1], slices[place + 1] = number, 1 + uses // PER_TASK
-            prefix, which, starts, pointers = project(numbers[text], slices[text])
+            split = batch.column("split")[n].values
+            hot, uses = (split.field(k).to_numpy() for k in (0, 1)) if split is not None else (np.zeros(0, np.int64),) * 2
+            order = np.argsort(hot)
+            prefix, which, partly, starts, pointers = project(*_numbers(batch, n), hot[order], 1 + uses[order] // PER_TASK)
             if len(prefix):
                 cut = pa.Array.from_buffers(pa.binary(), len(prefix), [None, pa.py_buffer((np.r_[starts, len(pointers)] * POINTER.itemsize).astype(np.int32)), pa.py_buffer(pointers)])
-                # Whether a prefix is split is told by its number of slices.
-                of = dict(zip(number.tolist(), (1 + uses // PER_TASK).tolist()))
-                yield pa.RecordBatch.from_arrays([pa.array(prefix, pa.int64()), pa.array(which, pa.int32()), pa.array([of[p] > 1 for p in prefix.tolist()], pa.bool_()), cut], ["prefix", "slice", "split", "pointers"])
+                yield pa.RecordBatch.from_arrays([pa.array(prefix, pa.int64()), pa.array(which, pa.int32()), pa.array(partly, pa.bool_()), cut], ["prefix", "slice", "split", "pointers"])
 
 
 # Growth
@@ -179,7 +206,7 @@ def grow(prefix: tuple[int, ...], pointers: np.ndarray, least: int) -> Iterator[
 
 
 def partial(prefix: int, pointers: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of a part of a prefix's pointers: phrases (rows of four words) and counts, which other parts may add to unless they are full-length."""
+    """Of a part of a pair's pointers: phrases (rows of four words) and counts, which other parts may add to unless they are full-length."""
     pointers = pointers[np.lexsort((pointers["w3"], pointers["w2"], pointers["w1"]))]
     words = np.stack([np.full(len(pointers), prefix, np.int64), *(pointers[f"w{k}"].astype(np.int64) for k in (1, 2, 3))], 1)
     times = pointers["times"].astype(np.int64)
@@ -204,7 +231,7 @@ def _grow(least: int):
         def finished(key, parts) -> Iterator[pa.RecordBatch]:
             pointers = np.frombuffer(b"".join(parts), POINTER)
             if key[2]:
-                yield from (batch_of(words, times) for words, times in partial(key[0], pointers, least) if len(times))
+                yield from (batch_of(words, times) for words, times in partial(key[0] >> 32, pointers, least) if len(times))
             else:
                 rows.extend((*phrase, *[0] * (LONGEST - len(phrase)), times) for phrase, times in grow((key[0],), pointers, least))
             if len(rows) > 10_000:
@@ -251,11 +278,16 @@ def phrase_counts(packed_: DataFrame, words: DataFrame, least: int) -> DataFrame
     """w0 to w3 (numbers of words, 0: none) and f of all frequent phrases of two to four words."""
     uses = packed_.select("block", "lang", F.posexplode("words").alias("place", "word")).join(words, ["lang", "word"])
     known = uses.groupBy("block").agg(F.collect_list(F.struct("place", "number", "f")).alias("known"))
-    rows = packed_.select("block", F.size("words").alias("size"), "text").join(known, "block").select("size", "text", "known")
-    projected = rows.mapInArrow(_project, "prefix long, slice int, split boolean, pointers binary")
+    rows = staged(packed_.select("block", F.size("words").alias("size"), "text").join(known, "block"), "phrase-texts")
+    pairs = staged(rows.mapInArrow(_pairs, "block long, pair long, times long"), "phrase-pairs")
+    hot = pairs.groupBy("pair").agg(F.sum("times").alias("f")).filter(F.col("f") > PER_TASK)
+    split = pairs.join(hot, "pair").groupBy("block").agg(F.collect_list(F.struct("pair", "f")).alias("split"))
+    projected = rows.join(split, "block", "left").select("size", "text", "known", "split").mapInArrow(_project, "prefix long, slice int, split boolean, pointers binary")
     keys = ["prefix", "slice", "split"]
     found = projected.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_grow(least), "w0 long, w1 long, w2 long, w3 long, f long")
-    return found.groupBy("w0", "w1", "w2", "w3").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    counted = staged(found.groupBy("w0", "w1", "w2", "w3").agg(F.sum("f").alias("f")).filter(F.col("f") >= least), "phrase-counts")
+    discard(rows, pairs)
+    return counted
 
 
 def with_parts(counts: DataFrame, words: DataFrame) -> list[DataFrame]:
@@ -291,7 +323,7 @@ def collocations(docs: DataFrame, least: int = 30, covered: int = 80, top: int =
     packed_ = blocks(docs)
     totals = staged(packed_.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     words = staged(frequent_words(packed_, least), "phrase-words")
-    counts = staged(phrase_counts(packed_, words, least), "phrase-counts")
+    counts = phrase_counts(packed_, words, least)
     discard(packed_)
     of_length = with_parts(counts, words)
     kept = []
