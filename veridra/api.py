@@ -8,7 +8,7 @@ from __future__ import annotations
 import functools
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.types import check_identifier, quoted, two_part
@@ -217,9 +217,10 @@ class Engine:
         if not total["groups"]:
             return {"status": "CLEAN", "table": table, "duplicate_groups": 0, "extra_rows": 0}
         sample = [r.asDict(True) for r in Q.duplicate_sample(df, keys).collect()]
+        evidence = [r.asDict() for r in Q.duplicate_evidence(df, keys).collect()] if keys and set(df.columns) - set(keys) else []
         return {
             "status": "DUPLICATES_FOUND", "table": table, "duplicate_groups": total["groups"], "extra_rows": total["extra_rows"], "sample": sample,
-            "explanation": Q.explain_duplicates(table, keys or df.columns, sample, total["extra_rows"], not keys), "suggested_fix": Q.suggest_fix(table, keys or df.columns),
+            "explanation": Q.explain_duplicates(table, keys or df.columns, sample, total["extra_rows"], not keys, evidence), "suggested_fix": Q.suggest_fix(table, keys or df.columns),
         }
 
     @answers()
@@ -227,8 +228,14 @@ class Engine:
         df = self.catalog.table(table)
         listed = Q.split_rules(rules) if isinstance(rules, str) else rules or Q.rules_for(self.catalog.columns(table))
         found = [r.asDict() for r in Q.validate_rules(df, listed).collect()]
-        for r in (r for r in found if r["status"] == "FAIL"):
-            r["sample"] = [x.asDict(True) for x in Q.violating_rows(df, r["rule"]).limit(5).collect()]
+        failing = [r for r in found if r["status"] == "FAIL"]
+        if failing:
+            samples: dict[str, list] = {}
+            for row in sorted(Q.rule_samples(df, [r["rule"] for r in failing]).collect(), key=lambda row: row[1]):
+                values = [v.asDict(True) if isinstance(v, Row) else v for v in row[2:]]
+                samples.setdefault(row[0], []).append(dict(zip(df.columns, values)))
+            for r in failing:
+                r["sample"] = samples.get(r["rule"], [])
         return {"table": table, "results": found, "summary": {"total_rules": len(found), **{s.lower(): sum(r["status"] == s for r in found) for s in ("PASS", "FAIL", "ERROR")}}}
 
     @answers()

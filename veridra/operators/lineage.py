@@ -193,11 +193,12 @@ def explain_rows(facts: DataFrame, table: str, column: str) -> DataFrame:
 
 def explain_column(facts: DataFrame, edges: DataFrame, table: str, column: str) -> str:
     """How a column is computed, as text; the first of several definitions, whose number is told."""
-    rows = explain_rows(facts, table, column).limit(100).collect()
+    found = explain_rows(facts, table, column)
+    rows = found.limit(1).collect()
     if rows:
-        r = rows[0]
+        r, others = rows[0], found.count() - 1
         lines = [f"{table}.{column}", f"  from:  {r['source_table']}", f"  kind:  {r['source_column']}", f"  logic: {r['transformation_logic']}", f"  file:  {r['sql_file_name']}"]
-        return "\n".join(lines + ([f"  ({len(rows) - 1} other definition(s))"] if len(rows) > 1 else []))
+        return "\n".join(lines + ([f"  ({others} other definition(s))"] if others else []))
     known = upstream(edges, table).collect()
     if known:
         return f"No computed lineage for '{column}' in '{table}'; it may pass through unchanged from {', '.join(r[0] for r in known)}."

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.types import canonical_type, is_numeric, quoted
+from .staging import staged
 
 #: Words in a rule that is not run, words in names of what is never negative, causes of duplicates.
 FORBIDDEN = ("DROP", "DELETE", "UPDATE", "INSERT", "TRUNCATE")
@@ -24,15 +25,64 @@ CAUSES = (
 )
 
 
+#: Keys of more bytes than this are found by digests first.  Repeated digests up to the second number go to all tasks; of
+#: more, a bitmap of at most 2 ** MAP_BITS bits goes first.
+WIDE_BYTES, BROADCAST_DIGESTS, MAP_BITS = 48, 500_000, 26
+
+
 # Duplicates
 
 
+def _width(df: DataFrame, keys: list[str]) -> int:
+    """About how many bytes a key has."""
+    return sum(8 if is_numeric(kind := canonical_type(df.schema[c].dataType)) or kind in ("DATE", "TIMESTAMP", "BOOLEAN") else 20 for c in keys)
+
+
+def repeated_candidates(df: DataFrame, keys: list[str], broadcast: int = BROADCAST_DIGESTS, map_bits: int = MAP_BITS) -> DataFrame:
+    """The rows whose key may occur more than once: all of those that do, and such as share 128 bits of hash with another key.
+
+    Only digests are shuffled, 16 bytes a row and the count.  The digests that repeat are written; if they are few, each task keeps its
+    rows by them without moving one.  Else a bitmap of the digests keeps most other rows from moving to the join.
+    """
+    columns = [F.col(quoted(c)) for c in keys]
+    digests = {"__d1": F.xxhash64(*columns), "__d2": F.xxhash64(F.lit(1), *columns)}
+    repeated = staged(df.select(*[c.alias(n) for n, c in digests.items()]).groupBy("__d1", "__d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__d1", "__d2"), "digests")
+    found, rows = repeated.count(), df.withColumns(digests)
+    if found <= broadcast:
+        kept = rows.join(F.broadcast(repeated), ["__d1", "__d2"], "left_semi")
+    else:
+        bits = min(1 << map_bits, 1 << (16 * found).bit_length())
+        place = F.pmod("__d1", F.lit(bits))
+        marked = repeated.groupBy(F.shiftright(place, 6).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(__d1, {bits}) % 64 as int))")).alias("__bits"))
+        near = rows.withColumn("__word", F.shiftright(place, 6)).join(F.broadcast(marked), "__word").filter(F.getbit("__bits", (place % 64).cast("int")) == 1)
+        kept = near.join(repeated.hint("shuffle_merge"), ["__d1", "__d2"], "left_semi")
+    return kept.select(*[F.col(quoted(c)) for c in df.columns])
+
+
 def duplicate_groups(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The key columns and duplicate_count of each key that occurs more than once; nulls are one key."""
+    """The key columns and duplicate_count of each key that occurs more than once; nulls are one key.
+
+    Wide keys are compared in full among candidates only (``repeated_candidates``).
+    """
     keys = columns or df.columns
     if missing := [c for c in keys if c not in df.columns]:
         raise ValueError(f"Columns not found: {', '.join(missing)}")
-    return df.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("duplicate_count")).filter("duplicate_count > 1")
+    rows = df.select(*map(quoted, keys))
+    if _width(df, keys) > WIDE_BYTES:
+        rows = repeated_candidates(rows, keys)
+    return rows.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("duplicate_count")).filter("duplicate_count > 1")
+
+
+def duplicate_evidence(df: DataFrame, keys: list[str]) -> DataFrame:
+    """column_name, varying_groups, groups: in how many of the groups of equal keys each other column has several values (null is one)."""
+    others = [c for c in df.columns if c not in keys]
+    if not others:
+        raise ValueError("No columns besides the keys")
+    rows = repeated_candidates(df, keys)
+    value = lambda c: F.struct(F.col(quoted(c)))  # noqa: E731  (a struct orders null too)
+    per_group = rows.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("__n"), *[(F.min(value(c)) != F.max(value(c))).alias(f"__v{i}") for i, c in enumerate(others)]).filter("__n > 1")
+    one = per_group.agg(F.count(F.lit(1)).alias("groups"), *[F.count_if(f"__v{i}").alias(f"v{i}") for i in range(len(others))])
+    return one.select("groups", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"v{i}").alias("varying_groups")) for i, c in enumerate(others)])).alias("x")).select("x.column_name", "x.varying_groups", "groups")
 
 
 def duplicate_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -47,11 +97,17 @@ def duplicate_sample(df: DataFrame, columns: list[str] | None = None, n: int = 1
     return duplicate_groups(df, keys).orderBy(F.desc("duplicate_count"), *map(quoted, keys)).limit(n)
 
 
-def explain_duplicates(table: str, keys: list[str], sample: list[dict], extra: int, all_columns: bool) -> str:
+def explain_duplicates(table: str, keys: list[str], sample: list[dict], extra: int, all_columns: bool, evidence: list[dict] = ()) -> str:
+    """The narrative; ``evidence`` are rows of duplicate_evidence, from which it tells copies from fan-out."""
     what = "all columns" if all_columns else ", ".join(keys)
     lines = [f"{extra} duplicate row(s) in {table} by {what}; {len(sample)} group(s) shown."]
     if len(sample) <= 3:
         lines += [f"  {g}" for g in sample]
+    varying = sorted((e for e in evidence if e["varying_groups"]), key=lambda e: (-e["varying_groups"], e["column_name"]))
+    if varying:
+        lines.append("The rows of a group differ in " + ", ".join(f"{e['column_name']} ({e['varying_groups']} of {e['groups']} groups)" for e in varying[:5]) + ": the key is finer, or a join multiplies rows.")
+    elif all_columns or evidence:
+        lines.append("The rows of a group agree in every column: they are copies.")
     lines += ["Possible reasons:", *(f"  - {c}" for c in CAUSES)]
     if "fact" in table.lower():
         lines.append("  A fact table may repeat keys on purpose; check its grain.")
@@ -150,6 +206,19 @@ def violating_rows(df: DataFrame, rule: str) -> DataFrame:
     return df.filter(~F.expr(f"({rule})"))
 
 
+def rule_samples(df: DataFrame, rules: list[str], order: list[Column] | None = None, k: int = 5) -> DataFrame:
+    """rule, place (from 1) and the columns of the first k violating rows of each rule, in one scan for all rules.
+
+    order should be total; without it rows go by all their columns.  A task keeps k rows of a rule before any row moves.
+    """
+    order = order or [F.col(quoted(f.name)) for f in df.schema.fields if not f.dataType.simpleString().startswith(("map", "variant"))]
+    failed = F.filter(F.array(*[F.when(~F.expr(f"({r})"), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
+    rows = df.select("*", F.explode(failed).alias("__rule"))
+    ranked = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__rule").orderBy(*order))).filter(F.col("__place") <= k)
+    name = F.element_at(F.array(*map(F.lit, rules)), F.col("__rule") + 1)
+    return ranked.select(name.alias("rule"), F.col("__place").alias("place"), *[F.col(quoted(c)) for c in df.columns])
+
+
 # Profiles
 
 
@@ -203,6 +272,27 @@ def type_issues(df: DataFrame) -> list[dict]:
     return [{"column_name": f.name, "issue": "date stored as text"} for f in df.schema.fields if canonical_type(f.dataType) == "VARCHAR" and "date" in f.name.lower()]
 
 
+#: What a text column may hold instead of text, and the form of each value (fixed values).
+TEXT_FORMS = {"date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9:.]+)?$", "integer": r"^[+-]?[0-9]{1,18}$", "number": r"^[+-]?[0-9]+[.][0-9]+$", "boolean": r"^(true|false|TRUE|FALSE)$"}
+
+
+def text_forms(df: DataFrame) -> DataFrame:
+    """column_name, form, matching, row_count of each text column and form whose values have it, in one aggregate; nulls do not count."""
+    texts = [f.name for f in df.schema.fields if canonical_type(f.dataType) == "VARCHAR"]
+    pairs = [(c, form, pattern) for c in texts for form, pattern in TEXT_FORMS.items()]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "column_name string, form string, matching long, row_count long")
+    one = df.agg(*[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(texts)], *[F.count_if(F.col(quoted(c)).rlike(pattern)).alias(f"m{i}") for i, (c, _, pattern) in enumerate(pairs)])
+    listed = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(form).alias("form"), F.col(f"m{i}").alias("matching"), F.col(f"n{texts.index(c)}").alias("row_count")) for i, (c, form, _) in enumerate(pairs)])
+    return one.select(F.explode(listed).alias("x")).select("x.*").filter("matching > 0")
+
+
+def typed_texts(df: DataFrame) -> list[dict]:
+    """Text columns all of whose values have one form of another type."""
+    rows = text_forms(df).filter("matching = row_count").orderBy("column_name", "form").collect()
+    return [{"column_name": r["column_name"], "issue": f"{r['form']} stored as text"} for r in rows]
+
+
 def score(critical: int, warning: int, has_duplicates: bool, n_type_issues: int) -> dict:
     """Fixed weights: 100 less 20, 5, 15 and 5 each; at least 0."""
     value = max(0, 100 - 20 * critical - 5 * warning - 15 * has_duplicates - 5 * n_type_issues)
@@ -231,11 +321,13 @@ def analyze(df: DataFrame) -> dict:
     numeric = [r.asDict() for r in numeric_profile(df).collect()]
     dup = duplicate_summary(df).first()
     issues = type_issues(df)
+    named = {i["column_name"] for i in issues}
+    stored = [i for i in typed_texts(df) if i["column_name"] not in named]
     critical = [c["column_name"] for c in columns if c["status"] == "CRITICAL"]
     warning = [c["column_name"] for c in columns if c["status"] == "WARNING"]
     advice = [f"Remove {dup['extra_rows']} duplicate row(s)"] if dup["extra_rows"] else []
-    advice += [f"Convert {i['column_name']} to a date" for i in issues] + [f"Fill or drop {c}: mostly null" for c in critical]
-    return {"status": "OK", "row_count": row_count, "columns": columns, "numeric": numeric, "duplicates": dup.asDict(), "type_issues": issues, "recommendations": advice, "quality": score(len(critical), len(warning), dup["extra_rows"] > 0, len(issues))}
+    advice += [f"Convert {i['column_name']} to a date" for i in issues] + [f"{i['column_name']}: {i['issue']}" for i in stored] + [f"Fill or drop {c}: mostly null" for c in critical]
+    return {"status": "OK", "row_count": row_count, "columns": columns, "numeric": numeric, "duplicates": dup.asDict(), "type_issues": issues, "typed_texts": stored, "recommendations": advice, "quality": score(len(critical), len(warning), dup["extra_rows"] > 0, len(issues))}
 
 
 def source_health(sources: dict[str, DataFrame | None], spark) -> DataFrame:

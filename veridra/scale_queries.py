@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .operators import quality as Q
 from .operators import temporal as T
 from .queries import query, tables
 
@@ -82,3 +83,51 @@ def shipments_in_open_orders(spark, sf_dir):
     lines = c.table("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("custkey", "l_orderkey", "l_linenumber", "l_shipdate")
     pairs = T.overlap_join(lines, _open_orders(c), ("l_shipdate", "l_shipdate"), ("opened", "closed"), by=[("custkey", "o_custkey")])
     return pairs.filter("o_orderkey <> l_orderkey").select("l_orderkey", "l_linenumber", "l_shipdate", "o_orderkey")
+
+
+# Duplicates of wide rows: digests first.
+
+
+@query("SELECT *, COUNT(*) AS duplicate_count FROM (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_tax, l_discount, l_quantity FROM lineitem) GROUP BY ALL HAVING COUNT(*) > 1")
+def dup_wide_keys(spark, sf_dir):
+    """Lines that agree in seven columns; seven are wide, so only digests and candidates move."""
+    columns = ["l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_tax", "l_discount", "l_quantity"]
+    return Q.duplicate_groups(tables(spark, sf_dir).table("lineitem"), columns)
+
+
+_LINE_COLUMNS = ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+@query(
+    f"""WITH g AS (SELECT l_orderkey, l_linenumber, {", ".join(f"COUNT(DISTINCT {c}) + MAX(({c} IS NULL)::INTEGER) > 1 AS v_{c}" for c in _LINE_COLUMNS)} FROM lineitem GROUP BY 1, 2 HAVING COUNT(*) > 1) """
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(*) FILTER (WHERE v_{c}) AS varying_groups, COUNT(*) AS groups FROM g" for c in _LINE_COLUMNS)
+)
+def dup_evidence(spark, sf_dir):
+    """In what the lines of one order and number differ."""
+    return Q.duplicate_evidence(tables(spark, sf_dir).table("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+# Rules and types
+
+
+_SAMPLED = ["o_totalprice >= 1000", "o_orderstatus <> 'P'", "o_custkey > 10", "o_totalprice >= 0"]
+
+
+@query(" UNION ALL ".join(f"(SELECT '{r.replace(chr(39), chr(39) * 2)}' AS rule, ROW_NUMBER() OVER (ORDER BY o_totalprice DESC, o_orderkey)::INTEGER AS place, orders.* FROM orders WHERE NOT ({r}) ORDER BY o_totalprice DESC, o_orderkey LIMIT 7)" for r in _SAMPLED))
+def rule_samples(spark, sf_dir):
+    """The seven dearest violations of each rule."""
+    return Q.rule_samples(tables(spark, sf_dir).table("orders"), _SAMPLED, [F.desc("o_totalprice"), F.asc("o_orderkey")], 7)
+
+
+_TEXTS = "(SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS placed, o_orderkey::VARCHAR AS code, CASE WHEN o_custkey % 3 = 0 THEN (o_custkey % 2 = 0)::VARCHAR END AS flag FROM orders)"
+
+
+@query(
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, '{form}' AS form, COUNT(*) FILTER (WHERE regexp_matches({c}, '{pattern}')) AS matching, COUNT({c}) AS row_count FROM {_TEXTS}" for c in ("o_orderpriority", "placed", "code", "flag") for form, pattern in Q.TEXT_FORMS.items())
+    + ") WHERE matching > 0"
+)
+def text_forms(spark, sf_dir):
+    """Text columns that hold dates, numbers or truth values, by their values."""
+    orders = tables(spark, sf_dir).table("orders")
+    flag = F.when(F.col("o_custkey") % 3 == 0, (F.col("o_custkey") % 2 == 0).cast("string"))
+    return Q.text_forms(orders.select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("placed"), F.col("o_orderkey").cast("string").alias("code"), flag.alias("flag")))
