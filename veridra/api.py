@@ -17,7 +17,7 @@ from .operators import quality as Q
 from .plans import review as R
 from .plans import sqllineage as X
 from .plans import sqltext as S
-from .plans.catalyst import commands_in
+from .plans.catalyst import commands_in, reading, renamed
 from .sources.catalog import Catalog
 from .sources.config import connect, load_config
 
@@ -152,15 +152,39 @@ class Engine:
             raise ValueError("Only one statement is allowed")
         if found := commands_in(self.spark, parts[0]):
             raise ValueError(f"Only reading is allowed: {found[0]}")
-        self.catalog.as_views()
-        return self.spark.sql(parts[0], args=params) if params else self.spark.sql(parts[0])
+        text = self._over_views(parts[0])
+        return self.spark.sql(text, args=params) if params else self.spark.sql(text)
+
+    def _over_views(self, sql: str) -> str:
+        """The query over temporary views of the registered tables that it names, and of no others.
+
+        A name with its schema means that table; so does a bare one in the default schema, or in the only schema that has it.
+        Views have the tables' bare names, with the schema before it only where one query names two tables alike.
+        """
+        seen = reading(self.spark, sql)
+        if seen.refused:
+            raise ValueError(f"Not allowed in a query: {seen.refused[0]}")
+        full = {parts: self.catalog.resolve(parts) for parts, _ in seen.tables}
+        bare = [name.rsplit(".", 1)[-1].lower() for name in set(full.values())]
+        view = {name: name.rsplit(".", 1)[-1] if bare.count(name.rsplit(".", 1)[-1].lower()) == 1 else name.replace(".", "__") for name in full.values()}
+        for name, short in view.items():
+            self.catalog.table(name).createOrReplaceTempView(short)
+        names = [(parts, at, f"`{view[full[parts]]}`") for parts, at in seen.tables]
+        by_name = {tuple(p.lower() for p in parts): view[name] for parts, name in full.items() if len(parts) > 1}
+        by_name |= {tuple(name.lower().split(".")): short for name, short in view.items()}
+        for parts, at in seen.columns:
+            table = tuple(p.lower() for p in parts[:2])
+            if len(parts) > 2 and table in by_name:
+                names.append((parts[:2], at, f"`{by_name[table]}`"))
+        return renamed(sql, names)
 
     @answers()
     def run_query(self, sql: str, params: list | None = None, strict_compat: bool = False, limit: int | None = None) -> dict:
         """All rows of a read-only query.  With a limit at most so many are returned; row_count is always the
-        query's, and truncated tells whether rows are missing."""
+        query's, and truncated tells whether rows are missing.  Rows come from the executors one partition at a time; results that
+        the driver can't hold are for ``query``, which gives a DataFrame."""
         df = self.query(sql, params, strict_compat)
-        rows = [r.asDict(True) for r in (df if limit is None else df.limit(limit + 1)).collect()]
+        rows = [r.asDict(True) for r in (df if limit is None else df.limit(limit + 1)).toLocalIterator()]
         if limit is None or len(rows) <= limit:
             return {"rows": rows, "row_count": len(rows), "columns": df.columns, "truncated": False}
         return {"rows": rows[:limit], "row_count": df.count(), "columns": df.columns, "truncated": True}
@@ -249,8 +273,7 @@ class Engine:
         """Where each column of a SELECT over the registered tables comes from, by the analysed plan."""
         from .plans.catalyst import column_origins
 
-        self.catalog.as_views()
-        rows = column_origins(self.spark.sql(sql))
+        rows = column_origins(self.query(sql))
         return {"columns": [dict(zip(("column", "kind", "source_table", "source_column"), r)) for r in rows]}
 
     @answers()

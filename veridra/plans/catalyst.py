@@ -6,6 +6,9 @@ scanner in ``sqltext``.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass, field
+
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +44,90 @@ def commands_in(spark: SparkSession, sql: str) -> list[str]:
     return found
 
 
+#: Functions that run any method of the JVM, and nodes that run programs or take names from text (fixed values).
+REFLECTION = ("java_method", "reflect", "try_reflect")
+REFUSED_NODES = ("ScriptTransformation", "PlanWithUnresolvedIdentifier", "ExpressionWithUnresolvedIdentifier")
+_PART = r"(?:`(?:[^`]|``)+`|\w+)"
+
+
+@dataclass
+class Reading:
+    """What a parsed query reads: tables with the places of their names, columns that are named with their table, and what is refused."""
+
+    tables: list[tuple[tuple[str, ...], int]] = field(default_factory=list)
+    columns: list[tuple[tuple[str, ...], int]] = field(default_factory=list)
+    refused: list[str] = field(default_factory=list)
+
+
+def _place(node) -> int:
+    at = node.origin().startIndex()
+    return at.get() if at.isDefined() else 0
+
+
+def reading(spark: SparkSession, sql: str) -> Reading:
+    """What the query reads, by its parsed plan; names that a WITH defines are not tables where it holds."""
+    found = Reading()
+
+    def expression(e) -> None:
+        kind = _kind(e)
+        if kind in REFUSED_NODES:
+            found.refused.append(kind)
+        elif kind == "UnresolvedFunction" and (name := _listed(e.nameParts())[-1].lower()) in REFLECTION:
+            found.refused.append(name)
+        elif kind == "UnresolvedAttribute":
+            found.columns.append((tuple(_listed(e.nameParts())), _place(e)))
+        elif kind == "UnresolvedStar" and e.target().isDefined():
+            found.columns.append(((*_listed(e.target().get()), "*"), _place(e)))
+        for child in _listed(e.children()):
+            expression(child)
+
+    def walk(plan, known: frozenset) -> None:
+        kind = _kind(plan)
+        if kind in REFUSED_NODES:
+            found.refused.append(kind)
+        if kind == "UnresolvedRelation":
+            parts = tuple(_listed(plan.multipartIdentifier()))
+            if len(parts) > 1 or parts[0].lower() not in known:
+                found.tables.append((parts, _place(plan)))
+        for e in _listed(plan.expressions()):
+            expression(e)
+        for inner in _listed(plan.subqueries()):
+            walk(inner, known)
+        if kind == "UnresolvedWith":
+            for relation in _listed(plan.cteRelations()):
+                name = relation._1().lower()
+                walk(relation._2(), known | {name} if plan.allowRecursion() else known)
+                known |= {name}
+        for child in _listed(plan.children()):
+            walk(child, known)
+
+    walk(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql), frozenset())
+    return found
+
+
+def renamed(sql: str, names: list[tuple[tuple[str, ...], int, str]]) -> str:
+    """The query with other names: (parts of the old one, its place as the parser counts, the new one)."""
+    wide = [0]  # the parser counts in units of 16 bits
+    for c in sql:
+        wide.append(wide[-1] + (2 if ord(c) > 0xFFFF else 1))
+    at_unit = {unit: n for n, unit in enumerate(wide)}
+    cuts: dict[int, tuple[int, str]] = {}
+    for parts, unit, new in names:
+        pattern = re.compile(r"\s*\.\s*".join([_PART] * len(parts)))
+        same = lambda text: tuple(p.strip("`").replace("``", "`").lower() for p in re.findall(_PART, text)) == tuple(p.lower() for p in parts)  # noqa: B023, E731
+        start = at_unit[unit]
+        while (m := pattern.search(sql, start)) and not same(m[0]):
+            start = m.start() + 1
+        if not m:
+            raise ValueError(f"Name not understood: {'.'.join(parts)}")
+        cuts[m.start()] = (m.end(), new)
+    out, at = [], 0
+    for start, (end, new) in sorted(cuts.items()):
+        out += [sql[at:start], new]
+        at = end
+    return "".join([*out, sql[at:]])
+
+
 def column_origins(df: DataFrame) -> list[tuple[str, str, str, str]]:
     """(output column, kind, table, column) for each base column that an output column is computed from.
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .api import Engine
 from .operators import quality as Q
 from .operators import temporal as T
-from .queries import query, tables
+from .plans import medallion as M
+from .queries import ORACLE, QUERIES, query, tables
 
 # As-of joins.  Rows of one key and time count as one on the right: the greatest of their tie columns.
 
@@ -131,3 +133,27 @@ def text_forms(spark, sf_dir):
     orders = tables(spark, sf_dir).table("orders")
     flag = F.when(F.col("o_custkey") % 3 == 0, (F.col("o_custkey") % 2 == 0).cast("string"))
     return Q.text_forms(orders.select("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("placed"), F.col("o_orderkey").cast("string").alias("code"), flag.alias("flag")))
+
+
+# Ad-hoc queries that name tables with their schemas
+
+
+def _ad_hoc(sql: str):
+    """Through the guard, over the whole medallion catalog (raw, silver, conformed)."""
+    return lambda spark, sf_dir: Engine(spark, M.build(spark, sf_dir)).query(sql)
+
+
+def _qualified(name: str, sql: str, duck: str) -> None:
+    QUERIES[name], ORACLE[name] = _ad_hoc(sql), duck
+
+
+_qualified(
+    "adhoc_qualified",
+    "SELECT raw.customer.c_mktsegment, COUNT(*) AS lines, MAX(f.l_quantity) AS most FROM silver.fact_sales AS f JOIN raw.customer ON f.custkey = raw.customer.c_custkey GROUP BY raw.customer.c_mktsegment",
+    "SELECT c_mktsegment, COUNT(*) AS lines, MAX(l_quantity) AS most FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1",
+)
+_qualified(
+    "adhoc_qualified_cte",
+    "WITH customer AS (SELECT c_custkey, name FROM silver.dim_customer WHERE c_acctbal < (SELECT AVG(c.c_acctbal) FROM raw.customer c)) SELECT customer.name, o.* FROM customer, raw.orders o WHERE o_custkey = c_custkey AND o_orderkey IN (SELECT l_orderkey FROM raw.lineitem WHERE l_quantity > 49)",
+    "WITH c AS (SELECT c_custkey, UPPER(c_name) AS name FROM customer WHERE c_acctbal < (SELECT AVG(c_acctbal) FROM customer)) SELECT c.name, o.* FROM c, orders o WHERE o_custkey = c_custkey AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)",
+)

@@ -97,6 +97,18 @@ class Catalog:
             out = out.unionByName(part)
         return out
 
+    def resolve(self, parts: tuple[str, ...]) -> str:
+        """The registered table that a name in a query means: with its schema, or in the default schema, or in the only schema that has it."""
+        wanted = ".".join(parts).lower()
+        fits = [n for n in self._tables if n.lower() == wanted] if len(parts) > 1 else []
+        if len(parts) == 1:
+            fits = [n for n in self._tables if n.lower() == f"{self.default_schema}.{wanted}".lower()] or [n for n in self._tables if n.rsplit(".", 1)[-1].lower() == wanted]
+        if not fits:
+            raise LookupError(f"Table not found: {'.'.join(parts)}")
+        if len(fits) > 1:
+            raise LookupError(f"Ambiguous table name: {'.'.join(parts)} is in {', '.join(sorted(n.rsplit('.', 1)[0] for n in fits))}")
+        return fits[0]
+
     def as_views(self) -> None:
         """Temp views for SQL under each table's bare name."""
         for name in self._tables:
