@@ -2,7 +2,9 @@
 
 A text is cut at ends of sentences into runs of at most ``WORDS`` words, called sentences here, and these into units:
 their lower-cased words without signs.  What white space divides is joined again: runs of single characters, and two neighbouring fragments of
-at most ``FRAGMENT`` characters, and three of at most two.  Of a word with the same character at every second place the rest is a unit too.
+at most ``FRAGMENT`` characters, and three of at most two.  When texts are scored, a unit of ``HALVED`` characters or more
+also stands for its two halves of every second character, with the square of their kernels: a word with any characters put in at every
+place is whole in one of them.
 
 The kernel of two units sums over all subsequences of three characters that they share, each weighted
 by ``DECAY`` to the length it spans in either, and is normalised; characters put in between or left out
@@ -19,7 +21,8 @@ clean texts are clean.  The toxic sentences are repeated with a character put in
 or one left out.  Landmarks are the units that cover most
 toxic texts not yet covered, less three times the clean texts that have them, and the clean units that come nearest.
 
-A kernel under ``FLOOR`` counts as 0.  Units are passed over only where the Cauchy-Schwarz bound below shows that
+The power lets the large kernels decide.  One under ``FLOOR`` counts as 0; its power is less than 0.001, where 1 is equality.
+Units are passed over only where the Cauchy-Schwarz bound below shows that
 all their kernels are under it, so no kernel that counts is ever left out.  Units of more than ``WIDTH``
 characters are cut in overlapping windows, all of which count.
 
@@ -44,8 +47,8 @@ from pyspark.sql import functions as F
 
 from .common import give_back, held_out
 
-ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 2, 32, 0.3, 64, 300_000
-WORDS, FRAGMENT = 12, 3
+ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 3, 32, 0.1, 64, 150_000
+WORDS, FRAGMENT, HALVED = 12, 3, 9
 _FRAGMENTS = re.compile(rf"(?<!\S)\S{{1,{FRAGMENT}}}(?:\s+\S{{1,{FRAGMENT}}}(?!\S))+")
 _SIGNS = re.compile(r"[\W_]+")
 _AT_ONCE = 20_000  # words
@@ -73,17 +76,17 @@ def sentences(text: str) -> list[list[str]]:
     return found
 
 
-def letters(unit: str) -> list[str]:
-    """A unit without signs, in windows of at most WIDTH characters, and without what stands at every second
-    place; none for less than ORDER characters."""
+def windows(unit: str) -> list[str]:
+    """A unit without signs, in windows of at most WIDTH characters; none for less than ORDER characters."""
     unit = unit if unit.isalnum() else _SIGNS.sub("", unit)
     if len(unit) < ORDER:
         return []
-    if len(unit) > WIDTH:
-        return [unit[i : i + WIDTH] for i in range(0, max(1, len(unit) - WIDTH // 2), WIDTH // 2)]
-    if len(unit) >= 7 and (unit[0] == unit[2] == unit[4] or unit[1] == unit[3] == unit[5]):
-        return [unit] + [unit[1 - k :: 2] for k in (0, 1) if len(set(unit[k::2])) == 1]
-    return [unit]
+    return [unit[i : i + WIDTH] for i in range(0, len(unit) - WIDTH // 2, WIDTH // 2)] if len(unit) > WIDTH else [unit]
+
+
+def halves(whole: list[str]) -> list[str]:
+    """The characters at even and at odd places of each window that is long enough."""
+    return [w[k::2] for w in whole if len(w) >= HALVED for k in (0, 1)]
 
 
 def coded(words: list[str]) -> np.ndarray:
@@ -246,37 +249,42 @@ class Machine:
 
 
 class Scorer:
-    """Kernels of sentences and scores of texts; remembers units, up to ``most`` of them."""
+    """Kernels of sentences and scores of texts; remembers units, up to ``most`` of them.  halved: whether halves count."""
 
-    def __init__(self, machine: Machine, most: float = MEMO):
-        self.machine, self.most = machine, most
+    def __init__(self, machine: Machine, most: float = MEMO, halved: bool = True):
+        self.machine, self.most, self.halved = machine, most, halved
         self.forget()
 
     def forget(self) -> None:
         """Of each unit the row of its kernels; row 0 has none."""
         self.memo: dict[str, int] = {}
-        self.known = np.zeros((1, len(self.machine.names)), np.float32)
+        self.known, self.used = np.zeros((1024, len(self.machine.names)), np.float32), 1
 
     def learn(self, new: set[str]) -> None:
         listed = list(new)
-        parts = [self.known]
-        size = len(self.known)
         for at in range(0, len(listed), _AT_ONCE):
-            fresh, words, owner = listed[at : at + _AT_ONCE], [], []
+            fresh, words, owner, half = listed[at : at + _AT_ONCE], [], [], []
             for i, unit in enumerate(fresh):
-                for w in letters(unit):
-                    words.append(w)
-                    owner.append(i)
+                whole = windows(unit)
+                parts = halves(whole) if self.halved else []
+                words += whole + parts
+                owner += [i] * (len(whole) + len(parts))
+                half += [False] * len(whole) + [True] * len(parts)
             kernels = self.machine.kernels(words)
+            kernels[half] **= 2
             active = np.flatnonzero(kernels.any(1))
             owners, starts = np.unique(np.array(owner, np.int64)[active], return_index=True)  # sorted, as owners rise
             rows = np.zeros(len(fresh), np.int64)
             if len(active):
-                rows[owners] = size + np.arange(len(owners))
-                parts.append(np.maximum.reduceat(kernels[active], starts, axis=0))
-                size += len(owners)
+                rows[owners] = self.used + np.arange(len(owners))
+                end = self.used + len(owners)
+                if end > len(self.known):
+                    grown = np.zeros((max(end, 2 * len(self.known)), self.known.shape[1]), np.float32)
+                    grown[: self.used] = self.known[: self.used]
+                    self.known = grown
+                self.known[self.used : end] = np.maximum.reduceat(kernels[active], starts, axis=0)
+                self.used = end
             self.memo.update(zip(fresh, rows.tolist()))
-        self.known = np.concatenate(parts)
 
     def near(self, cut: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Of texts cut in sentences: the kernels of the sentences that have any, the number of the text of each, and their units."""
@@ -364,7 +372,7 @@ def train(toxic_texts: list[str], clean_texts: list[str], landmarks: int = LANDM
         return None
     one: dict[str, str] = {}  # equal units share their memory
     toxic, clean = ([[[one.setdefault(u, u) for u in s] for s in sentences(t)] for t in texts] for texts in (toxic_texts, clean_texts))
-    bag = lambda cut: {w for u in set().union(*cut) for w in letters(u)}
+    bag = lambda cut: {w for u in set().union(*cut) for w in windows(u)}
     in_clean = Counter(w for cut in clean for w in bag(cut))
     bags = without_copies([bag(cut) for cut in toxic])
     bearing = witnesses(bags, in_clean) or witnesses(bags, in_clean, least=1.0)
@@ -385,7 +393,7 @@ def train(toxic_texts: list[str], clean_texts: list[str], landmarks: int = LANDM
 
 def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter, bearing: Counter, rounds: int) -> Scorer:
     """Fits the machine to sentences; of each toxic text those count that have a bearing unit or are found toxic so far, or the highest."""
-    scorer = Scorer(machine, float("inf"))  # the sample is bounded
+    scorer = Scorer(machine, float("inf"), halved=False)  # the sample is bounded
 
     def near(cut: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         parts = [scorer.near(cut[i : i + 100]) for i in range(0, len(cut), 100)]
@@ -395,7 +403,7 @@ def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter,
     down, _, _ = near(clean)
     starts = np.flatnonzero(np.diff(owner, prepend=-1))
     none = np.zeros((1, len(machine.names)), np.float32)
-    marked = np.array([any(w in bearing for u in filter(scorer.memo.__getitem__, s) for w in letters(u)) for s in units], bool)
+    marked = np.array([any(w in bearing for u in filter(scorer.memo.__getitem__, s) for w in windows(u)) for s in units], bool)
     nearest: dict[int, str] = {}
     copied: dict[str, np.ndarray] = {}
     for n in range(rounds if len(starts) else 0):
@@ -406,11 +414,11 @@ def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter,
             highest = [part[np.argmax(score[part])] for part in np.split(chosen, starts[1:])]
             chosen = np.union1d(np.flatnonzero((score > 0) | marked), highest)
             share = np.ones(len(chosen))
-            of_unit = scorer.known @ machine.weights
+            of_unit = scorer.known[: scorer.used] @ machine.weights
             nearest.update((k, max(filter(scorer.memo.__getitem__, units[k]), key=lambda u: of_unit[scorer.memo[u]])) for k in set(chosen.tolist()) - nearest.keys())
             times = Counter(nearest[k] for k in chosen.tolist())
             new = sorted(times.keys() - copied.keys())  # units to misspell, all at once
-            listed = [[w for w in misspelt(letters(u)[0]) if w not in in_clean] for u in new]
+            listed = [[w for w in misspelt(windows(u)[0]) if w not in in_clean] for u in new]
             made = machine.kernels([w for x in listed for w in x])
             copied.update(zip(new, np.split(made, np.cumsum([len(x) for x in listed])[:-1])))
         copies = [copied[u] for u in times]
