@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import tempfile
 import uuid
@@ -24,20 +25,52 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@functools.cache
+def _temporary() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="veridra-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share; a temporary one only where none is set on a single machine, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        where = "file://" + tempfile.mkdtemp(prefix="veridra-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = _temporary()
     return where.rstrip("/")
 
 
+#: What this process has staged and not deleted.
+_written: set[str] = set()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``release`` deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.add(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _written.discard(path)
+
+
+def written() -> set[str]:
+    """The paths that operators have staged and not deleted."""
+    return set(_written)
+
+
+def release(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Deletes all that operators have staged but for the paths to keep, also what results still read: call it when these have been written."""
+    for path in written() - keep:
+        delete(spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes a table in the shared folder and reads it back, which cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.staged_path = path
@@ -47,9 +80,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more: what was made from them has been written since."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, df.staged_path)
 
 
 def give_back() -> None:

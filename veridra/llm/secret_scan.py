@@ -30,7 +30,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -247,15 +249,31 @@ def ordinary_p(found: float, name: str, n: int, laws: dict) -> float:
     return _gamma_below(found, float(np.interp(n, LENGTHS, means)), float(np.interp(n, LENGTHS, deviations)))
 
 
+_AT_ONCE = 4096  # tokens
+
+
+def batteries(tokens: list[str], laws: dict) -> list[tuple[float, float] | None]:
+    """Of each token (p of chance, p of an ordinary string), None without a known encoding; equal lengths of one encoding are tested together."""
+    found: list[tuple[float, float] | None] = [None] * len(tokens)
+    alike: dict[tuple[str, int], list[tuple[int, str]]] = {}
+    alphabets = {a.name: a for a in _ALPHABETS}
+    for i, token in enumerate(tokens):
+        core = token.rstrip("=")
+        alphabet = infer_encoding(core)
+        if alphabet is not None and len(core) >= LEAST // 2:
+            alike.setdefault((alphabet.name, len(core)), []).append((i, core))
+    for (name, n), listed in alike.items():
+        alphabet = alphabets[name]
+        for at in range(0, len(listed), _AT_ONCE):
+            some = listed[at : at + _AT_ONCE]
+            for (i, _), x in zip(some, evidence(np.array([[alphabet.place[c] for c in core] for _, core in some]), alphabet).tolist()):
+                half = x / 2
+                found[i] = math.exp(-half) * (1 + half + half * half / 2) if half < 700 else 0.0, ordinary_p(x, name, max(n, LEAST), laws)
+    return found
+
+
 def battery(token: str, laws: dict) -> tuple[float, float] | None:
-    """(p of chance, p of an ordinary string) of a token; None without a known encoding."""
-    core = token.rstrip("=")
-    alphabet = infer_encoding(core)
-    if alphabet is None or len(core) < LEAST // 2:
-        return None
-    x = float(evidence(np.array([[alphabet.place[c] for c in core]]), alphabet)[0])
-    half = x / 2
-    return math.exp(-half) * (1 + half + half * half / 2) if half < 700 else 0.0, ordinary_p(x, alphabet.name, max(len(core), LEAST), laws)
+    return batteries([token], laws)[0]
 
 
 def pattern_spans(text: str, hints: tuple[bool, ...] = (True,) * 4) -> list[tuple[int, int, int]]:
@@ -280,8 +298,12 @@ def candidates(text: str) -> list[tuple[int, int]]:
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], fdr: float, laws: dict) -> list[tuple[int, int, int]]:
-    """Candidates beside the spans taken that pass the battery."""
-    judged = [(start, end, battery(text[start:end], laws)) for start, end in candidates(text) if not any(a < end and start < b for a, _, b in taken)]
+    """Candidates beside the spans taken (in order) that pass the battery."""
+    starts = [a for a, _, _ in taken]
+    furthest = list(accumulate((b for _, _, b in taken), max))  # of all spans up to here
+    covered = lambda start, end: (n := bisect_left(starts, end)) > 0 and furthest[n - 1] > start
+    free = [(start, end) for start, end in candidates(text) if not covered(start, end)]
+    judged = [(start, end, found) for (start, end), found in zip(free, batteries([text[start:end] for start, end in free], laws))]
     total = sum(end - start for start, end, _ in judged)
     weighted = sorted((found[1] * total / (len(judged) * (end - start)) if found else 1.0, start, end, found) for start, end, found in judged)
     passed = max((k for k, x in enumerate(weighted, 1) if x[0] <= fdr * k / len(weighted)), default=0)

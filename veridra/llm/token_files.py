@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, staged
+from .common import new_path, staged
 
 BLOCK_BYTES = 1 << 18
 CHUNK_BLOCKS = 4096
@@ -58,7 +58,7 @@ def _located(uri: str):
     """The file system and the path of a URI, as Spark or Python writes it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", uri)))
 
 
 def write_token_files(docs: DataFrame, vocabulary: str, pattern: str, eod: int = EOD) -> DataFrame:
@@ -69,7 +69,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, pattern: str, eod: int =
     """
     ranks = read_ranks(vocabulary)
     vocab, width = docs.sparkSession.sparkContext.broadcast((ranks, pattern)), id_bytes(ranks, eod)
-    folder = f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    folder = new_path(docs.sparkSession, "tokens")
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
