@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from veridra.llm.bpe import encode_digests
-from veridra.llm.common import read, staged
+from veridra.llm.common import read, release, staged, written
 from veridra.llm.exact_dedup import drop_duplicates
 from veridra.llm.mixing import apply_mix
 from veridra.llm.near_dedup import drop_near_duplicates
@@ -49,9 +49,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """All stages on documents.  Once a stage's rows are written, the rows before them and all that the stage staged are deleted;
+    what the last one reads stays until ``release`` is called."""
+    docs, others = read(spark, sf_dir, "documents"), written()
     for n, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES) - 1:
             docs = staged(docs, name)
+            release(spark, keep=others | {docs.staged_path})
     return docs
