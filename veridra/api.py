@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.types import check_identifier, quoted, two_part
+from .operators import footers
 from .operators import lineage as L
 from .operators import quality as Q
 from .plans import review as R
@@ -127,6 +128,13 @@ class Engine:
     def get_row_count(self, table: str) -> dict:
         return {"table": table, "row_count": self.catalog.table(table).agg(F.count(F.lit(1))).first()[0]}
 
+    @answers()
+    def table_statistics(self, table: str) -> dict:
+        """Rows, nulls, least and greatest values of a table of files, from its footers where these tell."""
+        if (path := self.catalog.path(table)) is None:
+            raise LookupError(f"Not a table of files: {table}")
+        return {"table": table, "columns": [r.asDict() for r in footers.footer_profile(self.spark, path).collect()]}
+
     @answers()
     def inspect_row(self, table: str, key_column: str, key_value) -> dict:
         """One row with this key, or status not_found; the value is cast to the column's type."""

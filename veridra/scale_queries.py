@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .api import Engine
+from .operators import footers
 from .operators import quality as Q
 from .operators import temporal as T
 from .plans import medallion as M
@@ -157,3 +158,21 @@ _qualified(
     "WITH customer AS (SELECT c_custkey, name FROM silver.dim_customer WHERE c_acctbal < (SELECT AVG(c.c_acctbal) FROM raw.customer c)) SELECT customer.name, o.* FROM customer, raw.orders o WHERE o_custkey = c_custkey AND o_orderkey IN (SELECT l_orderkey FROM raw.lineitem WHERE l_quantity > 49)",
     "WITH c AS (SELECT c_custkey, UPPER(c_name) AS name FROM customer WHERE c_acctbal < (SELECT AVG(c_acctbal) FROM customer)) SELECT c.name, o.* FROM c, orders o WHERE o_custkey = c_custkey AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 49)",
 )
+
+
+# Footers
+
+_LINE_ALL = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+_INTEGERS = _LINE_ALL[:4]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(*) AS row_count, COUNT(*) - COUNT({c}) AS null_count, {f'MIN({c})::VARCHAR' if c in _INTEGERS else 'NULL::VARCHAR'} AS min_value, {f'MAX({c})::VARCHAR' if c in _INTEGERS else 'NULL::VARCHAR'} AS max_value FROM lineitem" for c in _LINE_ALL))
+def footer_profile(spark, sf_dir):
+    """Rows, nulls and ranges of lineitem from the footers of its files."""
+    return footers.footer_profile(spark, f"{sf_dir}/lineitem.parquet")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS null_count, ROUND(100 * (COUNT(*) - COUNT({c})) / COUNT(*), 2) AS null_pct, 'OK' AS status FROM documents" for c in ("doc_id", "text", "lang", "source", "n_chars")))
+def footer_nulls(spark, sf_dir):
+    """The null profile of documents without reading a text."""
+    return footers.null_profile(spark, f"{sf_dir}/documents.parquet")

@@ -19,6 +19,7 @@ class Catalog:
         self.spark, self.default_schema = spark, default_schema
         self._tables: dict[str, Callable[[], DataFrame]] = {}
         self._schemas: set[str] = set()
+        self._paths: dict[str, str] = {}
 
     @classmethod
     def from_directory(cls, spark: SparkSession, folder: str, tables: Iterable[str], schema: str = "main") -> Catalog:
@@ -26,6 +27,7 @@ class Catalog:
         found = cls(spark, schema)
         for name in tables:
             found.register(f"{schema}.{name}", lambda path=f"{folder}/{name}.parquet": spark.read.parquet(path))
+            found._paths[f"{schema}.{name}"] = f"{folder}/{name}.parquet"
         return found
 
     @classmethod
@@ -47,10 +49,16 @@ class Catalog:
 
     def register(self, table: str, df: DataFrame | Callable[[], DataFrame]) -> None:
         """Adds or replaces a table."""
+        self._paths.pop(self.full_name(table), None)
         self._tables[self.full_name(table)] = df if callable(df) and not isinstance(df, DataFrame) else lambda: df
 
     def drop(self, table: str) -> None:
         self._tables.pop(self.full_name(table), None)
+        self._paths.pop(self.full_name(table), None)
+
+    def path(self, table: str) -> str | None:
+        """Where the Parquet files of a table lie, if it is one of files."""
+        return self._paths.get(self.full_name(table))
 
     def exists(self, table: str) -> bool:
         return self.full_name(table) in self._tables
