@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .api import Engine
-from .operators import footers
+from .operators import distincts, footers
 from .operators import quality as Q
+from .operators import reach
 from .operators import temporal as T
 from .plans import medallion as M
 from .queries import ORACLE, QUERIES, query, tables
@@ -176,3 +178,33 @@ def footer_profile(spark, sf_dir):
 def footer_nulls(spark, sf_dir):
     """The null profile of documents without reading a text."""
     return footers.null_profile(spark, f"{sf_dir}/documents.parquet")
+
+
+# Distinct counts that merge
+
+_COUNTED = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_count FROM lineitem" for c in _COUNTED))
+def distinct_merged(spark, sf_dir):
+    """Distinct values of ten columns of lineitem: two states, of returned and of other lines, merged."""
+    line = tables(spark, sf_dir).table("lineitem")
+    returned = F.col("l_returnflag") == "R"
+    states = [distincts.distinct_state(line.filter(part), list(_COUNTED)) for part in (returned, ~returned)]
+    return distincts.distinct_counts(states[0].unionByName(states[1]))
+
+
+# Reach: from an order to the next one that has the same part of the same supplier.
+
+_NEXT = """(SELECT DISTINCT a AS source, b AS target FROM (SELECT o_orderkey AS a, LEAD(o_orderkey) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY o_orderdate, o_orderkey) AS b
+FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem) JOIN orders ON l_orderkey = o_orderkey) WHERE b IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE e AS MATERIALIZED {_NEXT}, r(root, node) AS (SELECT source, target FROM e UNION SELECT r.root, e.target FROM r JOIN e ON e.source = r.node)
+SELECT node, COALESCE(n, 0) AS reachable FROM (SELECT source AS node FROM e UNION SELECT target FROM e) LEFT JOIN (SELECT root, COUNT(*) AS n FROM r GROUP BY root) ON root = node""")
+def reach_of_orders(spark, sf_dir):
+    """How many later orders each order leads to by parts that come again from the same supplier."""
+    c = tables(spark, sf_dir)
+    bought = c.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct().join(c.table("orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    following = F.lead("o_orderkey").over(Window.partitionBy("l_partkey", "l_suppkey").orderBy("o_orderdate", "o_orderkey"))
+    return reach.reach_counts(bought.select(F.col("o_orderkey").alias("source"), following.alias("target")))
