@@ -10,6 +10,8 @@ from .operators import distincts, footers
 from .operators import quality as Q
 from .operators import reach
 from .operators import temporal as T
+from .operators.staging import new_path
+from .plans import materialise
 from .plans import medallion as M
 from .queries import ORACLE, QUERIES, query, tables
 
@@ -208,3 +210,39 @@ def reach_of_orders(spark, sf_dir):
     bought = c.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct().join(c.table("orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     following = F.lead("o_orderkey").over(Window.partitionBy("l_partkey", "l_suppkey").orderBy("o_orderdate", "o_orderkey"))
     return reach.reach_counts(bought.select(F.col("o_orderkey").alias("source"), following.alias("target")))
+
+
+# Steps as tables
+
+
+@query("SELECT custkey, COUNT(*) AS total_lines, MAX(l_extendedprice) AS peak_price, SUM(l_quantity) AS quantity, ANY_VALUE(c_name) AS c_name FROM (SELECT l.*, o_custkey AS custkey FROM lineitem l JOIN orders ON l_orderkey = o_orderkey) JOIN customer ON c_custkey = custkey GROUP BY custkey")
+def bucketed_customer_summary(spark, sf_dir):
+    """fact_sales and customers in equal buckets of the customer: joined and summed without a shuffle."""
+    c = M.build(spark, sf_dir)
+    sales = materialise.write_bucketed(c.table("silver.fact_sales").select("custkey", "l_orderkey", "l_extendedprice", "l_quantity"), ["custkey"], 16)
+    customers = materialise.write_bucketed(c.table("raw.customer").select("c_custkey", "c_name"), ["c_custkey"], 16)
+    joined = sales.join(customers.hint("merge"), F.col("custkey") == F.col("c_custkey"))
+    return joined.groupBy("custkey").agg(F.count(F.lit(1)).alias("total_lines"), F.max("l_extendedprice").alias("peak_price"), F.sum("l_quantity").alias("quantity"), F.min("c_name").alias("c_name"))
+
+
+_SUMMARY_SQL = "(SELECT o_custkey AS custkey, COUNT(l_orderkey) AS total_lines, MAX(l_extendedprice) AS peak_price, SUM(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)"
+_SUMMARY_RULES = ["total_lines > 0", "peak_price >= 0", "quantity >= total_lines"]
+
+
+@query(f"SELECT * FROM {_SUMMARY_SQL}")
+def published_customer_summary(spark, sf_dir):
+    """customer_summary as it was published after its audit."""
+    path = new_path(spark, "summary")
+    materialise.write_audited(M.build(spark, sf_dir).table("conformed.customer_summary"), path, _SUMMARY_RULES)
+    return materialise.published(spark, path)
+
+
+@query(
+    f"SELECT 'rows' AS kind, NULL::VARCHAR AS name, COUNT(*) AS n FROM {_SUMMARY_SQL} UNION ALL "
+    + " UNION ALL ".join(f"SELECT 'nulls', '{c}', COUNT(*) - COUNT({c}) FROM {_SUMMARY_SQL}" for c in ("custkey", "total_lines", "peak_price", "quantity"))
+    + " UNION ALL " + " UNION ALL ".join(f"SELECT 'violations', '{r}', COUNT(*) FILTER (WHERE NOT ({r})) FROM {_SUMMARY_SQL}" for r in [*_SUMMARY_RULES, "total_lines < 40"])
+)
+def audit_of_customer_summary(spark, sf_dir):
+    """What the one write job of customer_summary told; one rule is violated, so this version is not published."""
+    report = materialise.write_audited(M.build(spark, sf_dir).table("conformed.customer_summary"), new_path(spark, "summary"), [*_SUMMARY_RULES, "total_lines < 40"])
+    return materialise.audit_rows(spark, report)
