@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .api import Engine
-from .operators import distincts, footers
+from .operators import distincts, footers, json_drift
 from .operators import quality as Q
 from .operators import reach
 from .operators import temporal as T
@@ -14,6 +14,7 @@ from .operators.staging import new_path
 from .plans import materialise
 from .plans import medallion as M
 from .queries import ORACLE, QUERIES, query, tables
+from .streaming import sessions as stream_state
 
 # As-of joins.  Rows of one key and time count as one on the right: the greatest of their tie columns.
 
@@ -246,3 +247,44 @@ def audit_of_customer_summary(spark, sf_dir):
     """What the one write job of customer_summary told; one rule is violated, so this version is not published."""
     report = materialise.write_audited(M.build(spark, sf_dir).table("conformed.customer_summary"), new_path(spark, "summary"), [*_SUMMARY_RULES, "total_lines < 40"])
     return materialise.audit_rows(spark, report)
+
+
+# Drift inside JSON: props of events with fields that come, go and change with the day.
+
+_PROPS = """(SELECT ts::DATE AS period, CASE WHEN day(ts) % 5 = 0 THEN '{"k": "' || (json_extract_string(props, '$.k')) || '", "t": "' || event_type || '"}'
+WHEN day(ts) % 3 = 0 THEN '{"k": ' || (json_extract_string(props, '$.k')) || ', "v": {"w": [1.5, 2]}}' ELSE props END AS j FROM events)"""
+_FLAT = f"""(SELECT period, key AS path, json_type(j, '$.' || key) AS t FROM (SELECT period, j, unnest(json_keys(j)) AS key FROM {_PROPS}))"""
+
+
+@query(f"""WITH p AS (SELECT period, '$.' || path AS path, CASE WHEN MIN(t) = MAX(t) THEN CASE MIN(t) WHEN 'UBIGINT' THEN 'INTEGER' WHEN 'VARCHAR' THEN 'TEXT' ELSE MIN(t) END ELSE 'MIXED' END AS kind FROM {_FLAT} GROUP BY 1, 2
+UNION ALL SELECT DISTINCT period, '$', 'OBJECT' FROM {_PROPS} UNION ALL SELECT DISTINCT period, '$.v.w', 'ARRAY' FROM {_PROPS} WHERE j LIKE '%"w"%' UNION ALL SELECT DISTINCT period, '$.v.w[]', 'NUMBER' FROM {_PROPS} WHERE j LIKE '%"w"%'),
+d AS (SELECT period, LEAD(period) OVER (ORDER BY period) AS next FROM (SELECT DISTINCT period FROM p)),
+b AS (SELECT d.next AS period, path, kind FROM p JOIN d USING (period) WHERE next IS NOT NULL), a AS (SELECT * FROM p WHERE period > (SELECT MIN(period) FROM p))
+SELECT COALESCE(a.period, b.period) AS period, COALESCE(a.path, b.path) AS path, CASE WHEN b.kind IS NULL THEN 'ADDED' WHEN a.kind IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change, b.kind AS old_kind, a.kind AS new_kind
+FROM a FULL JOIN b ON a.period = b.period AND a.path = b.path WHERE a.kind IS DISTINCT FROM b.kind""")
+def props_drift(spark, sf_dir):
+    """What changes in props from day to day."""
+    events, day = tables(spark, sf_dir).table("events"), F.dayofmonth("ts")
+    k = F.get_json_object("props", "$.k")
+    made = F.when(day % 5 == 0, F.concat(F.lit('{"k": "'), k, F.lit('", "t": "'), "event_type", F.lit('"}'))).when(day % 3 == 0, F.concat(F.lit('{"k": '), k, F.lit(', "v": {"w": [1.5, 2]}}'))).otherwise(F.col("props"))
+    return json_drift.json_drift(events.select("ts", made.alias("j")), "j", F.to_date("ts"))
+
+
+# State over a stream
+
+_GAP, _DELAY = 30, 60  # minutes
+
+
+@query(f"""WITH e AS (SELECT user_id, ts, CASE WHEN ts > LAG(ts) OVER w + INTERVAL {_GAP} MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, SUM(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS number FROM e),
+g AS (SELECT user_id, MIN(ts) AS session_start, MAX(ts) + INTERVAL {_GAP} MINUTE AS session_end, COUNT(*) AS n_events FROM s GROUP BY user_id, number)
+SELECT user_id, session_start::TIMESTAMPTZ AS session_start, session_end::TIMESTAMPTZ AS session_end, n_events FROM g WHERE session_end <= (SELECT MAX(ts) FROM events) - INTERVAL {_DELAY} MINUTE""")
+def event_sessions(spark, sf_dir):
+    """Closed sessions of all users, by a run over a stream in which each tenth event comes twice."""
+    schema = tables(spark, sf_dir).table("events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = stream.unionByName(stream.filter("event_id % 10 = 0"))
+    path = new_path(spark, "sessions")
+    once = stream_state.without_repeats(twice, ["event_id"], "ts", f"{_DELAY} minutes")
+    stream_state.write_sessions(stream_state.sessions(once, "user_id", "ts", f"{_GAP} minutes"), f"{path}/rows", f"{path}/checkpoint").awaitTermination()
+    return spark.read.schema("user_id long, session_start timestamp, session_end timestamp, n_events long").parquet(f"{path}/rows")
