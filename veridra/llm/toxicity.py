@@ -21,7 +21,7 @@ clean texts are clean.  The toxic sentences are repeated with a character put in
 or one left out.  Landmarks are the units that cover most
 toxic texts not yet covered, less three times the clean texts that have them, and the clean units that come nearest.
 
-The power lets the large kernels decide.  One under ``FLOOR`` counts as 0; its power is less than 0.001, where 1 is equality.
+The power lets the large kernels decide.  One under ``FLOOR`` counts as 0; its power is less than 0.008, where 1 is equality.
 Units are passed over only where the Cauchy-Schwarz bound below shows that
 all their kernels are under it, so no kernel that counts is ever left out.  Units of more than ``WIDTH``
 characters are cut in overlapping windows, all of which count.
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, held_out
 
-ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 3, 32, 0.1, 64, 150_000
+ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 3, 32, 0.2, 64, 150_000
 WORDS, FRAGMENT, HALVED = 12, 3, 9
 _FRAGMENTS = re.compile(rf"(?<!\S)\S{{1,{FRAGMENT}}}(?:\s+\S{{1,{FRAGMENT}}}(?!\S))+")
 _SIGNS = re.compile(r"[\W_]+")
