@@ -95,6 +95,11 @@ def test_release_leaves_no_staged_table(spark, tmp_path, monkeypatch):
     assert list(tmp_path.iterdir())
     staging.release(spark)
     assert not list(tmp_path.iterdir())
+    engine = Engine(spark, Catalog(spark))
+    engine.catalog.register("t", df.unionByName(df))
+    assert engine.detect_duplicates("t")["status"] == "DUPLICATES_FOUND" and list(tmp_path.iterdir())
+    engine.close()
+    assert not list(tmp_path.iterdir()) and engine.edges is None
 
 
 def test_without_a_shared_folder_only_a_single_machine_may_stage(monkeypatch):

@@ -15,6 +15,7 @@ from .functions.types import check_identifier, quoted, two_part
 from .operators import footers
 from .operators import lineage as L
 from .operators import quality as Q
+from .operators.staging import release
 from .plans import review as R
 from .plans import sqllineage as X
 from .plans import sqltext as S
@@ -94,6 +95,11 @@ class Engine:
     def clear_cache(self) -> None:
         self._explained.clear()
 
+    def close(self) -> None:
+        """Gives back what the engine holds: cached lineage, and tables that operators have staged.  The session is its owner's."""
+        self.set_lineage(None, None)
+        release(self.spark)
+
     def _lineage(self) -> DataFrame:
         """The platform's edges and the local ones."""
         found = [e for e in (self._platform_edges(), self.edges.select("target_table", "source_table") if self.edges is not None else None) if e is not None]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +31,7 @@ class Policy:
         return bool(set(self.tags) & set(tags)) if self.tags else not self.applies_to
 
     def to_dict(self) -> dict:
-        return {"policy_id": self.policy_id, "name": self.name, "description": self.description, "severity": self.severity, "tags": self.tags, "applies_to": self.applies_to, "rules": self.rules}
+        return asdict(self)
 
 
 class AssetGraph:
