@@ -16,10 +16,13 @@ from .staging import discard, staged
 
 def _numbered(nodes: DataFrame) -> DataFrame:
     """node and number, from 0 without gaps: running numbers of partitions, moved by what lies before a partition."""
-    listed = staged(nodes.withColumn("at", F.monotonically_increasing_id()), "reach-nodes").withColumn("part", F.shiftright("at", 33))
+    listed = staged(nodes.withColumn("at", F.monotonically_increasing_id()), "reach-nodes")
+    listed_path, listed = listed.staged_path, listed.withColumn("part", F.shiftright("at", 33))
     sizes = listed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return listed.join(before, "part").select("node", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("number"))
+    found = listed.join(before, "part").select("node", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("number"))
+    found.staged_path = listed_path
+    return found
 
 
 def reach_counts(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -31,7 +34,9 @@ def reach_counts(edges: DataFrame, sources: DataFrame | None = None) -> DataFram
     pairs = staged(edges.select("source", "target").filter("source is not null and target is not null and source <> target").distinct(), "reach-edges")
     if sources is None:
         sources = pairs.select(F.col("source").alias("node")).unionByName(pairs.select(F.col("target").alias("node"))).distinct()
-    roots = staged(_numbered(sources.select("node").filter("node is not null").distinct()), "reach-roots")
+    numbered = _numbered(sources.select("node").filter("node is not null").distinct())
+    roots = staged(numbered, "reach-roots")
+    discard(numbered)
     bit = F.expr("shiftleft(1L, cast(number % 64 as int))")
     seen = frontier = staged(roots.select("node", F.shiftright("number", 6).alias("word"), bit.alias("bits")).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), "reach-seen")
     while True:
@@ -40,7 +45,7 @@ def reach_counts(edges: DataFrame, sources: DataFrame | None = None) -> DataFram
         fresh = arrived.join(had, ["node", "word"], "left").select("node", "word", F.col("came").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("long")))).alias("bits")).filter("bits <> 0")
         step = staged(fresh, "reach-step")
         if step.isEmpty():
-            discard(step)
+            discard(step, pairs, *([frontier] if frontier is not seen else []))
             break
         grown = staged(seen.unionByName(step).groupBy("node", "word").agg(F.bit_or("bits").alias("bits")), "reach-seen")
         discard(*{t.staged_path: t for t in (seen, frontier)}.values())
