@@ -125,6 +125,20 @@ def test_scores_are_those_of_a_plain_machine():
     assert want[1] > 0.5 and want[4] > 0.2
 
 
+def test_units_alike_but_for_signs_are_computed_once(monkeypatch):
+    """Nor are equal halves computed again, and nothing that earlier texts had; forgetting changes no score."""
+    asked, plain = [], X.Machine.kernels
+    monkeypatch.setattr(X.Machine, "kernels", lambda self, words: asked.extend(words) or plain(self, words))
+    machine = X.Machine(["idiot", "stupid"])
+    machine.weights, machine.bias = np.array([0.7, 1.1]), -0.4
+    texts = ["idiot idiot, (idiot) ixdxixoxt. ixdxixoxt!", "stupid; idiot? stupid", "stuupid " * 40 + "s" * 50]
+    asked.clear()
+    scorer = X.Scorer(machine)
+    found = [scorer.margins([X.sentences(t)])[0] for t in texts]
+    assert len(asked) == len(set(asked)) and {"idiot", "xxxx", "stupid"} <= set(asked)
+    assert [X.Scorer(machine, most=1).margins([X.sentences(t)])[0] for t in texts] == found == X.Scorer(machine).margins([X.sentences(t) for t in texts]).tolist()
+
+
 def test_sentences_and_units():
     assert X.sentences("Several words. The end") == [["several", "words.", "the", "end"], ["theend"]]
     assert [len(s) for s in X.sentences("longer words " * 4 + "ended here. " + "longer words " * 7)] == [10, 12, 2]

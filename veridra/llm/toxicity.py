@@ -38,7 +38,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import chain, groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import give_back, held_out
 
-ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 3, 32, 0.2, 64, 150_000
+ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 3, 32, 0.2, 64, 600_000
 WORDS, FRAGMENT, HALVED = 12, 3, 9
 _FRAGMENTS = re.compile(rf"(?<!\S)\S{{1,{FRAGMENT}}}(?:\s+\S{{1,{FRAGMENT}}}(?!\S))+")
 _SIGNS = re.compile(r"[\W_]+")
@@ -127,6 +127,11 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
     return places, (DECAY ** (places[2] - places[0] + 1)).astype(np.float32)
 
 
+def spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers from each beginning on, as many as it has."""
+    return np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
 class Machine:
     """Landmarks, the whitening of their kernel, and the machine's weights.
 
@@ -149,8 +154,6 @@ class Machine:
                 triples.setdefault(t, np.zeros(m))[w] += x / norms[w]
         self.table = np.concatenate([np.zeros((1, m)), np.stack(list(triples.values()))]).astype(np.float32)
         self.row_of[list(triples)] = np.arange(1, len(triples) + 1)
-        self.most = self.table.max(1)[self.row_of]  # of each triple in any landmark, for the bound
-        self.weighted = [self.most * np.float32(DECAY**span) for span in range(WIDTH + 3)]
         gram = self.kernels(landmarks)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         keep = values > 1e-6
@@ -165,8 +168,8 @@ class Machine:
     def kernels(self, words: list[str]) -> np.ndarray:
         """Normalised kernels of words with the landmarks, to the power; those under FLOOR are 0.
 
-        A word's kernel with itself is at least the sum of its triples' squared weights, and its kernel with any
-        landmark at most the sum of its triples' weights times the greatest of theirs in a landmark.
+        A word's kernel with itself is at least the sum of its triples' squared weights, so it is computed only where that
+        least one would not put all kernels under FLOOR.
         """
         out = np.zeros((len(words), len(self.names)), np.float32)
         for at in range(0, len(words), _AT_ONCE):
@@ -179,31 +182,31 @@ class Machine:
         for n in np.unique(lengths):
             (i, j, k), weights = _places(int(n))
             least = float(np.sqrt((weights.astype(np.float64) ** 2).sum()))
+            first, second = np.triu_indices(n, 1)
+            pair = (i * (2 * n - i - 1) >> 1) + j - i - 1  # the number of each triple's first two places
             mine = np.flatnonzero(lengths == n)
-            c = np.ascontiguousarray(numbers[mine, :n].T)
-            if len(mine) < 1000:  # many triples of few words: all at once
-                most = np.concatenate([weights @ self.most.take((c[i][:, at : at + step] * size + c[j][:, at : at + step]) * size + c[k][:, at : at + step]) for step in [max(1, (1 << 20) // len(weights))] for at in range(0, len(mine), step)])
-            else:
-                most = np.zeros(len(mine), np.float32)
-                for p in range(n - 2):
-                    for q in range(p + 1, n - 1):
-                        pair = (c[p] * size + c[q]) * size
-                        for r in range(q + 1, n):
-                            most += self.weighted[r - p + 1].take(pair + c[r])
-            near = np.flatnonzero(most >= FLOOR * least * (1 - 1e-4))
-            for some in np.array_split(near, -(-len(near) // 512)) if len(near) else ():
-                rows = self.row_of.take((c[i][:, some] * size + c[j][:, some]) * size + c[k][:, some])
-                raw = np.zeros((len(some), self.table.shape[1]), np.float32)
-                for t, weight in enumerate(weights):  # row 0 is of zeros; plain sums, as a product would start threads in each task
-                    raw += self.table.take(rows[t], axis=0) * weight
-                chosen = mine[some]
-                own = codes[chosen]
-                norm = np.full(len(chosen), least, np.float32)  # exact where no character comes twice
+            for some in np.array_split(mine, -(-len(mine) // 1024)):
+                c = np.ascontiguousarray(numbers[some, :n].T)
+                pairs = (c[first] * size + c[second]) * size
+                # Plain sums in the order of triples, as a product would start threads in each task.  Row 0 is of zeros.
+                raw, part = np.zeros((2, len(some), len(self.names)), np.float32)
+                if len(some) < 48:
+                    for word, rows in enumerate(self.row_of.take(pairs[pair] + c[k]).T):
+                        hit = np.flatnonzero(rows)
+                        raw[word] = (self.table.take(rows[hit], axis=0) * weights[hit, None]).sum(0)
+                else:
+                    for before, last, weight in zip(pair.tolist(), k.tolist(), weights):
+                        self.table.take(self.row_of.take(pairs[before] + c[last]), axis=0, out=part, mode="clip")
+                        part *= weight
+                        raw += part
+                near = np.flatnonzero(raw.max(1) >= FLOOR * least * (1 - 1e-4))
+                own = codes[some[near]]
+                norm = np.full(len(near), least, np.float32)  # exact where no character comes twice
                 twice = np.flatnonzero((np.diff(np.sort(own[:, :n], axis=1), axis=1) == 0).any(1))
                 if len(twice):
                     norm[twice] = np.sqrt(subsequence_kernel(own[twice], own[twice]))
-                value = raw / norm[:, None]
-                out[chosen] = np.where(value >= FLOOR, value, 0) ** POWER
+                value = raw[near] / norm[:, None]
+                out[some[near]] = np.where(value >= FLOOR, value, 0) ** POWER
 
     def fit(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> None:
         """x: kernels of sentences with the landmarks."""
@@ -248,6 +251,15 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.slope * z + self.shift, -700, 700))))
 
 
+def enlarged(values: np.ndarray, size: int) -> np.ndarray:
+    """Values with room for as many, and more where it had to grow."""
+    if size <= len(values):
+        return values
+    grown = np.zeros(max(size, 2 * len(values)), values.dtype)
+    grown[: len(values)] = values
+    return grown
+
+
 class Scorer:
     """Kernels of sentences and scores of texts; remembers units, up to ``most`` of them.  halved: whether halves count."""
 
@@ -256,55 +268,75 @@ class Scorer:
         self.forget()
 
     def forget(self) -> None:
-        """Of each unit the row of its kernels; row 0 has none."""
+        """Of each unit a number, 0 if it has no kernels; those of a number lie from its place on: landmarks and values."""
         self.memo: dict[str, int] = {}
-        self.known, self.used = np.zeros((1024, len(self.machine.names)), np.float32), 1
+        self.begin, self.used = np.zeros(1024, np.int64), 1
+        self.landmark, self.value = np.zeros(4096, np.int16), np.zeros(4096, np.float32)
 
     def learn(self, new: set[str]) -> None:
-        listed = list(new)
+        """Units that are equal but for signs share what they have; so do equal halves, while units are learned."""
+        alike: dict[str, list[str]] = {}
+        for unit in new:
+            plain = unit if unit.isalnum() else _SIGNS.sub("", unit)
+            alike.setdefault(plain, []).append(unit)
+        listed = [plain for plain in alike if plain not in self.memo]
         for at in range(0, len(listed), _AT_ONCE):
-            fresh, words, owner, half = listed[at : at + _AT_ONCE], [], [], []
+            fresh, numbers, pieces, owner, half = listed[at : at + _AT_ONCE], {}, [], [], []
             for i, unit in enumerate(fresh):
                 whole = windows(unit)
                 parts = halves(whole) if self.halved else []
-                words += whole + parts
+                pieces += [numbers.setdefault(w, len(numbers)) for w in whole + parts]
                 owner += [i] * (len(whole) + len(parts))
                 half += [False] * len(whole) + [True] * len(parts)
-            kernels = self.machine.kernels(words)
-            kernels[half] **= 2
-            active = np.flatnonzero(kernels.any(1))
+            kernels, pieces = self.machine.kernels(list(numbers)), np.array(pieces, np.int64)
+            active = np.flatnonzero(kernels.any(1)[pieces])
+            kernels = kernels[pieces[active]]
+            kernels[np.array(half, bool)[active]] **= 2
             owners, starts = np.unique(np.array(owner, np.int64)[active], return_index=True)  # sorted, as owners rise
             rows = np.zeros(len(fresh), np.int64)
             if len(active):
                 rows[owners] = self.used + np.arange(len(owners))
-                end = self.used + len(owners)
-                if end > len(self.known):
-                    grown = np.zeros((max(end, 2 * len(self.known)), self.known.shape[1]), np.float32)
-                    grown[: self.used] = self.known[: self.used]
-                    self.known = grown
-                self.known[self.used : end] = np.maximum.reduceat(kernels[active], starts, axis=0)
+                unit, landmark = np.nonzero(found := np.maximum.reduceat(kernels, starts, axis=0))
+                end, first = self.used + len(owners), int(self.begin[self.used])
+                self.begin, self.landmark, self.value = enlarged(self.begin, end + 1), enlarged(self.landmark, first + len(unit)), enlarged(self.value, first + len(unit))
+                self.landmark[first : first + len(unit)], self.value[first : first + len(unit)] = landmark, found[unit, landmark]
+                self.begin[self.used + 1 : end + 1] = first + np.cumsum(np.bincount(unit, minlength=len(owners)))
                 self.used = end
             self.memo.update(zip(fresh, rows.tolist()))
+        for plain, units in alike.items():
+            row = self.memo[plain]
+            for unit in units:
+                self.memo[unit] = row
 
     def near(self, cut: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
         """Of texts cut in sentences: the kernels of the sentences that have any, the number of the text of each, and their units."""
         listed = [s for x in cut for s in x]
         flat = list(chain.from_iterable(listed))
-        units = set(flat)
-        new = units - self.memo.keys()
+        rows = np.fromiter(map(self.memo.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(rows < 0).tolist()
+        new = {flat[i] for i in missing}
         if len(self.memo) + len(new) > self.most:
             self.forget()
-            new = units
+            new, missing = set(flat), range(len(flat))
         self.learn(new)
-        rows = np.fromiter(map(self.memo.__getitem__, flat), np.int64, len(flat))
+        rows[missing] = [self.memo[flat[i]] for i in missing]
         active = np.flatnonzero(rows)
         if not len(active):
-            return np.zeros((0, self.known.shape[1]), np.float32), np.zeros(0, np.int64), []
+            return np.zeros((0, len(self.machine.names)), np.float32), np.zeros(0, np.int64), []
         sentence = np.repeat(np.arange(len(listed)), [len(s) for s in listed])[active]
         starts = np.flatnonzero(np.diff(sentence, prepend=-1))
         kept = sentence[starts]
         text = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
-        return np.maximum.reduceat(self.known[rows[active]], starts, axis=0), text[kept], [listed[i] for i in kept.tolist()]
+        return self.greatest(rows[active], starts), text[kept], [listed[i] for i in kept.tolist()]
+
+    def greatest(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The greatest kernels with each landmark among the rows from each start to the next."""
+        out = np.zeros((len(starts), len(self.machine.names)), np.float32)
+        many = self.begin[rows + 1] - self.begin[rows]
+        at = spread(self.begin[rows], many)
+        own = np.repeat(np.arange(len(starts)) * out.shape[1], np.diff(starts, append=len(rows)))
+        np.maximum.at(out.reshape(-1), np.repeat(own, many) + self.landmark[at], self.value[at])
+        return out
 
     def margins(self, cut: list[list[list[str]]]) -> np.ndarray:
         """The score of each text, cut in sentences: its highest sentence's, the bias for a text without any kernel."""
@@ -414,7 +446,7 @@ def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter,
             highest = [part[np.argmax(score[part])] for part in np.split(chosen, starts[1:])]
             chosen = np.union1d(np.flatnonzero((score > 0) | marked), highest)
             share = np.ones(len(chosen))
-            of_unit = scorer.known[: scorer.used] @ machine.weights
+            of_unit = scorer.greatest(np.arange(scorer.used), np.arange(scorer.used)) @ machine.weights
             nearest.update((k, max(filter(scorer.memo.__getitem__, units[k]), key=lambda u: of_unit[scorer.memo[u]])) for k in set(chosen.tolist()) - nearest.keys())
             times = Counter(nearest[k] for k in chosen.tolist())
             new = sorted(times.keys() - copied.keys())  # units to misspell, all at once
