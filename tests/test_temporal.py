@@ -108,3 +108,23 @@ def test_long_intervals_cost_two_rows_a_level(spark):
     assert levelled.filter("e - s > width or floor(e / width) - floor(s / width) > 1").count() == 0
     assert T.overlap_join(df, df.limit(0), ("s", "e"), ("s", "e")).count() == 0
     assert T.overlap_join(df, df, ("s", "e"), ("s", "e")).count() == 50 + 2 * 49
+
+
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_keys_of_few_intervals_need_no_bins(spark, few):
+    """Keys of few, of many and of both kinds give the same pairs; without bins no row is repeated before the join."""
+    rng = random.Random(6)
+    left = [(i, rng.choice("pppqrs"), rng.randrange(300)) for i in range(120)]
+    right = [(i, rng.choice("ppppppqrt"), s := rng.randrange(300), s + rng.choice([-4, 0, 7, 200])) for i in range(60)]
+    a, b = spark.createDataFrame(left, "id long, k string, at long"), spark.createDataFrame(right, "other long, kk string, s long, e long")
+    got = T.overlap_join(a, b, ("at", "at"), ("s", "e"), by=[("k", "kk")], few=few)
+    want = sorted((x, y) for x, k, at in left for y, kk, s, e in right if k == kk and s <= at <= e)
+    assert sorted((r["id"], r["other"]) for r in got.collect()) == want and len(want) > 100
+    assert ("Generate" in plan_of(got)) == (few < 1000)
+
+
+def test_shipments_in_open_orders_repeat_no_line(spark):
+    from veridra.scale_queries import QUERIES
+
+    got = QUERIES["shipments_in_open_orders"](spark, "/root/testdata/sf0.001")
+    assert "Generate" not in plan_of(got) and got.count() > 0

@@ -9,7 +9,8 @@ every bucket complete in itself, and one window a bucket finds the answers.
 interval belongs to the first level whose bins are no shorter than itself, so it lies in two of them at most.  Two intervals meet
 at the higher of their levels, where the shorter one also lies in two bins at most, and only in the
 first bin that they share; so every pair comes once, by an equality join that Spark can split where it is skewed, and a
-few long intervals cost no more rows than short ones.
+few long intervals cost no more rows than short ones.  Keys with at most ``FEW`` intervals on the right need no bins: each left row is
+compared with all of its key.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from ..functions.types import quoted
 from .staging import discard, staged
 
 PER_BUCKET, BROADCAST_KEYS = 1_000_000, 100_000
-BASE, FAN = 1, 8
+BASE, FAN, FEW = 1, 8, 64
 
 
 def _as_number(df: DataFrame, column: str) -> Column:
@@ -139,22 +140,48 @@ def _levelled(df: DataFrame, start: Column, end: Column, base: float) -> DataFra
     return df.withColumn("level", level + short.cast("int"))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], by: list[tuple[str, str]] | None = None, closed: bool = True, base: float | None = None, suffix: str = "_right") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], by: list[tuple[str, str]] | None = None, closed: bool = True, base: float | None = None, suffix: str = "_right", few: int = FEW) -> DataFrame:
     """All pairs of rows whose intervals overlap, and whose keys agree where ``by`` names some.
 
     Closed intervals share their ends; half-open ones ([start, end)) do not, and empty ones overlap nothing.  A point is an interval whose
     start and end are one column.  Intervals with a null end or key, or that end before they start, have no pairs.  Rows that repeat pair each time.
     base: the length of the shortest bins; by default a tenth of the intervals that are no points are shorter.
+    few: keys with no more right intervals are joined without bins.
     """
     by = by or []
     names = _named(right.columns, left.columns, suffix)
 
+    def result(pairs: DataFrame) -> DataFrame:
+        return pairs.select("a.*", *[F.col(f"b.{quoted(c)}").alias(names[c]) for c in right.columns])
+
     def spans(df: DataFrame, span: tuple[str, str], side: int) -> DataFrame:
         keys = F.struct(F.lit(0), *[F.col(quoted(p[side])).alias(f"k{i}") for i, p in enumerate(by)])
         rows = df.filter(_known(df, *span, *[p[side] for p in by])).select(keys.alias("key"), _as_number(df, span[0]).alias("s"), _as_number(df, span[1]).alias("e"), F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("own"))
         return rows.filter(F.col("s") <= F.col("e") if closed else F.col("s") < F.col("e"))
 
     a, b = spans(left, left_span, 0), spans(right, right_span, 1)
+    if not by:
+        return result(_binned_pairs(a, b, closed, base))
+    many = staged(b.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few).select("key"), "overlap-many")
+    found = many.count()
+    if not found:
+        discard(many)
+        return result(_pairs_of_keys(a, b, closed))
+    side = F.broadcast(many) if found <= BROADCAST_KEYS else many
+    split = [[x.join(side, "key", how) for x in (a, b)] for how in ("left_anti", "left_semi")]
+    return result(_pairs_of_keys(*split[0], closed).unionByName(_binned_pairs(*split[1], closed, base)))
+
+
+def _overlap(closed: bool) -> Column:
+    return (F.col("as") <= F.col("be")) & (F.col("bs") <= F.col("ae")) if closed else (F.col("as") < F.col("be")) & (F.col("bs") < F.col("ae"))
+
+
+def _pairs_of_keys(a: DataFrame, b: DataFrame, closed: bool) -> DataFrame:
+    x, y = a.withColumnsRenamed({"s": "as", "e": "ae", "own": "a"}), b.withColumnsRenamed({"s": "bs", "e": "be", "own": "b"})
+    return x.join(y, "key").filter(_overlap(closed)).select("a", "b")
+
+
+def _binned_pairs(a: DataFrame, b: DataFrame, closed: bool, base: float | None) -> DataFrame:
     if base is None:
         lengths = a.select("s", "e").unionByName(b.select("s", "e")).select((F.col("e") - F.col("s")).cast("double").alias("n")).filter("n > 0")
         base = lengths.agg(F.percentile_approx("n", 0.1)).first()[0] or BASE
@@ -174,6 +201,4 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[str, str],
     y = binned(b, levels[0], "b_own").withColumnsRenamed({"s": "bs", "e": "be", "own": "b", "first": "b_first"})
     # Of two levels the pair meets at the higher one: there one row at least is at its own level.
     meet = (F.col("a_own") | F.col("b_own")) & (F.col("bin") == F.greatest("a_first", "b_first"))
-    overlap = (F.col("as") <= F.col("be")) & (F.col("bs") <= F.col("ae")) if closed else (F.col("as") < F.col("be")) & (F.col("bs") < F.col("ae"))
-    pairs = x.join(y, ["key", "at", "bin"]).filter(meet & overlap)
-    return pairs.select("a.*", *[F.col(f"b.{quoted(c)}").alias(names[c]) for c in right.columns])
+    return x.join(y, ["key", "at", "bin"]).filter(meet & _overlap(closed)).select("a", "b")
