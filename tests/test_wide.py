@@ -45,6 +45,16 @@ def test_only_digests_and_candidates_are_shuffled(spark):
     assert tracker.count("Exchange hashpartitioning") == 1  # the candidates' own; digests were grouped before
 
 
+def test_rows_kept_by_a_bitmap_do_not_move(spark):
+    """More repeated digests than go to all tasks: the words of the bitmap are shuffled, and no row of the table."""
+    df = spark.range(20_000).selectExpr("id", *[f"concat('some text {i} ', id) as t{i}" for i in range(8)])
+    kept = Q.repeated_candidates(df.unionByName(df.filter("id % 10 = 0")), df.columns, broadcast=0)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1  # of the words
+    assert 4_000 <= kept.count() < 8_000
+    assert kept.groupBy("id").count().filter("count > 1").count() == 2_000
+
+
 def test_no_duplicates_and_empty_tables(spark):
     df = spark.range(100).selectExpr("id", *[f"cast(id as string) as t{i}" for i in range(5)])
     assert Q.duplicate_groups(df).count() == 0 and Q.duplicate_groups(df.limit(0)).columns == [*df.columns, "duplicate_count"]

@@ -39,10 +39,11 @@ def _width(df: DataFrame, keys: list[str]) -> int:
 
 
 def repeated_candidates(df: DataFrame, keys: list[str], broadcast: int = BROADCAST_DIGESTS, map_bits: int = MAP_BITS) -> DataFrame:
-    """The rows whose key may occur more than once: all of those that do, and such as share 128 bits of hash with another key.
+    """The rows whose key may occur more than once: all of those that do, and a few others, which the caller's grouping by the key tells.
 
     Only digests are shuffled, 16 bytes a row and the count.  The digests that repeat are written; if they are few, each task keeps its
-    rows by them without moving one.  Else a bitmap of the digests keeps most other rows from moving to the join.
+    rows by them without moving one.  Else it keeps them by a bitmap of the digests, which lets some other rows pass; to
+    join these away would move all candidates once more, and Spark puts such a semi-join before the bitmap, where it moves all rows.
     """
     columns = [F.col(quoted(c)) for c in keys]
     digests = {"__d1": F.xxhash64(*columns), "__d2": F.xxhash64(F.lit(1), *columns)}
@@ -54,8 +55,7 @@ def repeated_candidates(df: DataFrame, keys: list[str], broadcast: int = BROADCA
         bits = min(1 << map_bits, 1 << (16 * found).bit_length())
         place = F.pmod("__d1", F.lit(bits))
         marked = repeated.groupBy(F.shiftright(place, 6).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(__d1, {bits}) % 64 as int))")).alias("__bits"))
-        near = rows.withColumn("__word", F.shiftright(place, 6)).join(F.broadcast(marked), "__word").filter(F.getbit("__bits", (place % 64).cast("int")) == 1)
-        kept = near.join(repeated.hint("shuffle_merge"), ["__d1", "__d2"], "left_semi")
+        kept = rows.withColumn("__word", F.shiftright(place, 6)).join(F.broadcast(marked), "__word").filter(F.getbit("__bits", (place % 64).cast("int")) == 1)
     return kept.select(*[F.col(quoted(c)) for c in df.columns])
 
 
