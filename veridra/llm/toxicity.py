@@ -22,7 +22,7 @@ or one left out.  Landmarks are the units that cover most
 toxic texts not yet covered, less three times the clean texts that have them, and the clean units that come nearest.
 
 The power lets the large kernels decide.  One under ``FLOOR`` counts as 0; its power is less than 0.008, where 1 is equality.
-Units are passed over only where the Cauchy-Schwarz bound below shows that
+Units are passed over only where the least norm that they can have shows that
 all their kernels are under it, so no kernel that counts is ever left out.  Units of more than ``WIDTH``
 characters are cut in overlapping windows, all of which count.
 
@@ -49,23 +49,28 @@ from .common import give_back, held_out
 
 ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 3, 32, 0.2, 64, 600_000
 WORDS, FRAGMENT, HALVED = 12, 3, 9
-_FRAGMENTS = re.compile(rf"(?<!\S)\S{{1,{FRAGMENT}}}(?:\s+\S{{1,{FRAGMENT}}}(?!\S))+")
 _SIGNS = re.compile(r"[\W_]+")
 _AT_ONCE = 20_000  # words
 
 
 def sentences(text: str) -> list[list[str]]:
     """The raw units of each sentence; those joined across white space stand in lists of their own."""
-    text = text.lower()
-    words, found, at = text.split(), [], 0
+    words, found, at = text.lower().split(), [], 0
     while at < len(words):
         end = min(at + WORDS, len(words))
         if end < len(words):  # back to the end of a sentence, if there is one in the second half
-            end = next((k for k in range(end, at + WORDS // 2, -1) if words[k - 1][-1] in ".!?"), end)
+            for k in range(end, at + WORDS // 2, -1):
+                if words[k - 1][-1] in ".!?":
+                    end = k
+                    break
         found.append(words[at:end])
         at = end
-    for m in _FRAGMENTS.finditer(text):
-        parts = m[0].split()
+    short = [i for i, w in enumerate(words) if len(w) <= FRAGMENT]
+    breaks = [0, *[n for n in range(1, len(short)) if short[n] > short[n - 1] + 1], len(short)]
+    for a, b in zip(breaks, breaks[1:]):
+        if b - a < 2:
+            continue
+        parts = words[short[a] : short[b - 1] + 1]
         joined = [a + b for a, b in zip(parts, parts[1:])]
         if len(parts) > 2:
             if [len(p) for p in parts].count(1) > 2:
@@ -283,8 +288,8 @@ class Scorer:
         for at in range(0, len(listed), _AT_ONCE):
             fresh, numbers, pieces, owner, half = listed[at : at + _AT_ONCE], {}, [], [], []
             for i, unit in enumerate(fresh):
-                whole = windows(unit)
-                parts = halves(whole) if self.halved else []
+                whole = windows(unit) if len(unit) > WIDTH else [unit] if len(unit) >= ORDER else []
+                parts = halves(whole) if self.halved and len(unit) >= HALVED else []
                 pieces += [numbers.setdefault(w, len(numbers)) for w in whole + parts]
                 owner += [i] * (len(whole) + len(parts))
                 half += [False] * len(whole) + [True] * len(parts)
