@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veridra.llm import language_id as P
@@ -139,6 +140,77 @@ def test_units_alike_but_for_signs_are_computed_once(monkeypatch):
     assert [X.Scorer(machine, most=1).margins([X.sentences(t)])[0] for t in texts] == found == X.Scorer(machine).margins([X.sentences(t) for t in texts]).tolist()
 
 
+def test_kernels_with_themselves_are_computed_once_a_pattern(monkeypatch):
+    """Words whose characters are equal at the same places have the same norm, which is that of the definition."""
+    asked = []
+    for name in ("subsequence_kernel", "own_norms"):
+        plain = getattr(X, name, None)
+        monkeypatch.setattr(X, name, lambda *given, plain=plain: asked.append(len(given[0])) or plain(*given), raising=False)
+    machine = X.Machine(["idiot", "stupid"])
+    words = [f"i{a}i{b}t" for a in "dxqzk" for b in "owrs"] + [f"stu{a}{a}id" for a in "pxqk"] + ["idiidiidi", "ttttt"]
+    asked.clear()
+    found = [machine.kernels(words), machine.kernels(words[::-1])[::-1]]
+    assert sum(asked) <= 5
+    for word, row, again in zip(words, *found):
+        assert row == pytest.approx([plain_kernel(word, n) for n in machine.names], rel=1e-3, abs=1e-6), word
+        assert row == pytest.approx(again, rel=1e-6)
+
+
+def test_kernels_do_not_depend_on_what_else_is_computed():
+    rng = np.random.default_rng(4)
+    machine = X.Machine(["idiot", "stupid", "moron", "pathetic"])
+    words = ["".join(rng.choice(list("idotsupmrnahec"), n)) for n in (5, 9, 14) for _ in range(80)] + X.misspelt("pathetic") * 2
+    together = machine.kernels(words)
+    assert (together > 0).any() and np.array_equal(together, np.concatenate([machine.kernels([w]) for w in words]))
+
+
+def plain_sentences(text):
+    """Cut word by word, with what is joined across white space run by run."""
+    words, found, at = text.lower().split(), [], 0
+    while at < len(words):
+        end = min(at + X.WORDS, len(words))
+        if end < len(words):
+            end = next((k for k in range(end, at + X.WORDS // 2, -1) if words[k - 1][-1] in ".!?"), end)
+        found.append(words[at:end])
+        at = end
+    runs = [[]]
+    for w in words:
+        if len(w) <= X.FRAGMENT:
+            runs[-1].append(w)
+        elif runs[-1]:
+            runs.append([])
+    for run in runs:
+        lone = "".join(w if len(w) == 1 else " " for w in run).split(" ")
+        joined = [a + b for a, b in zip(run, run[1:])] + [x for x in lone if len(x) > 2]
+        joined += [a + b + c for a, b, c in zip(run, run[1:], run[2:]) if max(len(a), len(b), len(c)) < 3]
+        found += [joined[i : i + X.WORDS] for i in range(0, len(joined), X.WORDS)]
+    return found
+
+
+def test_texts_cut_together_are_those_cut_one_by_one():
+    rng = np.random.default_rng(8)
+    parts = ["a", "b", "st", "up", "id", "the", "you", "end.", "wow!", "q?", "\u0130", "\u0391\u03a3", "\u00e9.", "_", "...", "longerword", "idiot", "\u200b"]
+    texts = ["".join(w + s for w, s in zip(rng.choice(parts, n), rng.choice([" ", " ", "\n", "\u3000", "\x1c", "\x85", "  "], n))) for n in rng.integers(0, 60, 400)]
+    texts += ["", " \n", "s t u p i d", "a " * 40, "b"]
+    want = [plain_sentences(t) for t in texts]
+    assert [X.sentences(t) for t in texts] == want
+    cut, got = X.cut(texts), [[] for _ in texts]
+    for a, b, text in zip(cut.starts.tolist(), [*cut.starts.tolist()[1:], len(cut.places)], cut.text.tolist()):
+        got[text].append([cut.units[n] for n in cut.places[a:b]])
+    assert got == want
+
+
+def test_portions_hold_every_row_once(monkeypatch):
+    """Few texts or few characters at once, a long text alone; no row is lost and null is empty."""
+    monkeypatch.setattr(X, "_TEXTS", 3)
+    monkeypatch.setattr(X, "_CHARS", 10)
+    texts = ["aaaa", None, "bbb", "c", "d" * 50, "", "e" * 9, "ff", "g", "h"]
+    parts = list(X.portions(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])))
+    assert [t for part, _ in parts for t in part.column("text").to_pylist()] == texts
+    assert [x for _, x in parts] == [["aaaa", "", "bbb"], ["c"], ["d" * 50], ["", "e" * 9], ["ff", "g", "h"]]
+    assert list(X.portions(pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["text"]))) == []
+
+
 def test_sentences_and_units():
     assert X.sentences("Several words. The end") == [["several", "words.", "the", "end"], ["theend"]]
     assert [len(s) for s in X.sentences("longer words " * 4 + "ended here. " + "longer words " * 7)] == [10, 12, 2]

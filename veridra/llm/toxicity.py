@@ -33,12 +33,14 @@ have equal scores.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, groupby, repeat
+from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,34 +53,92 @@ ORDER, DECAY, POWER, WIDTH, FLOOR, LANDMARKS, MEMO = 3, 0.8, 3, 32, 0.2, 64, 600
 WORDS, FRAGMENT, HALVED = 12, 3, 9
 _SIGNS = re.compile(r"[\W_]+")
 _AT_ONCE = 20_000  # words
+_TEXTS, _CHARS = 1000, 1_000_000  # at once, but one text at least
+_SUMS = 1 << 17
+_PATTERNS = 200_000  # whose norms are remembered
+
+
+class Cut(NamedTuple):
+    """Texts cut in sentences: distinct raw units, the number of the unit at each place, where each sentence begins, and the number of its text."""
+
+    units: list[str]
+    places: np.ndarray
+    starts: np.ndarray
+    text: np.ndarray
+
+
+def numbering() -> defaultdict[str, int]:
+    """Gives each new name the next number."""
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    return number
+
+
+def cut(texts: list[str]) -> Cut:
+    """The sentences of texts; those of units joined across white space stand behind all others."""
+    words = [text.lower().split() for text in texts]
+    text = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+    coded = pa.array(list(chain.from_iterable(words)), pa.large_string()).dictionary_encode()
+    del words
+    units, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+    size = np.array([len(u) for u in units], np.int64)[places]
+    total = len(places)
+    until = np.searchsorted(text, text, side="right")
+    # From each place on: back to the end of a sentence, if there is one in the second half.
+    at = np.arange(total)
+    stop = np.maximum.accumulate(np.where(np.array([u[-1] in ".!?" for u in units], bool)[places], at + 1, 0))
+    end = np.minimum(at + WORDS, until)
+    back = stop[end - 1]
+    after, starts, place = np.where((end < until) & (back > at + WORDS // 2), back, end).tolist(), [], 0
+    while place < total:
+        starts.append(place)
+        place = after[place]
+    run, begin, names = joined(units, places, size, text)
+    number = numbering()
+    behind = np.fromiter(map(number.__getitem__, names), np.int64, len(names)) + len(units)
+    rank = np.arange(len(run)) - np.searchsorted(run, run)
+    more = np.flatnonzero(rank % WORDS == 0)
+    owner = np.concatenate([text[np.array(starts, np.int64)], text[begin[more]]])
+    return Cut(units + list(number), np.concatenate([places, behind]), np.concatenate([np.array(starts, np.int64), total + more]), owner)
+
+
+def joined(units: list[str], places: np.ndarray, size: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """What is joined across white space: the run of fragments it lies in, where it begins, and itself; by runs, pairs first, triples last."""
+    short = np.flatnonzero(size <= FRAGMENT)
+    size, parts = size[short], [units[n] for n in places[short].tolist()]
+    follows = np.zeros(len(short), bool)
+    follows[1:] = (np.diff(short) == 1) & (np.diff(text[short]) == 0)
+    run = np.cumsum(~follows)
+    two = np.flatnonzero(follows) - 1
+    small = size < 3
+    three = np.flatnonzero(follows[1:-1] & follows[2:] & small[:-2] & small[1:-1] & small[2:])
+    lone = np.flatnonzero(size == 1)
+    heads = np.flatnonzero(~((np.diff(lone, prepend=-2) == 1) & follows[lone]))
+    tails = np.append(heads[1:], len(lone))[: len(heads)]
+    long = np.flatnonzero(tails - heads > 2)
+    first, beyond = lone[heads[long]], lone[tails[long] - 1] + 1
+    names = [parts[i] + parts[i + 1] for i in two.tolist()]
+    names += ["".join(parts[a:b]) for a, b in zip(first.tolist(), beyond.tolist())]
+    names += [parts[i] + parts[i + 1] + parts[i + 2] for i in three.tolist()]
+    begin = np.concatenate([two, first, three])
+    kind = np.repeat(np.arange(3), [len(two), len(first), len(three)])
+    order = np.lexsort((begin, kind, run[begin]))
+    return run[begin[order]], short[begin[order]], [names[i] for i in order.tolist()]
 
 
 def sentences(text: str) -> list[list[str]]:
     """The raw units of each sentence; those joined across white space stand in lists of their own."""
-    words, found, at = text.lower().split(), [], 0
-    while at < len(words):
-        end = min(at + WORDS, len(words))
-        if end < len(words):  # back to the end of a sentence, if there is one in the second half
-            for k in range(end, at + WORDS // 2, -1):
-                if words[k - 1][-1] in ".!?":
-                    end = k
-                    break
-        found.append(words[at:end])
-        at = end
-    short = [i for i, w in enumerate(words) if len(w) <= FRAGMENT]
-    breaks = [0, *[n for n in range(1, len(short)) if short[n] > short[n - 1] + 1], len(short)]
-    for a, b in zip(breaks, breaks[1:]):
-        if b - a < 2:
-            continue
-        parts = words[short[a] : short[b - 1] + 1]
-        joined = [a + b for a, b in zip(parts, parts[1:])]
-        if len(parts) > 2:
-            if [len(p) for p in parts].count(1) > 2:
-                runs = ["".join(run) for single, run in groupby(parts, lambda p: len(p) == 1) if single]
-                joined += [run for run in runs if len(run) > 2]
-            joined += [a + b + c for a, b, c in zip(parts, parts[1:], parts[2:]) if len(a) < 3 and len(b) < 3 and len(c) < 3]
-        found += [joined[i : i + WORDS] for i in range(0, len(joined), WORDS)]
-    return found
+    found = cut([text])
+    flat, starts = [found.units[n] for n in found.places.tolist()], found.starts.tolist()
+    return [flat[a:b] for a, b in zip(starts, [*starts[1:], len(flat)])]
+
+
+def gathered(listed: list[list[list[str]]]) -> Cut:
+    """Of texts whose sentences are given as lists of raw units."""
+    number, found = numbering(), [s for x in listed for s in x]
+    size = np.array([len(s) for s in found], np.int64)
+    places = np.fromiter(map(number.__getitem__, chain.from_iterable(found)), np.int64, int(size.sum()))
+    return Cut(list(number), places, np.cumsum(size) - size, np.repeat(np.arange(len(listed)), [len(x) for x in listed]))
 
 
 def windows(unit: str) -> list[str]:
@@ -124,6 +184,7 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (match * inner[:la, :lb]).sum((0, 1)).astype(np.float64)
 
 
+@functools.cache
 def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The triples of places in a word of n characters (a row each), and their weights."""
     i, j, k = np.meshgrid(*[np.arange(n)] * 3, indexing="ij")
@@ -132,6 +193,22 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
     return places, (DECAY ** (places[2] - places[0] + 1)).astype(np.float32)
 
 
+def own_norms(first: np.ndarray) -> np.ndarray:
+    """The roots of the kernels of words with themselves; of each character the first place in its word is given, a word a row.
+
+    The weights of equal triples are summed, and the sums squared.
+    """
+    n = first.shape[1]
+    (i, j, k), weights = _places(n)
+    out = np.zeros(len(first))
+    for at in range(0, len(first), step := max(1, _SUMS // n**3)):
+        c = first[at : at + step].T.astype(np.int64)
+        key = (c[i] * n + c[j]) * n + c[k] + np.arange(c.shape[1]) * n**3
+        sums = np.bincount(key.reshape(-1), np.repeat(weights, c.shape[1]), c.shape[1] * n**3).reshape(-1, n**3)
+        out[at : at + step] = np.sqrt((sums * sums).sum(1))
+    return out
+
+
 def spread(begin: np.ndarray, many: np.ndarray) -> np.ndarray:
     """The numbers from each beginning on, as many as it has."""
     return np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
@@ -142,6 +219,7 @@ class Machine:
 
     The kernels of a word with all landmarks are one sum over the word's triples of characters: each triple
     is a row of a table that holds its weight in each landmark, over the landmark's norm.
+    A word's kernel with itself depends on which of its characters are equal only, and is kept by that pattern.
     """
 
     def __init__(self, landmarks: list[str]):
@@ -159,6 +237,7 @@ class Machine:
                 triples.setdefault(t, np.zeros(m))[w] += x / norms[w]
         self.table = np.concatenate([np.zeros((1, m)), np.stack(list(triples.values()))]).astype(np.float32)
         self.row_of[list(triples)] = np.arange(1, len(triples) + 1)
+        self.norms: dict[bytes, float] = {}
         gram = self.kernels(landmarks)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
         keep = values > 1e-6
@@ -182,36 +261,51 @@ class Machine:
         return out
 
     def _kernels(self, words: list[str], out: np.ndarray) -> None:
-        codes = coded(words)
+        codes, m = coded(words), len(self.names)
         lengths, numbers, size = (codes > 0).sum(1), self.numbered(codes), len(self.chars) + 1
         for n in np.unique(lengths):
             (i, j, k), weights = _places(int(n))
             least = float(np.sqrt((weights.astype(np.float64) ** 2).sum()))
             first, second = np.triu_indices(n, 1)
             pair = (i * (2 * n - i - 1) >> 1) + j - i - 1  # the number of each triple's first two places
+            order = np.argsort(k - i, kind="stable")
+            pair, k, weights, length = pair[order], k[order], weights[order], (k - i)[order]
+            spans = [(weights[a], list(zip(pair[a:b].tolist(), k[a:b].tolist()))) for a, b in zip(np.searchsorted(length, range(2, n)), np.searchsorted(length, range(3, n + 1)))]
             mine = np.flatnonzero(lengths == n)
             for some in np.array_split(mine, -(-len(mine) // 1024)):
                 c = np.ascontiguousarray(numbers[some, :n].T)
                 pairs = (c[first] * size + c[second]) * size
-                # Plain sums in the order of triples, as a product would start threads in each task.  Row 0 is of zeros.
-                raw, part = np.zeros((2, len(some), len(self.names)), np.float32)
+                # Plain sums, as a product would start threads in each task; triples of one span have one weight.  Row 0 is of zeros.
+                # Both ways add in the same order, so a word has the same kernels among few and among many.
+                raw, part, span = np.zeros((3, len(some), m), np.float32)
                 if len(some) < 48:
                     for word, rows in enumerate(self.row_of.take(pairs[pair] + c[k]).T):
                         hit = np.flatnonzero(rows)
-                        raw[word] = (self.table.take(rows[hit], axis=0) * weights[hit, None]).sum(0)
+                        own, begin = self.table.take(rows[hit], axis=0), np.flatnonzero(np.diff(length[hit], prepend=0)).tolist()
+                        for a, b in zip(begin, [*begin[1:], len(hit)]):
+                            raw[word] += own[a:b].sum(0) * weights[hit[a]]
                 else:
-                    for before, last, weight in zip(pair.tolist(), k.tolist(), weights):
-                        self.table.take(self.row_of.take(pairs[before] + c[last]), axis=0, out=part, mode="clip")
-                        part *= weight
-                        raw += part
+                    for weight, members in spans:
+                        for number, (before, last) in enumerate(members):
+                            self.table.take(self.row_of.take(pairs[before] + c[last]), axis=0, out=part if number else span, mode="clip")
+                            if number:
+                                span += part
+                        span *= weight
+                        raw += span
                 near = np.flatnonzero(raw.max(1) >= FLOOR * least * (1 - 1e-4))
-                own = codes[some[near]]
-                norm = np.full(len(near), least, np.float32)  # exact where no character comes twice
-                twice = np.flatnonzero((np.diff(np.sort(own[:, :n], axis=1), axis=1) == 0).any(1))
-                if len(twice):
-                    norm[twice] = np.sqrt(subsequence_kernel(own[twice], own[twice]))
-                value = raw[near] / norm[:, None]
-                out[some[near]] = np.where(value >= FLOOR, value, 0) ** POWER
+                value = raw[near] / self.norm(codes[some[near], :n])[:, None]
+                word, landmark = np.nonzero(value >= FLOOR)
+                out[some[near[word]], landmark] = value[word, landmark] ** POWER
+
+    def norm(self, words: np.ndarray) -> np.ndarray:
+        """The roots of the kernels of words of equal length with themselves."""
+        first = (words[:, :, None] == words[:, None, :]).argmax(2).astype(np.uint8)
+        listed = first.view(f"V{words.shape[1]}")[:, 0].tolist()
+        if len(self.norms) > _PATTERNS:
+            self.norms.clear()
+        new = {pattern: n for n, pattern in enumerate(listed) if pattern not in self.norms}
+        self.norms.update(zip(new, own_norms(first[list(new.values())]).tolist()))
+        return np.array([self.norms[pattern] for pattern in listed], np.float32)
 
     def fit(self, x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: float = 0.1) -> None:
         """x: kernels of sentences with the landmarks."""
@@ -278,61 +372,68 @@ class Scorer:
         self.begin, self.used = np.zeros(1024, np.int64), 1
         self.landmark, self.value = np.zeros(4096, np.int16), np.zeros(4096, np.float32)
 
-    def learn(self, new: set[str]) -> None:
+    def learn(self, new: list[str]) -> None:
         """Units that are equal but for signs share what they have; so do equal halves, while units are learned."""
-        alike: dict[str, list[str]] = {}
-        for unit in new:
-            plain = unit if unit.isalnum() else _SIGNS.sub("", unit)
-            alike.setdefault(plain, []).append(unit)
-        listed = [plain for plain in alike if plain not in self.memo]
+        plain = [unit if unit.isalnum() else _SIGNS.sub("", unit) for unit in new]
+        listed = [unit for unit in dict.fromkeys(plain) if unit not in self.memo]
         for at in range(0, len(listed), _AT_ONCE):
-            fresh, numbers, pieces, owner, half = listed[at : at + _AT_ONCE], {}, [], [], []
-            for i, unit in enumerate(fresh):
-                whole = windows(unit) if len(unit) > WIDTH else [unit] if len(unit) >= ORDER else []
-                parts = halves(whole) if self.halved and len(unit) >= HALVED else []
-                pieces += [numbers.setdefault(w, len(numbers)) for w in whole + parts]
-                owner += [i] * (len(whole) + len(parts))
-                half += [False] * len(whole) + [True] * len(parts)
-            kernels, pieces = self.machine.kernels(list(numbers)), np.array(pieces, np.int64)
-            active = np.flatnonzero(kernels.any(1)[pieces])
-            kernels = kernels[pieces[active]]
-            kernels[np.array(half, bool)[active]] **= 2
-            owners, starts = np.unique(np.array(owner, np.int64)[active], return_index=True)  # sorted, as owners rise
-            rows = np.zeros(len(fresh), np.int64)
-            if len(active):
-                rows[owners] = self.used + np.arange(len(owners))
-                unit, landmark = np.nonzero(found := np.maximum.reduceat(kernels, starts, axis=0))
-                end, first = self.used + len(owners), int(self.begin[self.used])
-                self.begin, self.landmark, self.value = enlarged(self.begin, end + 1), enlarged(self.landmark, first + len(unit)), enlarged(self.value, first + len(unit))
-                self.landmark[first : first + len(unit)], self.value[first : first + len(unit)] = landmark, found[unit, landmark]
-                self.begin[self.used + 1 : end + 1] = first + np.cumsum(np.bincount(unit, minlength=len(owners)))
-                self.used = end
-            self.memo.update(zip(fresh, rows.tolist()))
-        for plain, units in alike.items():
-            row = self.memo[plain]
-            for unit in units:
-                self.memo[unit] = row
-
-    def near(self, cut: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """Of texts cut in sentences: the kernels of the sentences that have any, the number of the text of each, and their units."""
-        listed = [s for x in cut for s in x]
-        flat = list(chain.from_iterable(listed))
-        rows = np.fromiter(map(self.memo.get, flat, repeat(-1)), np.int64, len(flat))
+            self.memo.update(zip(listed[at : at + _AT_ONCE], self.numbers(listed[at : at + _AT_ONCE])))
+        self.memo.update(zip(new, map(self.memo.__getitem__, plain)))
+
+    def numbers(self, fresh: list[str]) -> list[int]:
+        """The numbers of units without signs that are new."""
+        size, number = [len(unit) for unit in fresh], numbering()
+        whole = [i for i, n in enumerate(size) if ORDER <= n <= WIDTH]
+        long = [i for i in whole if size[i] >= HALVED] if self.halved else []
+        names = [fresh[i] for i in whole] + [fresh[i][::2] for i in long] + [fresh[i][1::2] for i in long]
+        owner, half = whole + long + long, [False] * len(whole) + [True] * 2 * len(long)
+        for i in [i for i, n in enumerate(size) if n > WIDTH]:
+            parts = windows(fresh[i])
+            both = parts + (halves(parts) if self.halved else [])
+            names += both
+            owner += [i] * len(both)
+            half += [False] * len(parts) + [True] * (len(both) - len(parts))
+        pieces = np.fromiter(map(number.__getitem__, names), np.int64, len(names))
+        kernels = self.machine.kernels(list(number))
+        word, landmark = np.nonzero(kernels)
+        value = kernels[word, landmark]
+        # What each piece has goes to its unit; of equal landmarks the greatest value counts.
+        begin = np.searchsorted(word, np.arange(len(number) + 1))
+        many = np.diff(begin)[pieces]
+        at = spread(begin[pieces], many)
+        key = np.repeat(np.array(owner, np.int64), many) * len(self.machine.names) + landmark[at]
+        value = np.where(np.repeat(np.array(half, bool), many), value[at] ** 2, value[at])
+        order = np.lexsort((value, key))
+        key, value = key[order], value[order]
+        top = np.flatnonzero(np.diff(key, append=-1))
+        unit, landmark = np.divmod(key[top], len(self.machine.names))
+        owners, each = np.unique(unit, return_counts=True)
+        rows = np.zeros(len(fresh), np.int64)
+        rows[owners] = self.used + np.arange(len(owners))
+        end, first = self.used + len(owners), int(self.begin[self.used])
+        self.begin, self.landmark, self.value = enlarged(self.begin, end + 1), enlarged(self.landmark, first + len(unit)), enlarged(self.value, first + len(unit))
+        self.landmark[first : first + len(unit)], self.value[first : first + len(unit)] = landmark, value[top]
+        self.begin[self.used + 1 : end + 1] = first + np.cumsum(each)
+        self.used = end
+        return rows.tolist()
+
+    def near(self, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
+        """The kernels of the sentences that have any, and the numbers of these sentences."""
+        rows = np.fromiter(map(self.memo.get, cut.units, repeat(-1)), np.int64, len(cut.units))
         missing = np.flatnonzero(rows < 0).tolist()
-        new = {flat[i] for i in missing}
-        if len(self.memo) + len(new) > self.most:
+        if len(self.memo) + len(missing) > self.most:
             self.forget()
-            new, missing = set(flat), range(len(flat))
+            missing = range(len(rows))
+        new = [cut.units[i] for i in missing]
         self.learn(new)
-        rows[missing] = [self.memo[flat[i]] for i in missing]
+        rows[missing] = np.fromiter(map(self.memo.__getitem__, new), np.int64, len(new))
+        rows = rows[cut.places]
         active = np.flatnonzero(rows)
         if not len(active):
-            return np.zeros((0, len(self.machine.names)), np.float32), np.zeros(0, np.int64), []
-        sentence = np.repeat(np.arange(len(listed)), [len(s) for s in listed])[active]
+            return np.zeros((0, len(self.machine.names)), np.float32), np.zeros(0, np.int64)
+        sentence = np.repeat(np.arange(len(cut.starts)), np.diff(cut.starts, append=len(cut.places)))[active]
         starts = np.flatnonzero(np.diff(sentence, prepend=-1))
-        kept = sentence[starts]
-        text = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
-        return self.greatest(rows[active], starts), text[kept], [listed[i] for i in kept.tolist()]
+        return self.greatest(rows[active], starts), sentence[starts]
 
     def greatest(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The greatest kernels with each landmark among the rows from each start to the next."""
@@ -343,13 +444,17 @@ class Scorer:
         np.maximum.at(out.reshape(-1), np.repeat(own, many) + self.landmark[at], self.value[at])
         return out
 
-    def margins(self, cut: list[list[list[str]]]) -> np.ndarray:
-        """The score of each text, cut in sentences: its highest sentence's, the bias for a text without any kernel."""
-        kernels, owner, _ = self.near(cut)
-        best = np.full(len(cut), self.machine.bias)
-        np.maximum.at(best, owner, kernels @ self.machine.weights + self.machine.bias)
+    def scores(self, cut: Cut, texts: int) -> np.ndarray:
+        """The score of each text: its highest sentence's, the bias for a text without any kernel."""
+        kernels, sentence = self.near(cut)
+        best = np.full(texts, self.machine.bias)
+        np.maximum.at(best, cut.text[sentence], kernels @ self.machine.weights + self.machine.bias)
         return best
 
+    def margins(self, listed: list[list[list[str]]]) -> np.ndarray:
+        """The scores of texts whose sentences are given as lists."""
+        return self.scores(gathered(listed), len(listed))
+
 
 def without_copies(bags: list[set[str]], bands: int = 8) -> list[set[str]]:
     """One bag of each group of near copies: those that share a pair of minimal hashes."""
@@ -433,8 +538,13 @@ def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter,
     scorer = Scorer(machine, float("inf"), halved=False)  # the sample is bounded
 
     def near(cut: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        parts = [scorer.near(cut[i : i + 100]) for i in range(0, len(cut), 100)]
-        return np.concatenate([k for k, _, _ in parts]), np.concatenate([o + 100 * n for n, (_, o, _) in enumerate(parts)]), [s for _, _, x in parts for s in x]
+        kernels, owner, units = [], [], []
+        for i in range(0, len(cut), 100):
+            part = cut[i : i + 100]
+            found, kept = scorer.near(given := gathered(part))
+            listed = [s for x in part for s in x]
+            kernels, owner, units = [*kernels, found], [*owner, i + given.text[kept]], units + [listed[k] for k in kept.tolist()]
+        return np.concatenate(kernels), np.concatenate(owner), units
 
     up, owner, units = near(toxic)
     down, _, _ = near(clean)
@@ -467,6 +577,19 @@ def fit_sentences(machine: Machine, toxic: list, clean: list, in_clean: Counter,
     return scorer
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Parts of a batch, so many texts as are scored at once, and their texts; null counts as empty."""
+    texts = [t.as_py() or "" for t in batch.column("text")]
+    begin = size = 0
+    for n, text in enumerate(texts):
+        if n - begin == _TEXTS or n > begin and size + len(text) > _CHARS:
+            yield batch.slice(begin, n - begin), texts[begin:n]
+            begin, size = n, 0
+        size += len(text)
+    if texts:
+        yield batch.slice(begin), texts[begin:]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[list[str], list[str]]:
     """Whole texts of about per_class toxic and clean rows among those that may be learned from."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -491,10 +614,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(machine.value) if machine.value else None
         for batch in batches:
-            for start in range(0, batch.num_rows, 250):
-                part = batch.slice(start, 250)
-                texts = [t.as_py() or "" for t in part.column("text")]
-                scores = [machine.value.probability(z) for z in scorer.margins([sentences(t) for t in texts]).tolist()] if scorer else [0.0] * len(texts)
+            for part, texts in portions(batch):
+                scores = [machine.value.probability(z) for z in scorer.scores(cut(texts), len(texts)).tolist()] if scorer else [0.0] * len(texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
         scorer = None
         give_back()
@@ -511,11 +632,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(machine.value) if machine.value else None
         for batch in batches:
-            for start in range(0, batch.num_rows, 250):
-                part = batch.slice(start, 250)
+            for part, texts in portions(batch):
                 if scorer:
-                    texts = [t.as_py() or "" for t in part.column("text")]
-                    part = part.filter(pa.array([machine.value.probability(z) < threshold for z in scorer.margins([sentences(t) for t in texts]).tolist()], pa.bool_()))
+                    part = part.filter(pa.array([machine.value.probability(z) < threshold for z in scorer.scores(cut(texts), len(texts)).tolist()], pa.bool_()))
                 yield part
         scorer = None
         give_back()
